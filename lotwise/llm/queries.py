@@ -1,11 +1,14 @@
 """The queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can say it."""
 
-from . import ngram_jaccard
+from . import media, ngram_jaccard, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
+    "op2_warc": warc.op2_warc,
+    "op8_media_columns": media.op8_media_columns,
 }
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": ngram_jaccard.ORACLE,
+    "op2_warc": warc.ORACLE,
 }
