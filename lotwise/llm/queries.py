@@ -1,11 +1,12 @@
 """The queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can say it."""
 
-from . import language_id, media, ngram_jaccard, packing, warc
+from . import language_id, media, ngram_jaccard, packing, quality, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
     "op2_warc": warc.op2_warc,
     "op3_language_id": language_id.op3_language_id,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_media_columns": media.op8_media_columns,
 }
