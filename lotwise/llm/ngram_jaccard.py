@@ -4,7 +4,7 @@ Two documents link when their sets of five-word shingles have a Jaccard
 similarity of 0.75 or more. The search goes by these steps:
 
 1. *Parity sketch.* Every shingle hash is XORed into one of ``m`` words of its
-   document's sketch (and one bit of a short bit sketch). A shingle in both
+   document's sketch, and into one bit of a longer bit sketch. A shingle in both
    documents cancels, so the number of differing words, and of differing bits,
    is at most the symmetric difference. Sizes within a size band bound that
    difference by ``D = 2U/7`` (``U``: the band's largest size).
@@ -19,9 +19,10 @@ What keeps this linear: documents with the same set are one class and enter
 once; shingles that very many documents share stay out of the sketches of
 documents that have enough others (leaving the same shingles out of both sides
 never raises the symmetric difference); within a bucket members are compared
-with one representative, then with a second, and only members of components
-that are still apart are compared pairwise, behind the bit-sketch bound. Links
-inside a component need no comparison, since they can't change it.
+with its least document, and those of components that are still apart then by
+their bit sketches, in blocks: first each with the nearest outside its
+component, then all that the Hamming bound allows. Links inside a component
+need no comparison, since they can't change it.
 """
 
 from __future__ import annotations
@@ -44,14 +45,14 @@ from .textkit import find_sorted, mix, per_row, shingle_sets, text_slices
 SIMILAR = (75, 100)
 #: Sets up to this size have a sketch word for each shingle.
 SINGLES = 64
-#: The bit sketch has this many 64-bit words.
-BIT_WORDS = 4
+#: Documents of a group that are compared by their bit sketches in one go.
+BLOCK = 512
 #: A shingle is frequent from this number of different sets on.
 FREQUENT = 64
 #: At most so many of the most frequent shingles stay out of sketches; a bound on speed's memory, without effect on results.
 FREQUENT_MOST = 1 << 17
 #: Members that one task compares with a representative.
-FAN = 2000
+FAN = 256
 
 _U = np.uint64
 _MISS = 1e-9
@@ -153,11 +154,6 @@ def sketch_keys(hashes: np.ndarray, begin: np.ndarray, frequent: FrequentSet) ->
     return key[order], np.searchsorted(row[order], np.arange(len(begin)))
 
 
-def _bit_sketch(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-    which, bit = (hashes >> _U(6)) & _U(BIT_WORDS - 1), _U(1) << (hashes & _U(63))
-    return [per_row(np.bitwise_xor, np.where(which == k, bit, _U(0)), begin).view(np.int64) for k in range(BIT_WORDS)]
-
-
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that many different sets of all documents hold, sorted.
 
@@ -193,9 +189,9 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def document_sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, two words that identify the set, bit sketch and bucket keys of each document."""
+    """doc_id, n_shingles, two words that identify the set, and bucket keys of each document."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, keys array<long>"
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = FrequentSet(held.value)
@@ -203,17 +199,15 @@ def document_sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for at, to, data, offsets in text_slices(batch.column(1)):
                 hashes, begin = shingle_sets(data, offsets)
                 keys, starts = sketch_keys(hashes, begin, often)
-                bits = np.stack(_bit_sketch(hashes, begin), 1).ravel() if to > at else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
                         pa.array(np.diff(begin).astype(np.int64)),
                         pa.array(per_row(np.bitwise_xor, hashes, begin).view(np.int64)),
                         pa.array(per_row(np.add, mix(hashes), begin).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, BIT_WORDS, dtype=np.int32)), pa.array(bits)),
                         pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(keys)),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bits", "keys"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(sketch, schema)
@@ -291,7 +285,6 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     keys = sets.select("doc_id", "keys").join(later, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     buckets = stored(keys.select("key", "doc_id", F.min("doc_id").over(bucket).alias("least"), F.max("doc_id").over(bucket).alias("most")).where("least < most").drop("most"), "buckets")
-    bits = stored(sketches.select("doc_id", "n_shingles", "bits"), "bits")
     discard(spark, *sketches.inputFiles())
     release(spark)
     met = buckets.select("doc_id").distinct()
@@ -300,39 +293,109 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
     first = buckets.where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     labels = _relabelled(None, stored(verified(first, texts), "links"))
-    buckets = _apart(buckets, labels)
-    if not buckets.isEmpty():
-        lead = buckets.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("a"))
-        lead = stored(lead, "leads")
-        led = buckets.join(lead, "key").where("a != doc_id").join(labels.withColumnsRenamed({"doc_id": "a", "component": "of_a"}), "a", "left")
-        second = led.where(F.coalesce("of_a", "a") != F.col("component")).select("a", F.col("doc_id").alias("b")).distinct()
-        labels = _relabelled(labels, stored(verified(second, texts), "links"))
-        buckets = _apart(buckets, labels)
-        if not buckets.isEmpty():
-            labels = _relabelled(labels, stored(verified(_cross_pairs(buckets, bits), texts), "links"))
+    for best in (True, False):
+        groups = _apart(buckets, labels)
+        if groups.isEmpty():
+            break
+        labels = _relabelled(labels, stored(verified(close_pairs(groups, texts, best), texts), "links"))
     mine = labels.withColumnsRenamed({"doc_id": "class", "component": "linked"})
     found = classes.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class")).join(mine, "class", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("linked", "class").alias("component_id"))
 
 
 def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets (key, doc_id, component) whose members are still in several components."""
-    now = stored(buckets.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    """Groups (least, doc_id, component): documents that met the same least document in buckets whose members are in several components."""
+    now = stored(buckets.join(labels, "doc_id", "left").select("key", "least", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
     open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stored(now.join(stored(open_, "open"), "key", "left_semi"), "apart")
+    return stored(now.join(stored(open_, "open"), "key", "left_semi").select("least", "doc_id", "component").distinct(), "groups")
+
+
+def _bit_sketches(texts: DataFrame) -> DataFrame:
+    """doc_id, n and the bit sketch, of four bits or more for each shingle of the band's largest set, of each text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offsets in text_slices(batch.column(1)):
+                hashes, begin = shingle_sets(data, offsets)
+                n = np.diff(begin)
+                bits = 4 << _bands(n)[0]
+                row = np.repeat(np.arange(len(n)), n)
+                start = np.concatenate(([0], np.cumsum(bits)))
+                flips = np.bincount(start[row] + (hashes & (bits[row] - 1).astype(_U)).astype(np.int64), minlength=int(start[-1])) & 1
+                packed = np.packbits(flips.astype(np.uint8), bitorder="little")
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int64)), pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n.astype(np.int64)), raw.cast(pa.binary())], names=["doc_id", "n", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, bits binary")
 
 
-def _cross_pairs(buckets: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components and pass the size and bit-sketch bounds."""
-    once = bits.dropDuplicates(["doc_id"])
-    known = stored(buckets.join(once, "doc_id"), "open-members")
-    left = known.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("sa"))
-    right = known.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("sb"))
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """A sketch at a smaller size (a power of two bytes): halves are XORed, as a shingle's bit is its hash modulo the size."""
+    out = np.frombuffer(bits, np.uint64)
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def close_pairs(groups: DataFrame, texts: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of a group, in different components, whose bit sketches allow a link.
+
+    The Hamming distance of two sketches is at most the symmetric difference,
+    so pairs beyond (na + nb) / 7 can't link. Groups are compared in blocks of
+    BLOCK documents. With ``best`` each document names only its nearest partner
+    outside its component; without, all that pass.
+    """
     top, bottom = SIMILAR
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(1, BIT_WORDS)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-    close = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (bottom * least >= top * most) & (7 * differ <= F.col("na") + F.col("nb"))
-    return left.join(right.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & close).select("a", "b").distinct()
+    tasks = tasks_for(groups.sparkSession)
+    sketches = stored(_bit_sketches(texts.join(groups.select("doc_id").distinct(), "doc_id", "left_semi")), "bits")
+    sizes = stored(groups.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    placed = groups.join(sizes, "least").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    cells = placed.select("least", "block", other, "doc_id", "component").select("least", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "doc_id", "component")
+    together = cells.join(sketches, "doc_id").select("least", "low", "high", "block", "doc_id", "component", "n", "bits").repartition(tasks, "least", "low", "high").sortWithinPartitions("least", "low", "high", "doc_id")
+
+    def pairs_of(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        block, ids, component, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
+        if len(np.unique(component)) < 2:
+            return
+        least = min(len(r[4]) for r in rows)
+        bits = np.stack([_folded(r[4], least) for r in rows])
+        mixed = block.min() != block.max()
+        for i in range(len(rows) - (0 if best else 1)):
+            others = slice(None) if best else slice(i + 1, None)
+            ok = (component[others] != component[i]) & (bottom * np.minimum(n[others], n[i]) >= top * np.maximum(n[others], n[i]))
+            if mixed:
+                ok &= block[others] != block[i]
+            at = np.flatnonzero(ok) + (0 if best else i + 1)
+            if not len(at):
+                continue
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+            passed = at[7 * differ <= n[at] + n[i]]
+            if best and len(passed):
+                passed = at[[differ.argmin()]]
+            for j in passed.tolist():
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        of: tuple | None = None
+
+        def found() -> pa.RecordBatch:
+            pairs = list(pairs_of(held)) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
+                if key != of:
+                    if len(held) > 1:
+                        yield found()
+                    held, of = [], key
+                held.append(row)
+        if len(held) > 1:
+            yield found()
+
+    return together.mapInArrow(compare, "a long, b long").distinct()
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

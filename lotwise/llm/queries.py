@@ -1,6 +1,6 @@
 """The queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can say it."""
 
-from . import language_id, media, ngram_jaccard, packing, quality, warc
+from . import language_id, line_dedup, media, ngram_jaccard, packing, quality, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_media_columns": media.op8_media_columns,
 }
 
