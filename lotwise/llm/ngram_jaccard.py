@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import discard, release, stored, tasks_for
+from .shared import discard, release, small, stored, tasks_for
 from .textkit import find_sorted, mix, per_row, shingle_sets, text_slices
 
 #: Similarity 0.75 as a fraction.
@@ -213,13 +213,22 @@ def document_sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, schema)
 
 
+def similar(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted shingle sets link; an empty one never does."""
+    top, bottom = SIMILAR
+    least, most = sorted((len(one), len(other)))
+    if not least or bottom * least < top * most:
+        return False
+    both = int((find_sorted(one, other) >= 0).sum())
+    return bottom * both >= top * (least + most - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose shingle sets are similar enough.
 
     The members b of a representative a stream past its set; a representative
     with more than FAN members is dealt to several tasks.
     """
-    top, bottom = SIMILAR
     tasks = tasks_for(pairs.sparkSession)
     body = texts.select(F.col("doc_id").alias("b"), "text")
     fans = pairs.groupBy("a").agg(F.count("*").alias("members")).withColumn("deals", F.ceil(F.col("members") / FAN).cast("int"))
@@ -229,9 +238,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     together = heads.unionByName(members).repartition(tasks, "a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, of = None, None
+        heads: list[np.ndarray] = []
+        of = None
         for batch in batches:
-            a_all, b_all = batch.column(0).to_numpy(), batch.column(2)
+            a_all, deal, b_all = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             is_head = np.asarray(b_all.is_null())
             b_all = b_all.fill_null(0).to_numpy()
             found_a, found_b = [], []
@@ -239,15 +249,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 hashes, begin = shingle_sets(data, offsets)
                 for i in range(at, to):
                     own = hashes[begin[i - at] : begin[i - at + 1]]
-                    if is_head[i]:
-                        head, of = own.copy(), a_all[i]
-                    elif of == a_all[i] and len(own) and len(head):
-                        small, large = min(len(own), len(head)), max(len(own), len(head))
-                        if bottom * small >= top * large:
-                            both = int((find_sorted(head, own) >= 0).sum())
-                            if bottom * both >= top * (small + large - both):
-                                found_a.append(a_all[i])
-                                found_b.append(b_all[i])
+                    if of != (a_all[i], deal[i]):
+                        heads, of = [], (a_all[i], deal[i])
+                    if is_head[i]:  # several, if rows repeat its doc_id
+                        heads.append(own.copy())
+                    elif any(similar(head, own) for head in heads):
+                        found_a.append(a_all[i])
+                        found_b.append(b_all[i])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     return together.mapInArrow(compare, "a long, b long")
@@ -282,13 +290,13 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     classes = stored(sketches.select("doc_id", *same).join(copies, same, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first")), "classes")
     later = classes.where("first < doc_id").select("doc_id").distinct()
 
-    keys = sets.select("doc_id", "keys").join(later, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    keys = sets.select("doc_id", "keys").join(small(stored(later, "later")), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     buckets = stored(keys.select("key", "doc_id", F.min("doc_id").over(bucket).alias("least"), F.max("doc_id").over(bucket).alias("most")).where("least < most").drop("most"), "buckets")
     discard(spark, *sketches.inputFiles())
     release(spark)
-    met = buckets.select("doc_id").distinct()
-    texts = stored(docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    met = stored(buckets.select("doc_id").distinct(), "met")
+    texts = stored(docs.join(small(met), "doc_id", "left_semi"), "texts")
     release(spark)
 
     first = buckets.where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()

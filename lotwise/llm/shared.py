@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -56,6 +57,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows of a few numbers each that a join may broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """Marks a stored table of narrow rows for broadcast if it has few rows, counted here; else it is shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def tasks_for(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions to ask for where a plan names the number itself."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
