@@ -1,11 +1,68 @@
-"""A training corpus from raw documents: the stages are added as their operators are."""
+"""A training corpus from raw documents: filter, clean, deduplicate, pack.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), with the columns of ``documents``, and
+all but the last return those columns. ``run`` applies them to ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotwise.llm import language_id, line_dedup, ngram_jaccard, packing, quality
+from lotwise.llm.shared import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose language is less certain than this is rejected.
+LANGUAGE_FROM = 0.5
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble predicts as good (operator 4)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.train(docs, labels)
+    return quality.with_quality(docs, model, [*COLUMNS]).where("predicted = 1").select(*COLUMNS)
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with some certainty (operator 3)."""
+    model = language_id.train(docs.where(language_id.bucket("doc_id", 5) != 0))
+    return language_id.with_language(docs, model, [*COLUMNS]).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_FROM)).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs (operator 7); one of which nothing is left goes."""
+    cut = line_dedup.line_dedup(docs.select(*COLUMNS))
+    left = cut.where((F.col("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id (operator 1)."""
+    others = ngram_jaccard.ngram_jaccard_join(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens (operator 6)."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good_quality),
+    ("language ID", keep_known_language),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_similar),
+    ("best-fit packing", pack),
+]
+
+#: The trained stages and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result for ``documents`` of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
