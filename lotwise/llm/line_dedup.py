@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release, stored
+from .shared import release, small, stored
 from .textkit import span_hashes, text_slices, word_spans
 
 MIN_WORDS = 50
@@ -100,6 +100,7 @@ def with_positions(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(start, pa.int64())], names=[*batch.schema.names, "start"])
 
     schema = "doc long, version long, ids array<long>, run_first array<int>, run_lines array<int>, start long"
+    lines = stored(lines, "line-lists")  # range partitioning reads its input twice
     return stored(lines.repartitionByRange("doc", "version").sortWithinPartitions("doc", "version").mapInArrow(number, schema), "lines")
 
 
@@ -157,7 +158,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     lines = with_positions(line_table(docs))
     runs = repeated_runs(lines).groupBy("start").agg(F.collect_list(F.struct(F.col("p").alias("p"), F.col("n").alias("n"))).alias("spans"))
     marked = runs.join(lines.select("doc", "version", "start"), "start").select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.transform("spans", lambda s: F.struct((s["p"] - F.col("start")).cast("int").alias("first"), s["n"].cast("int").alias("lines"))).alias("_spans"))
-    marked = stored(marked, "marked")
+    marked = small(stored(marked, "marked"), F.size("_spans"))
     release(spark)
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_version": F.xxhash64("text")})
     joined = keyed.join(marked, ["_doc", "_version"], "left").select(*docs.columns, "_spans")
@@ -166,33 +167,31 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at_text)
-            out, counts, gone, runs_ = [], [], [], []
-            for text, spans in zip(texts.to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if text is None or not spans:
-                    out.append(text)
-                    counts.append(0 if text is None else text.count("\n") + 1)
-                    gone.append(0)
-                    runs_.append([])
-                    continue
-                rows = text.split("\n")
-                merged: list[list[int]] = []
-                for a, b in sorted((s["first"], s["first"] + s["lines"]) for s in spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                kept, last = [], 0
+            for at, to, _, _ in text_slices(batch.column(at_text)):
+                yield cut_rows(batch.slice(at, to - at))
+
+    def cut_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out, counts, gone, runs_ = [], [], [], []
+        for text, spans in zip(batch.column(at_text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            merged: list[list[int]] = []
+            for a, b in sorted((s["first"], s["first"] + s["lines"]) for s in spans or ()):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            counts.append(0 if text is None else text.count("\n") + 1)
+            gone.append(sum(b - a for a, b in merged))
+            runs_.append([{"first": a, "lines": b - a} for a, b in merged])
+            if merged:
+                rows, kept, last = text.split("\n"), [], 0
                 for a, b in merged:
                     kept += rows[last:a]
                     last = b
-                out.append("\n".join(kept + rows[last:]))
-                counts.append(len(rows))
-                gone.append(sum(b - a for a, b in merged))
-                runs_.append([{"first": a, "lines": b - a} for a, b in merged])
-            columns = list(batch.columns[:-1])
-            columns[at_text] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), pa.array(runs_, spans_type)], names=[*docs_columns, *added])
+                text = "\n".join(kept + rows[last:])
+            out.append(text)
+        columns = list(batch.columns[:-1])
+        columns[at_text] = pa.array(out, pa.string())
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), pa.array(runs_, spans_type)], names=[*docs_columns, *added])
 
     docs_columns = docs.columns
     return joined.mapInArrow(cut, schema)

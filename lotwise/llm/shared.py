@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
@@ -61,9 +61,13 @@ def release(spark: SparkSession) -> None:
 BROADCAST_ROWS = 1_000_000
 
 
-def small(table: DataFrame) -> DataFrame:
-    """Marks a stored table of narrow rows for broadcast if it has few rows, counted here; else it is shuffled."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def small(table: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Marks a stored table for broadcast if it is small, counted here; else it is shuffled.
+
+    ``weight`` is how many narrow rows a row stands for; 1 if not given.
+    """
+    size = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
 
 
 def tasks_for(spark: SparkSession, least: int = 1) -> int:
