@@ -190,7 +190,7 @@ def train(docs: DataFrame, vocabulary_path: str | None = None) -> LanguageModel:
                 for part in text.split():
                     own.update(as_words(part))
         for lang, own in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")

@@ -140,6 +140,14 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
         found, left, k = stored(found.unionByName(later), "found"), left.where(F.col("n") >= width), k + 1
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """The name, made longer until no column has it."""
+    held = {c.lower() for c in columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Delete later copies of repeated line runs of MIN_WORDS words or more.
 
@@ -155,13 +163,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     added = ["line_count", "lines_removed", "removed"]
     docs = docs.drop(*added)
+    at_doc, at_version, at_spans = (_unused(n, docs.columns) for n in ("_doc", "_version", "_spans"))
     lines = with_positions(line_table(docs))
     runs = repeated_runs(lines).groupBy("start").agg(F.collect_list(F.struct(F.col("p").alias("p"), F.col("n").alias("n"))).alias("spans"))
-    marked = runs.join(lines.select("doc", "version", "start"), "start").select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.transform("spans", lambda s: F.struct((s["p"] - F.col("start")).cast("int").alias("first"), s["n"].cast("int").alias("lines"))).alias("_spans"))
-    marked = small(stored(marked, "marked"), F.size("_spans"))
+    marked = runs.join(lines.select("doc", "version", "start"), "start").select(F.col("doc").alias(at_doc), F.col("version").alias(at_version), F.transform("spans", lambda s: F.struct((s["p"] - F.col("start")).cast("int").alias("first"), s["n"].cast("int").alias("lines"))).alias(at_spans))
+    marked = small(stored(marked, "marked"), F.size(at_spans))
     release(spark)
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_version": F.xxhash64("text")})
-    joined = keyed.join(marked, ["_doc", "_version"], "left").select(*docs.columns, "_spans")
+    keyed = docs.withColumns({at_doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), at_version: F.xxhash64("text")})
+    joined = keyed.join(marked, [at_doc, at_version], "left").select(*docs.columns, at_spans)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", line_count int, lines_removed int, removed array<struct<first: int, lines: int>>"
     at_text, spans_type = docs.columns.index("text"), pa.list_(pa.struct([("first", pa.int32()), ("lines", pa.int32())]))
 
