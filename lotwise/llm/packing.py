@@ -30,9 +30,9 @@ END_ID = 1
 #: Pieces in a partition of the first round.
 PART_PIECES = 20_000
 #: Of each later round, so many partitions of the round before meet in one.
-MEET = 8
-#: Bins that a partition gives back beyond its gap, least full first.
-GIVE = 2
+MEET = 4
+#: Share of its bins that a partition gives back beyond its gap, least full first; full ones stay. With MEET partitions for one, partitions keep their size.
+GIVE = 1 / MEET
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -122,7 +122,7 @@ def _pack_round(items: DataFrame, parts: int, last: bool) -> DataFrame:
         back = np.zeros(len(fill), bool)
         if not last:
             order = np.argsort(fill, kind="stable")
-            back[order[: len(fill) - bound + GIVE]] = True
+            back[order[: len(fill) - bound + math.ceil(GIVE * len(fill))]] = True
             back &= fill < CAPACITY
         out = rows[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
         out["part"] = key[0]
