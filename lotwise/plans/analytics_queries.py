@@ -160,7 +160,7 @@ def deadline_alerts(spark, sf_dir):
 _SCORE = """, a AS (SELECT *, avg(reserve) OVER (PARTITION BY city) AS area_avg, count(*) OVER (PARTITION BY city) AS n_city, count(*) OVER (PARTITION BY category) AS n_bank, count(auction_dt) OVER (PARTITION BY city) AS n_dated, date_diff('day', TIMESTAMP '1998-06-01', date_trunc('day', auction_dt)) AS days FROM listings),
 d AS (SELECT listing_id, least(greatest(100 - (reserve / area_avg - 1) * 100, 0), 100) AS price, least(greatest(40 + 0.5 * n_city, 30), 95) AS location, least(greatest(40 + 0.3 * n_bank, 40), 90) AS bank,
  CASE WHEN days < 0 THEN 0 WHEN days < 3 THEN 60 WHEN days < 14 THEN 90 WHEN days < 30 THEN 80 ELSE 60 END AS urgency, greatest(20, 100 - 2 * n_dated) AS competition, 50 + 10 * (5 - source_rank) AS legal FROM a),
-s AS (SELECT listing_id, round(0.2 * price + 0.15 * location + 0.15 * legal + 0.1 * bank + 0.1 * 60 + 0.1 * urgency + 0.05 * 30 + 0.05 * 60 + 0.05 * competition + 0.05 * 50, 2) AS score FROM d)"""
+s AS (SELECT listing_id, round(0.2 * price + 0.15 * location + 0.15 * legal + 0.1 * bank + 0.1 * 60 + 0.1 * urgency + 0.05 * 30 + 0.05 * 60 + 0.05 * competition + 0.05 * 50 + 0.0000001, 2) AS score FROM d)"""
 
 
 @query(f"{LISTINGS_SQL}{_SCORE} SELECT listing_id, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM s")
@@ -174,7 +174,7 @@ def listing_scores(spark, sf_dir):
     urgency = F.when(days < 0, 0).when(days < 3, 60).when(days < 14, 90).when(days < 30, 80).otherwise(60)
     price, location, bank_ = A.clamp(100 - (F.col("reserve") / F.col("area_avg") - 1) * 100, 0.0, 100.0), A.clamp(40 + 0.5 * F.col("n_city"), 30.0, 95.0), A.clamp(40 + 0.3 * F.col("n_bank"), 40.0, 90.0)
     competition, legal = F.greatest(F.lit(20), 100 - 2 * F.col("n_dated")), 50 + 10 * (5 - F.col("source_rank"))
-    score = F.round(0.2 * price + 0.15 * location + 0.15 * legal + 0.1 * bank_ + 0.1 * F.lit(60) + 0.1 * urgency + 0.05 * F.lit(30) + 0.05 * F.lit(60) + 0.05 * competition + 0.05 * F.lit(50), 2)
+    score = F.round(0.2 * price + 0.15 * location + 0.15 * legal + 0.1 * bank_ + 0.1 * F.lit(60) + 0.1 * urgency + 0.05 * F.lit(30) + 0.05 * F.lit(60) + 0.05 * competition + 0.05 * F.lit(50) + 1e-7, 2)  # off the ties, where the order of a mean's summands shows
     return x.select("listing_id", score.alias("score")).withColumn("grade", A.grade(F.col("score")))
 
 
