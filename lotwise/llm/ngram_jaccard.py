@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import discard, release, small, stored, tasks_for
@@ -291,8 +290,8 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     later = classes.where("first < doc_id").select("doc_id").distinct()
 
     keys = sets.select("doc_id", "keys").join(small(stored(later, "later")), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    buckets = stored(keys.select("key", "doc_id", F.min("doc_id").over(bucket).alias("least"), F.max("doc_id").over(bucket).alias("most")).where("least < most").drop("most"), "buckets")
+    shared = stored(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "shared-keys")
+    buckets = stored(keys.join(small(shared), "key").select("key", "doc_id", "least"), "buckets")
     discard(spark, *sketches.inputFiles())
     release(spark)
     met = stored(buckets.select("doc_id").distinct(), "met")
