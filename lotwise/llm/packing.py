@@ -132,7 +132,8 @@ def _pack_round(items: DataFrame, parts: int, last: bool) -> DataFrame:
         out["gap"] = len(fill) - bound
         return out
 
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(parts)), F.lit(parts)))
+    # by place in the stored table, not by value, so that repeated rows are dealt out too
+    dealt = items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(parts)), F.lit(parts)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, at long, back boolean, gap long"
     return dealt.groupBy("part").applyInPandas(pack, schema)
 
