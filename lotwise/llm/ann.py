@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -44,23 +45,35 @@ GATHER, GROWTH = 50, 0.35
 
 @dataclass
 class Rotations:
-    """Turns vectors into codes: signs of (v - mean) @ axes."""
+    """Turns vectors into codes whose Hamming distance follows the inner product.
+
+    Taking the mean from the rows alone changes no query's order. One more
+    component brings every row to the same length (``reach``, the greatest),
+    and queries have 0 there, so that a larger product is a smaller angle.
+    """
 
     mean: np.ndarray
     axes: np.ndarray
+    reach: float = 0.0
+
+    def codes(self, rows: np.ndarray) -> np.ndarray:
+        return np.packbits(level(rows - self.mean, self.reach) @ self.axes > 0, axis=1, bitorder="little")
 
-    def codes(self, vectors: np.ndarray) -> np.ndarray:
-        bits = (vectors - self.mean) @ self.axes > 0
-        return np.packbits(bits, axis=1, bitorder="little")
+    def query_codes(self, queries: np.ndarray) -> np.ndarray:
+        return np.packbits(np.pad(queries, ((0, 0), (0, 1))) @ self.axes > 0, axis=1, bitorder="little")
 
 
-def learn_rotations(sample: np.ndarray, bits: int = CODE_BITS, rounds: int = ROUNDS) -> Rotations:
+def level(centred: np.ndarray, reach: float) -> np.ndarray:
+    """Rows with one more component that brings them to the length ``reach``."""
+    return np.concatenate((centred, np.sqrt(np.maximum(reach**2 - (centred**2).sum(1, keepdims=True), 0))), 1)
+
+
+def learn_rotations(sample: np.ndarray, mean: np.ndarray, reach: float, bits: int = CODE_BITS, rounds: int = ROUNDS) -> Rotations:
     """Iterative quantisation from several starting turns, side by side."""
-    d = sample.shape[1]
-    mean = sample.mean(0)
-    centred = sample - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=True) if len(sample) < 4 * d else (None, None, np.linalg.eigh(centred.T @ centred)[1].T)
-    projected = centred @ axes.T
+    rows = level(sample - mean, reach)
+    d = rows.shape[1]
+    axes = np.linalg.eigh(rows.T @ rows)[1].T
+    projected = rows @ axes.T
     random = np.random.default_rng(11)
     parts = []
     for _ in range(max(1, -(-bits // d))):
@@ -70,13 +83,12 @@ def learn_rotations(sample: np.ndarray, bits: int = CODE_BITS, rounds: int = ROU
             u, _, v = np.linalg.svd(signs.T @ projected)
             turn = (u @ v).T
         parts.append(axes.T @ turn)
-    every = np.concatenate(parts, 1)
-    whole = max(SUBSTRING_BITS, every.shape[1] // SUBSTRING_BITS * SUBSTRING_BITS)
-    if every.shape[1] < whole:
-        every = np.pad(every, ((0, 0), (0, whole - every.shape[1])))
-    return Rotations(mean, every[:, :whole])
+    every = np.concatenate(parts, 1)[:, :bits]
+    short = -every.shape[1] % SUBSTRING_BITS
+    return Rotations(mean, np.pad(every, ((0, 0), (0, short))), reach)
 
 
+@lru_cache(maxsize=None)
 def near_masks(most: int, bits: int = SUBSTRING_BITS) -> np.ndarray:
     """All substrings that differ from 0 in ``most`` bits at most."""
     return np.array([sum(1 << b for b in some) for k in range(most + 1) for some in combinations(range(bits), k)], np.int64)
@@ -87,12 +99,16 @@ class MultiIndex:
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes = codes
+        self.wide = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
         self.words = np.ascontiguousarray(codes).view(np.uint16).astype(np.int64)
         self.tables = []
         for k in range(self.words.shape[1]):
             order = np.argsort(self.words[:, k], kind="stable")
             self.tables.append((order, np.searchsorted(self.words[order, k], np.arange((1 << SUBSTRING_BITS) + 1))))
 
+    def _wide(self, code: np.ndarray) -> np.ndarray:
+        return np.pad(code, (0, -len(code) % 8)).view(np.uint64)
+
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Every code within the radius, and its distance."""
         reach = radius // self.words.shape[1]
@@ -110,9 +126,10 @@ class MultiIndex:
                     ends = np.cumsum(n)
                     found.append(order[np.arange(ends[-1]) + np.repeat(a - ends + n, n)])
             at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            away = np.bitwise_count(self.wide[at] ^ self._wide(code)).sum(1, dtype=np.int64)
         else:
             at = np.arange(len(self.codes))
-        away = np.bitwise_count(self.codes[at] ^ code).sum(1, dtype=np.int64)
+            away = np.bitwise_count(self.wide ^ self._wide(code)).sum(1, dtype=np.int64)
         near = away <= radius
         return at[near], away[near]
 
@@ -120,11 +137,8 @@ class MultiIndex:
         """All codes within the smallest radius that holds ``least`` of them."""
         least = min(least, len(self.codes))
         substrings = self.words.shape[1]
-        for reach in range(SUBSTRING_BITS + 1):
-            radius = (reach + 1) * substrings - 1  # the largest with that reach
-            probes = sum(math.comb(SUBSTRING_BITS, k) for k in range(reach + 1)) * substrings
-            if probes >= len(self.codes):
-                radius = substrings * SUBSTRING_BITS
+        # a small radius for queries with many close codes, a larger one, then any
+        for radius in (substrings - 1, 3 * substrings - 1, substrings * SUBSTRING_BITS):
             at, away = self.within(code, radius)
             if len(at) >= least:
                 edge = np.partition(away, least - 1)[least - 1]
@@ -157,18 +171,20 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS)
     rows = rows.where(F.size("v") == d)
     share = min(1.0, SAMPLE / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("rotation sample")), F.lit(1_000_000)) < share * 1_000_000).orderBy("vec_id").select("v").toPandas()["v"]
-    rotations = learn_rotations(np.stack(sample.to_list()) if len(sample) else np.eye(d))
+    drawn = np.stack(sample.to_list()) if len(sample) else np.zeros((1, d))
+    mean = drawn.mean(0)
+    square = F.aggregate(F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda total, x: total + x)
+    rotations = learn_rotations(drawn, mean, math.sqrt(rows.agg(F.max(square)).first()[0]))
     held = spark.sparkContext.broadcast(rotations)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            v = lists.flatten().to_numpy().reshape(len(batch), d)
-            codes = held.value.codes(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "code"])
+            v = batch.column(1).flatten().to_numpy().reshape(len(batch), d)
+            binary = lambda rows: pa.array([x.tobytes() for x in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary(v), binary(held.value.codes(v)), binary(held.value.query_codes(v))], names=["vec_id", "v", "code", "query_code"])
 
-    coded = stored(rows.mapInArrow(encode, "vec_id long, v binary, code binary").dropDuplicates(["vec_id", "v"]), "codes")
-    queries = coded.where(F.col("vec_id") % every == 0)
+    coded = stored(rows.mapInArrow(encode, "vec_id long, v binary, code binary, query_code binary").dropDuplicates(["vec_id", "v"]), "codes")
+    queries = coded.where(F.col("vec_id") % every == 0).withColumn("code", F.col("query_code"))
     blocks, query_blocks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(n / every / QUERY_BLOCK))
     each = math.ceil(GATHER * n**GROWTH / blocks * (1 if blocks == 1 else 1.2)) + k
 

@@ -389,6 +389,17 @@ def test_nearest_neighbours(spark):
     assert all(abs(score[r.query_id, r.vec_id] - r.score) < 1e-9 for r in got.itertuples() if (r.query_id, r.vec_id) in score)
 
 
+def test_nearest_neighbours_of_vectors_of_many_lengths(spark):
+    """The largest inner product isn't the smallest angle, and the mean isn't 0."""
+    random = np.random.default_rng(8)
+    v = (random.standard_normal((2500, 32)) + 0.7) * random.uniform(0.3, 2, (2500, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = ann.nearest_neighbours(df).toPandas(), exact(rows)
+    hits = sum(len({i for _, i in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
 def test_nearest_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.5, 0.1]), (20, [3.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest_neighbours(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
