@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textkit import find_sorted, mix, per_row, span_hashes, text_slices, word_spans
+from .shared import text_batches
+from .textkit import find_sorted, keep_nothing, kept, mix, per_row, span_hashes, text_slices, word_spans
 
 #: Pieces of the vocabulary that are longer aren't used.
 PIECE_CHARS = 6
@@ -192,7 +193,7 @@ def train(docs: DataFrame, vocabulary_path: str | None = None) -> LanguageModel:
         for lang, own in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = text_batches(sample.select("lang", "text")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     words = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= SAMPLE_WORDS).orderBy("lang", "rank").toPandas()
     columns = []
@@ -250,14 +251,13 @@ class _Scorer:
         return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score
 
 
-_scorers: list[_Scorer] = []
-
-
 def _scorer_of(model: LanguageModel) -> _Scorer:
     """The scorer of this Python worker, kept over tasks as long as the model is the same."""
-    if not _scorers or _scorers[0].model is not model:
-        _scorers[:] = [_Scorer(model)]
-    return _scorers[0]
+    scorer = kept("language scorer", lambda: _Scorer(model))
+    if scorer.model is not model:
+        keep_nothing()
+        scorer = kept("language scorer", lambda: _Scorer(model))
+    return scorer
 
 
 def with_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
@@ -274,11 +274,12 @@ def with_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer_of(held.value)
         for batch in batches:
-            for at, to, data, offsets in text_slices(batch.column(0)):
+            for at, to, data, offsets in text_slices(batch.column(at_text)):
                 lang, value = scorer(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[1:]), pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(score, schema)
+    at_text = keep.index("text") if "text" in keep else len(keep)
+    return text_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(score, schema)
 
 
 def language_id(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:

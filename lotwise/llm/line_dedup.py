@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release, small, stored
-from .textkit import span_hashes, text_slices, word_spans
+from .shared import release, small, stored, text_batches
+from .textkit import keep_nothing, span_hashes, text_slices, word_spans
 
 MIN_WORDS = 50
 
@@ -52,6 +52,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """doc, version (a hash of the text), ids and words of the lines, and their shortest runs, for each row with text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             for at, to, data, offsets in text_slices(batch.column(2)):
                 breaks = np.flatnonzero(data == 10)
@@ -77,7 +78,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 )
 
     keyed = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
-    return keyed.mapInArrow(cut, "doc long, version long, ids array<long>, run_first array<int>, run_lines array<int>")
+    return text_batches(keyed).mapInArrow(cut, "doc long, version long, ids array<long>, run_first array<int>, run_lines array<int>")
 
 
 def with_positions(lines: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), pa.array(runs_, spans_type)], names=[*docs_columns, *added])
 
     docs_columns = docs.columns
-    return joined.mapInArrow(cut, schema)
+    return text_batches(joined).mapInArrow(cut, schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

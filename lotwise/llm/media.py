@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import scratch
+from .shared import scratch, text_batches
 from .textkit import text_slices
 
 SIDE = 24
@@ -147,7 +147,7 @@ def store_documents(docs: DataFrame, path: str) -> None:
                 files = [write_media(t + b"\xff" * (-len(t) % FRAME or (0 if t else FRAME))) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
+    text_batches(docs.select("doc_id", "text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
 
 
 def media_columns(files: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def media_columns(files: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[f.split()[0] for f in schema.replace("array<struct<offset: long, length: long>>", "x").split(", ")])
 
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
+    return text_batches(files.select("doc_id", "n_bytes", "media")).mapInArrow(read, schema)
 
 
 def document_media(docs: DataFrame) -> DataFrame:

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, release, small, stored, tasks_for
-from .textkit import find_sorted, mix, per_row, shingle_sets, text_slices
+from .shared import discard, release, small, stored, tasks_for, text_batches
+from .textkit import find_sorted, keep_nothing, mix, per_row, shingle_sets, text_slices
 
 #: Similarity 0.75 as a fraction.
 SIMILAR = (75, 100)
@@ -167,6 +167,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             often = times >= 3
             return pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["shingle", "sets"])
 
+        keep_nothing()
         held, size = [], 0
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
@@ -182,7 +183,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         if held:
             yield flush(held)
 
-    counts = docs.select("text").mapInArrow(count, "shingle long, sets long")
+    counts = text_batches(docs.select("text")).mapInArrow(count, "shingle long, sets long")
     top = counts.groupBy("shingle").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= FREQUENT).orderBy(F.desc("sets"), "shingle").limit(FREQUENT_MOST)
     return np.sort(top.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(_U))
 
@@ -209,7 +210,7 @@ def document_sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, schema)
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(sketch, schema)
 
 
 def similar(one: np.ndarray, other: np.ndarray) -> bool:
@@ -257,7 +258,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         found_b.append(b_all[i])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return together.mapInArrow(compare, "a long, b long")
+    return text_batches(together).mapInArrow(compare, "a long, b long")
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -333,7 +334,7 @@ def _bit_sketches(texts: DataFrame) -> DataFrame:
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int64)), pa.py_buffer(packed)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n.astype(np.int64)), raw.cast(pa.binary())], names=["doc_id", "n", "bits"])
 
-    return texts.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, bits binary")
+    return text_batches(texts.select("doc_id", "text")).mapInArrow(sketch, "doc_id long, n long, bits binary")
 
 
 def _folded(bits: bytes, size: int) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, text_batches
 from .textkit import text_slices
 from .tokens import tokenizer_file, word_tokenizer
 
@@ -108,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                         crc.append(zlib.crc32(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([docs_.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _pack_round(items: DataFrame, parts: int, last: bool) -> DataFrame:

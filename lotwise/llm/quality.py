@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import bucket
-from .textkit import per_row, span_hashes, text_slices, word_spans
+from .shared import text_batches
+from .textkit import keep_nothing, per_row, span_hashes, text_slices, word_spans
 
 #: Labelled rows that the model is fitted to, about (chosen by a hash of doc_id).
 SAMPLE_ROWS = 20_000
@@ -33,6 +34,7 @@ STATS = ["log_bytes", "log_words", "word_bytes", "upper", "letters", "digits", "
 _KINDS = np.zeros((256, 8), np.float32)
 for _column, _chars in enumerate([range(65, 91), [*range(65, 91), *range(97, 123), *range(128, 256)], range(48, 58), b"#$%&*@^_~=+<>\\/{}[]", b"|", b"!?", b".,;:", range(192, 256)]):
     _KINDS[list(_chars), _column] = 1
+_COLUMNS = np.ascontiguousarray(_KINDS.T)
 
 
 def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,7 +42,7 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n, size = len(offsets) - 1, np.diff(offsets)
     shares = np.zeros((n, _KINDS.shape[1]))
     for k in range(_KINDS.shape[1]):
-        shares[:, k] = per_row(np.add, _KINDS[:, k][data], offsets)
+        shares[:, k] = per_row(np.add, _COLUMNS[k][data], offsets)
     shares /= np.maximum(size, 1)[:, None]
     starts, ends, first = word_spans(data, offsets)
     words = np.diff(first)
@@ -78,12 +80,14 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), *(f"{s} double" for s in STATS)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
-            for at, to, data, offsets in text_slices(batch.column(0)):
+            for at, to, data, offsets in text_slices(batch.column(at_text)):
                 values = np.round(_statistics(data, offsets), 6)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[1:]), *(pa.array(values[:, k]) for k in range(len(STATS)))], names=[*keep, *STATS])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[: len(keep)]), *(pa.array(values[:, k]) for k in range(len(STATS)))], names=[*keep, *STATS])
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(measure, schema)
+    at_text = keep.index("text") if "text" in keep else len(keep)
+    return text_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(measure, schema)
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, at most?, threshold) ...

@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textkit import find_sorted, span_hashes, text_slices
+from .shared import text_batches
+from .textkit import find_sorted, kept, span_hashes, text_slices
 
 MARK = "▁"
 #: Threads of a batch of units; a task's share of an executor's cores.
@@ -270,15 +271,9 @@ def build_tokenizer_cached(codec: Codec):
     return codec.alone
 
 
-_held: dict[str, Codec] = {}
-
-
 def codec_of(path: str) -> Codec:
     """The codec of this Python worker."""
-    if path not in _held:
-        _held.clear()
-        _held[path] = Codec(path)
-    return _held[path]
+    return kept(f"codec {path}", lambda: Codec(path))
 
 
 def sentencepiece_codec(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
@@ -318,7 +313,7 @@ def sentencepiece_codec(docs: DataFrame, path: str | None = None, ids: bool = Fa
                     columns.append(pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(found.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

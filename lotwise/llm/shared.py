@@ -70,6 +70,19 @@ def small(table: DataFrame, weight: Column | None = None) -> DataFrame:
     return F.broadcast(table) if size <= BROADCAST_ROWS else table
 
 
+#: Rows of an Arrow batch that holds texts; some of them are long, and several batches are in memory at once.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(texts: DataFrame) -> DataFrame:
+    """``texts`` unchanged; from now on the session passes at most TEXT_ROWS rows to Python at a time."""
+    conf = texts.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= TEXT_ROWS:
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return texts
+
+
 def tasks_for(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions to ask for where a plan names the number itself."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -7,14 +7,14 @@ character, so the results equal those on decoded text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
 #: Bytes of text that are handled at once; bounds a task's memory, not its input.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -140,6 +140,22 @@ def per_row(ufunc: np.ufunc, values: np.ndarray, begin: np.ndarray) -> np.ndarra
     return out
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that stages in turn don't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_nothing() -> None:
+    """For tasks that need the memory for themselves."""
+    _kept.clear()
+
+
 def find_sorted(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Where each value stands in the sorted table, -1 if it doesn't."""
     if not len(table):

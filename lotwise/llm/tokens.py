@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from .textkit import find_sorted, span_hashes, word_spans
+from .textkit import find_sorted, kept, span_hashes, word_spans
 
 #: Joins words in one call; a word of its own to the pre-tokenizer, and one token.
 _MARK = "\x01"
@@ -41,8 +41,8 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.places = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.places = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +87,6 @@ class WordTokenizer:
         return self.ids[take], begin[first]
 
 
-_held: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of this Python worker."""
-    if path not in _held:
-        _held.clear()
-        _held[path] = WordTokenizer(path)
-    return _held[path]
+    return kept(f"word tokenizer {path}", lambda: WordTokenizer(path))

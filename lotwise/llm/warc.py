@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, stored
+from .shared import scratch, stored, text_batches
 
 #: Marks a skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield close()
 
-    return stored(with_revisits(pages).mapInArrow(write, "archive string, record_offset long, page_id long"), "warc-index")
+    return stored(text_batches(with_revisits(pages)).mapInArrow(write, "archive string, record_offset long, page_id long"), "warc-index")
 
 
 def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
