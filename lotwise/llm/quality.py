@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .shared import text_batches
 from .textkit import keep_nothing, per_row, span_hashes, text_slices, word_spans
 
 #: Labelled rows that the model is fitted to, about (chosen by a hash of doc_id).
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 TREES = 24
 DEPTH = 3
 LASSO = 0.001
@@ -139,12 +140,9 @@ def fit_rules(sample: DataFrame) -> RuleEnsemble:
     table = features.transform(local).select("quality", "statistics", *STATS).cache()
     forest = RandomForestClassifier(labelCol="quality", featuresCol="statistics", numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=max(2, len(rows) // 400), featureSubsetStrategy="onethird").fit(table)
     rules = sorted({rule for tree in forest.trees for rule in tree_rules(tree._call_java("rootNode"))})
-    flags = np.stack([np.logical_and.reduce([rows[name] <= at if most else rows[name] > at for name, most, at in rule]) for rule in rules], 1).astype(float)
     table.unpersist()
-    held = spark.createDataFrame([(float(q), r.tolist()) for q, r in zip(rows["quality"], flags, strict=True)], "quality double, held array<double>")
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = held.select("quality", array_to_vector("held").alias("rules")).coalesce(1).cache()
+    held = local.select("quality", F.array(*map(rule_column, rules)).alias("held"))
+    vectors = held.select("quality", array_to_vector("held").alias("rules")).cache()
     lasso = LogisticRegression(labelCol="quality", featuresCol="rules", elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(vectors)
     vectors.unpersist()
     weights = lasso.coefficients.toArray()
