@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sentencepiece_codec import BYTE, CONTROL, PieceModel
+from .sentencepiece_codec import UNKNOWN as UNKNOWN_PIECE
 from .shared import text_batches
 from .textkit import find_sorted, keep_nothing, kept, mix, per_row, span_hashes, text_slices, word_spans
 
@@ -36,6 +38,8 @@ SMOOTH = 0.05
 #: The evidence of a text counts as that of so many words at most.
 EVIDENCE_WORDS = 20
 UNKNOWN = "und"
+#: Words whose lattices are in memory at once.
+LATTICE_WORDS = 4000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -46,14 +50,13 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 def vocabulary(path: str | None = None) -> list[str]:
     """The distinct pieces of up to PIECE_CHARS characters, lower-cased, of a public SentencePiece model."""
-    import sentencepiece
-
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    usual = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+    with open(path, "rb") as f:
+        model = PieceModel.parse(f.read())
+    usual = (p.lower() for p, kind in zip(model.pieces, model.types, strict=True) if kind not in (UNKNOWN_PIECE, CONTROL, BYTE))
     return sorted({p for p in usual if 0 < len(p) <= PIECE_CHARS})
 
 
@@ -121,8 +124,8 @@ def word_log_likelihoods(words: list[str], pieces: Pieces, p: np.ndarray) -> np.
     """Log of the summed segmentations of each word in each language."""
     out = np.zeros((len(words), p.shape[1]))
     order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for a in range(0, len(words), 20_000):  # words of like length share a matrix
-        some = order[a : a + 20_000]
+    for a in range(0, len(words), LATTICE_WORDS):  # words of like length share a matrix
+        some = order[a : a + LATTICE_WORDS]
         grid, sizes = _codes([words[i] for i in some.tolist()])
         alpha = _forward(pieces.lattice(grid), p, len(some))
         out[some] = np.log(alpha[sizes, np.arange(len(some))])
@@ -136,8 +139,8 @@ def fit_pieces(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for r in range(rounds):
         expected = np.zeros(n)
-        for a in range(0, len(words), 20_000):
-            some = order[a : a + 20_000]
+        for a in range(0, len(words), LATTICE_WORDS):
+            some = order[a : a + LATTICE_WORDS]
             grid, sizes = _codes([words[i] for i in some])
             weight = counts[some].astype(float)
             lattice = pieces.lattice(grid)
