@@ -292,7 +292,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
     keys = sets.select("doc_id", "keys").join(small(stored(later, "later")), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "shared-keys")
-    buckets = stored(keys.join(small(shared), "key").select("key", "doc_id", "least"), "buckets")
+    buckets = stored(keys.join(shared, "key").select("key", "doc_id", "least"), "buckets")
     discard(spark, sketches)  # most of the scratch space, and not read again
     release(spark)
     met = stored(buckets.select("doc_id").distinct(), "met")
