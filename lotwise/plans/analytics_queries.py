@@ -289,4 +289,4 @@ def conversation_turns(spark, sf_dir):
 def conversation_scope(spark, sf_dir):
     """What a thread last asked for carries over to its later turns."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.substring("text", 1, 12)), ignorenulls=True).over(w).alias("scope"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w).alias("scope"))
