@@ -16,18 +16,22 @@ def benchmark_rings(subjects: DataFrame, peers: DataFrame, rings: dict[str, list
 
     ``subjects`` and ``peers`` have key, unit_price and the ring columns. Rings
     are taken side by side, each by its own columns; those with fewer than
-    ``least`` peers give no row. Peer values are aggregated once a ring and then
-    joined, so a subject costs no pass of its own.
+    ``least`` peers give no row. Peers are counted once for each price of a ring
+    and subjects joined by ring and price, so a subject costs no pass of its own
+    and all peers can be subjects. A null price is below nothing.
     """
     out = None
     for name, by in rings.items():
-        whole = peers.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile("unit_price", F.lit(q)).alias(c) for q, c in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]).where(F.col("n") >= least)
-        # how many peers are below each subject: one sorted window over peers and subjects together
-        both = peers.select(*by, "unit_price", F.lit(None).cast("long").alias("key")).unionByName(subjects.select(*by, "unit_price", "key"))
-        ranked = both.withColumn("below", F.sum(F.when(F.col("key").isNull(), 1).otherwise(0)).over(Window.partitionBy(*by).orderBy("unit_price").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-        ties = both.where("key IS NULL").groupBy(*by, "unit_price").agg(F.count("*").alias("ties"))
-        placed = ranked.where("key IS NOT NULL").join(ties, [*by, "unit_price"], "left").withColumn("below", F.col("below") - F.coalesce("ties", F.lit(0)))
-        one = placed.join(whole, by).select("key", F.lit(name).alias("ring"), "n", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p75")], "below", F.round(100 * F.col("below") / F.col("n"), 2).alias("percent_below"))
+        # subjects' own prices are among the prices, with no peer of theirs
+        both = peers.select(*by, "unit_price", F.lit(1).alias("_n")).unionByName(subjects.select(*by, "unit_price", F.lit(0).alias("_n")))
+        prices = both.groupBy(*by, "unit_price").agg(F.sum("_n").alias("_n"))
+        whole = prices.groupBy(*by).agg(F.sum("_n").alias("n"), *[F.percentile("unit_price", F.lit(q), F.col("_n")).alias(c) for q, c in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]).where(F.col("n") >= least)
+        cheaper = F.sum(F.when(F.col("unit_price").isNotNull(), F.col("_n"))).over(Window.partitionBy(*by).orderBy("unit_price").rowsBetween(Window.unboundedPreceding, -1))
+        placed = prices.withColumn("below", F.coalesce(cheaper, F.lit(0))).join(whole, by).withColumnsRenamed({c: f"_{c}" for c in (*by, "unit_price")})
+        same = F.col("unit_price").eqNullSafe(F.col("_unit_price"))
+        for c in by:
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        one = subjects.select("key", *by, "unit_price").join(placed, same).select("key", F.lit(name).alias("ring"), "n", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p75")], "below", F.round(100 * F.col("below") / F.col("n"), 2).alias("percent_below"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -46,10 +46,9 @@ def _rings_sql() -> str:
 
 @query(_rings_sql())
 def benchmark_rings(spark, sf_dir):
-    """The newest lot of each city against its rings of peers."""
+    """Every lot against its rings of peers."""
     peers = _peers(spark, sf_dir)
-    newest = peers.groupBy("city").agg(F.max_by(F.struct("lot_type", "city", "state", "unit_price", "key"), "key").alias("s")).select("s.*")
-    return A.benchmark_rings(newest, peers, _RINGS)
+    return A.benchmark_rings(peers, peers, _RINGS)
 
 
 @query(f"WITH {LOTS_SQL}, n AS (SELECT listing_id, count(*) AS lot_count, min(extent) AS extent, bool_or(possession = 'A') AS resolved FROM lots GROUP BY 1), r AS (SELECT CASE WHEN o_totalprice IS NULL THEN 'no_reserve' WHEN coalesce(lot_count, 0) = 0 THEN 'no_lots' WHEN lot_count > 1 AND NOT resolved THEN 'several_lots' WHEN extent IS NULL OR NOT extent BETWEEN 10 AND 500000 THEN 'no_extent' END AS reason FROM orders LEFT JOIN n ON listing_id = o_orderkey) SELECT reason, count(*) AS n FROM r GROUP BY 1")
