@@ -5,10 +5,18 @@ of punctuation and white space as one space, equivalent spellings as one. The
 digest of the entire form is looked up among those of known licence texts and
 notices by a hash join. Documents are looked up as a whole, and each of their
 lines as a text of its own.
+
+Whole licence texts are looked up by a second form, in which only lines that
+name a holder or a year are copyright lines, so that it doesn't depend on where
+lines break. license_texts.csv has the digests of the texts with their usual
+titles and variants.
 """
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +83,19 @@ _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(copyright|©|\(c\)).*$"
 _APART = r"[^\p{L}\p{N}]+"
 #: Every known text holds one of these in canonical form, under any spelling; other texts need no digest.
 _MARKERS = "(?i)licen|permission"
+#: The same for the whole texts, all of which are longer than SHORTEST characters.
+_TEXT_MARKERS = "(?i)licen|permission|redistribution|unencumbered"
+SHORTEST = 400
+_HOLDER = r"(?m)^[^\p{L}\p{N}\n©]*(copyright(?=[^\n]*(©|\(c\)|\p{N}{4}|<|\[))|©|\(c\)\s*(copyright|\p{N}{4}|<)|all rights reserved\W*$).*$"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; null for a null text and for one without letters and digits."""
-    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _APART, " "), F.lit(" "))
+    return _plain(F.regexp_replace(F.lower(text), _COPYRIGHT, ""))
+
+
+def _plain(lower: Column) -> Column:
+    out = F.concat(F.lit(" "), F.regexp_replace(lower, _APART, " "), F.lit(" "))
     out = F.regexp_replace(out, " +", " ")
     for other, usual in EQUIVALENT:
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {usual} "))
@@ -91,11 +107,30 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def text_digest(text: Column) -> Column:
+    return F.sha2(_plain(F.regexp_replace(F.lower(text), _HOLDER, "")), 256)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """digest, license_id: a fixed table of a few dozen rows."""
     return spark.createDataFrame(KNOWN, "license_id string, text string").select(digest(F.col("text")).alias("digest"), "license_id").dropDuplicates(["digest"])
 
 
+def license_texts(spark: SparkSession) -> DataFrame:
+    """text_digest, text_id: a packaged table of about two hundred rows."""
+    with Path(__file__).with_name("license_texts.csv").open(newline="") as f:
+        return spark.createDataFrame([(r["digest"], r["license_id"]) for r in csv.DictReader(f)], "text_digest string, text_id string")
+
+
+def identified(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with license_id: the licence that the entire ``text`` is, or null."""
+    known, texts = F.broadcast(known_licenses(rows.sparkSession)), F.broadcast(license_texts(rows.sparkSession))
+    c = F.col(text)
+    digests = {"digest": F.when(c.rlike(_MARKERS), digest(c)), "text_digest": F.when((F.length(c) > SHORTEST) & c.rlike(_TEXT_MARKERS), text_digest(c))}
+    found = rows.withColumns(digests).join(known, "digest", "left").join(texts, "text_digest", "left")
+    return found.select(*rows.columns, F.coalesce("license_id", "text_id").alias("license_id"))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, license_id, notice_lines, notices.
 
@@ -104,11 +139,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     commas ('' for none). A null or empty text has none. Rows that repeat a
     doc_id share their notices; a null doc_id has no notices.
     """
-    known = F.broadcast(known_licenses(docs.sparkSession))
-    marked = F.col("text").rlike(_MARKERS)
-    lines = docs.where(marked & F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(_MARKERS))
-    notices = lines.withColumn("digest", digest(F.col("line"))).join(known, "digest").groupBy("doc_id").agg(F.count("*").alias("notice_lines"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    whole = docs.select("doc_id", F.when(marked, digest(F.col("text"))).alias("digest")).join(known, "digest", "left").select("doc_id", "license_id")
+    marked = F.col("text").rlike(_TEXT_MARKERS)
+    lines = docs.where(marked & F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(_TEXT_MARKERS))
+    notices = identified(lines, "line").where("license_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("notice_lines"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    whole = identified(docs.select("doc_id", "text"), "text").select("doc_id", "license_id")
     return whole.join(notices, "doc_id", "left").select("doc_id", "license_id", F.coalesce("notice_lines", F.lit(0)).alias("notice_lines"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
