@@ -9,7 +9,11 @@ model's scores imply, byte fallback, and the decoder.
 Where no piece has a marker after another character, or holds a line feed
 beside others, text falls into units at these places that are encoded on their
 own. Tasks then encode each distinct unit once, in multithreaded batches, and
-hold it against the sentencepiece library (parity).
+hold its ids against the sentencepiece library's. Parity of a text is therefore
+that of its units, not of the whole text in one call. The rebuilt
+normaliser runs for other models only, whose parity is that of whole texts. For
+all models ids are decoded by a table of pieces, not by the rebuilt decoder, and
+held against the text itself (round_trip), not against the library.
 """
 
 from __future__ import annotations
@@ -281,8 +285,8 @@ def sentencepiece_codec(docs: DataFrame, path: str | None = None, ids: bool = Fa
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit numbers.
     round_trip: whether decoding gives the text back, byte for byte; parity:
-    whether the sentencepiece library gives the same ids. A null or empty text
-    has no ids, a null doc_id stays null, and repeated rows stay.
+    whether the sentencepiece library gives the same ids (for each unit, where a
+    text falls into units). A null or empty text has no ids, a null doc_id stays null, and repeated rows stay.
     """
     if path is None:
         import public_tokenizers
