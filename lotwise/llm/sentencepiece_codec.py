@@ -8,12 +8,12 @@ model's scores imply, byte fallback, and the decoder.
 
 Where no piece has a marker after another character, or holds a line feed
 beside others, text falls into units at these places that are encoded on their
-own. Tasks then encode each distinct unit once, in multithreaded batches, and
-hold its ids against the sentencepiece library's. Parity of a text is therefore
-that of its units, not of the whole text in one call. The rebuilt
-normaliser runs for other models only, whose parity is that of whole texts. For
-all models ids are decoded by a table of pieces, not by the rebuilt decoder, and
-held against the text itself (round_trip), not against the library.
+own. Tasks then encode each distinct unit (told apart by its bytes) once, in
+multithreaded batches, and hold its ids against the sentencepiece library's and
+its decoded bytes against the rebuilt decoder's. Parity of a text is therefore
+that of its units, not of the whole text in one call. The rebuilt normaliser runs
+for other models only, whose parity is that of whole texts. Rows are put together
+from a table of the pieces' bytes and held against the text (round_trip).
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import text_batches
-from .textkit import find_sorted, kept, span_hashes, text_slices
+from .textkit import SpanNumbers, kept, text_slices
 
 MARK = "▁"
-#: Threads of a batch of units; a task's share of an executor's cores.
-THREADS = 2
 #: Parts the units of a batch; encoded as one byte-fallback token, which is then dropped.
 _SEAM = "\x01"
 _JOINED = 2000
@@ -170,7 +169,9 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Codec:
     """Encodes and decodes rows of UTF-8 texts."""
 
-    def __init__(self, path: str, threads: int = THREADS) -> None:
+    def __init__(self, path: str) -> None:
+        task = TaskContext.get()
+        threads = task.cpus() if task else 1  # a task's share of its executor
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -181,17 +182,20 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_units = self.model.units_part()
         self.tokenizer = build_tokenizer(self.model, seams=self.by_units)
+        self.whole = build_tokenizer(self.model)
         self.seam = self.tokenizer.encode(_SEAM, add_special_tokens=False).ids if self.by_units else []
         if len(self.seam) != 1:
             self.by_units = False
-            self.tokenizer = build_tokenizer(self.model)
+            self.tokenizer = self.whole
         plain = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(self.model.pieces, self.model.types, strict=True)]
         self.piece_at = np.concatenate(([0], np.cumsum([len(p) for p in plain])))
         self.piece_bytes = np.frombuffer(b"".join(plain), np.uint8)
+        self.numbers = SpanNumbers(_KEEP_UNITS)
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers.clear()
+        self.places, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.equal, self.ids = np.zeros(0, bool), np.zeros(0, np.uint32)
 
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,10 +217,19 @@ class Codec:
         want = [row[2:] for row in self.reference.encode(["\n" + u for u in units], num_threads=self.threads)]
         flat = np.array([i for row in want for i in row], np.uint32)
         want_sizes = np.array([len(row) for row in want])
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         if len(flat) == len(ids) and (flat == ids).all() and (want_sizes == sizes).all():
-            return ids, sizes, np.ones(len(units), bool)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, sizes, np.array([ids[a:b].tolist() == row for a, b, row in zip(ends[:-1].tolist(), ends[1:].tolist(), want, strict=True)], bool)
+            equal = np.ones(len(units), bool)
+        else:
+            equal = np.array([ids[a:b].tolist() == row for a, b, row in zip(ends[:-1].tolist(), ends[1:].tolist(), want, strict=True)], bool)
+        return ids, sizes, equal & self._decoded_alike(ids, ends)
+
+    def _decoded_alike(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the rebuilt decoder gives each row the bytes that :meth:`decode` gives it."""
+        rows = [ids[a:b].tolist() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        own, cuts = self.decode(ids, begin)
+        theirs = self.whole.decode_batch(rows, skip_special_tokens=False)
+        return np.array([own[a:b].decode("utf-8", "replace") == t for a, b, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), theirs, strict=True)], bool)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows, where each row begins, and each row's parity. A row without bytes has no ids."""
@@ -226,31 +239,26 @@ class Codec:
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             got = [e.ids if t else [] for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
             want = self.reference.encode(texts, num_threads=self.threads)
-            return np.array([i for row in got for i in row], np.uint32), np.concatenate(([0], np.cumsum([len(r) for r in got]))).astype(np.int64), np.array([a == b for a, b in zip(got, want, strict=True)], bool)
+            ids, begin = np.array([i for row in got for i in row], np.uint32), np.concatenate(([0], np.cumsum([len(r) for r in got]))).astype(np.int64)
+            return ids, begin, np.array([a == b for a, b in zip(got, want, strict=True)], bool) & self._decoded_alike(ids, begin)
         full = np.diff(offsets) > 0
         data = np.insert(data, offsets[:-1][full], 32)
         offsets = offsets + np.concatenate(([0], np.cumsum(full)))
         starts, ends, first = unit_spans(data, offsets)
-        distinct, index, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = find_sorted(self.hashes, distinct)
-        new = np.flatnonzero(at < 0)
+        if self.numbers.full(len(starts)):
+            self._forget()
+        number, new = self.numbers(data, starts, ends)
         if len(new):
-            if len(self.hashes) + len(new) > _KEEP_UNITS:
-                self._forget()
-                new = np.arange(len(distinct))
             raw = data.tobytes()
-            ids, sizes, equal = self._encode_units([raw[a:b].decode() for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)])
-            where = np.searchsorted(self.hashes, distinct[new])
-            self.hashes = np.insert(self.hashes, where, distinct[new])
-            self.places = np.insert(self.places, where, len(self.ids) + np.concatenate(([0], np.cumsum(sizes)))[:-1])
-            self.sizes = np.insert(self.sizes, where, sizes)
-            self.equal = np.insert(self.equal, where, equal)
+            ids, sizes, equal = self._encode_units([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self.places = np.concatenate((self.places, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.equal = np.concatenate((self.equal, equal))
             self.ids = np.concatenate((self.ids, ids))
-            at = np.searchsorted(self.hashes, distinct)
-        sizes = self.sizes[at][back]
+        sizes = self.sizes[number]
         begin = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.ids[np.arange(begin[-1]) + np.repeat(self.places[at][back] - begin[:-1], sizes)]
-        wrong = np.concatenate(([0], np.cumsum(~self.equal[at][back])))
+        ids = self.ids[np.arange(begin[-1]) + np.repeat(self.places[number] - begin[:-1], sizes)]
+        wrong = np.concatenate(([0], np.cumsum(~self.equal[number])))
         return ids, begin[first], wrong[first[1:]] == wrong[first[:-1]] if n else np.zeros(0, bool)
 
     def decode(self, ids: np.ndarray, begin: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -285,8 +293,8 @@ def sentencepiece_codec(docs: DataFrame, path: str | None = None, ids: bool = Fa
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit numbers.
     round_trip: whether decoding gives the text back, byte for byte; parity:
-    whether the sentencepiece library gives the same ids (for each unit, where a
-    text falls into units). A null or empty text has no ids, a null doc_id stays null, and repeated rows stay.
+    whether the sentencepiece library gives the same ids and the rebuilt decoder
+    the same text (for each unit, where a text falls into units). A null or empty text has no ids, a null doc_id stays null, and repeated rows stay.
     """
     if path is None:
         import public_tokenizers

@@ -22,8 +22,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _STEP = 0x9E3779B97F4A7C15
-_BASE = 0xD1342543DE82EF95 | 1
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,20 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_STEP))
+#: Keeps the bytes of a chunk that belong to a span, by their number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)
 _PLACE = mix(np.arange(1001, 1001 + SHINGLE_WORDS, dtype=_U) * _U(_STEP)) | _U(1)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE, _U), np.full(n, pow(_BASE, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
-
-
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about ``limit`` bytes.
 
@@ -88,12 +77,101 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes, equal hash."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(_STEP))
+def span_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each span as 64-bit chunks, zeros after its end, and where each span's chunks begin (one more entry than spans)."""
+    length = ends - starts
+    begin = np.concatenate(([0], np.cumsum((length + 7) >> 3)))
+    if not begin[-1]:
+        return np.zeros(0, _U), begin
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    view = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # every position's next eight bytes
+    span = np.repeat(np.arange(len(starts)), np.diff(begin))
+    place = (np.arange(begin[-1]) - begin[span]) << 3
+    return view[starts[span] + place] & _LOW_BYTES[np.minimum(length[span] - place, 8)], begin
+
+
+def chunk_hashes(chunks: np.ndarray, begin: np.ndarray, length: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span from its chunks: each is mixed with its place, which isn't linear in the bytes.
+
+    Equal bytes have equal hashes; different ones may collide like random
+    numbers, so that whoever needs certainty compares chunks. Lanes are
+    independent of one another.
+    """
+    place = (np.arange(len(chunks)) - np.repeat(begin[:-1], np.diff(begin))).astype(_U)
+    key = mix((place + _U(1)) * _U(_STEP) + _U(lane))
+    return mix(per_row(np.add, mix(mix(chunks ^ key) + key), begin) + length.astype(_U) * _U(_STEP) + _U(lane))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span, see :func:`chunk_hashes`."""
+    chunks, begin = span_chunks(data, starts, ends)
+    return chunk_hashes(chunks, begin, ends - starts, lane)
+
+
+class SpanNumbers:
+    """Numbers byte spans: equal numbers exactly for equal bytes, which are compared and not only hashed.
+
+    Spans are remembered from call to call. A span whose hash belongs to other
+    bytes gets a number of its own each time it comes.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.count = 0
+        self.hashes, self.number = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.chunks, self.place, self.length = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def full(self, more: int) -> bool:
+        return len(self.hashes) > 0 and len(self.hashes) + more > self.most
+
+    def _same(self, at: np.ndarray, chunks: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether each span has the bytes of the kept span ``at``."""
+        ok = self.length[at] == length
+        span = np.repeat(np.arange(len(at)), np.where(ok, np.diff(begin), 0))
+        sizes = np.bincount(span, minlength=len(at))
+        j = np.arange(len(span)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        differ = chunks[begin[span] + j] != self.chunks[self.place[at[span]] + j]
+        ok[span[differ]] = False
+        return ok
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each span, and the indices of spans whose numbers are new: self.count before the call and the ones after it, in order."""
+        chunks, begin = span_chunks(data, starts, ends)
+        length = ends - starts
+        hashes = chunk_hashes(chunks, begin, length)
+        distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(find_sorted(self.hashes, distinct) < 0)
+        fresh = index[new]
+        if len(new):
+            sizes = np.diff(begin)[fresh]
+            take = np.repeat(begin[fresh] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            where = np.searchsorted(self.hashes, distinct[new])
+            self.hashes = np.insert(self.hashes, where, distinct[new])
+            self.number = np.insert(self.number, where, self.count + np.arange(len(new)))
+            self.place = np.insert(self.place, where, len(self.chunks) + np.cumsum(sizes) - sizes)
+            self.length = np.insert(self.length, where, length[fresh])
+            self.chunks = np.concatenate((self.chunks, chunks[take]))
+            self.count += len(new)
+        at = np.searchsorted(self.hashes, distinct)[back]
+        out = self.number[at]
+        odd = np.flatnonzero(~self._same(at, chunks, begin, length))
+        if len(odd):
+            raw = data.tobytes()
+            own: dict[bytes, int] = {}
+            first = []
+            for i in odd.tolist():
+                span = raw[starts[i] : ends[i]]
+                if span not in own:
+                    own[span] = self.count
+                    first.append(i)
+                    self.count += 1
+                out[i] = own[span]
+            fresh = np.concatenate((fresh, np.array(first, np.int64)))
+        return out, fresh
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from .textkit import find_sorted, kept, span_hashes, word_spans
+from .textkit import SpanNumbers, kept, word_spans
 
 #: Joins words in one call; a word of its own to the pre-tokenizer, and one token.
 _MARK = "\x01"
@@ -28,7 +28,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of rows of words, with the words seen so far kept as sorted arrays."""
+    """Ids of rows of words; words seen so far are kept and told apart by their bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,12 +37,13 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.numbers = SpanNumbers(_KEEP_WORDS)
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.places = np.zeros(0, np.int32)
-        self.sizes = np.zeros(0, np.int32)
+        self.numbers.clear()
+        self.places = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,27 +64,18 @@ class WordTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and where each row begins (one more entry than rows)."""
         starts, ends, first = word_spans(data, offsets)
-        hashes = span_hashes(data, starts, ends)
-        distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = find_sorted(self.hashes, distinct)
-        new = np.flatnonzero(at < 0)
+        if self.numbers.full(len(starts)):
+            self._forget()
+        number, new = self.numbers(data, starts, ends)
         if len(new):
-            if len(self.hashes) + len(new) > _KEEP_WORDS:
-                self._forget()
-                new = np.arange(len(distinct))
             raw = data.tobytes()
-            words = [raw[a:b].decode("utf-8") for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
-            ids, sizes = self.encode_words(words)
-            places = len(self.ids) + np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            where = np.searchsorted(self.hashes, distinct[new])
-            self.hashes = np.insert(self.hashes, where, distinct[new])
-            self.places = np.insert(self.places, where, places)
-            self.sizes = np.insert(self.sizes, where, sizes)
+            ids, sizes = self.encode_words([raw[a:b].decode("utf-8") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self.places = np.concatenate((self.places, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
             self.ids = np.concatenate((self.ids, ids))
-            at = np.searchsorted(self.hashes, distinct)
-        sizes = self.sizes[at][back]
+        sizes = self.sizes[number]
         begin = np.concatenate(([0], np.cumsum(sizes)))
-        take = np.arange(begin[-1]) + np.repeat(self.places[at][back] - begin[:-1], sizes)
+        take = np.arange(begin[-1]) + np.repeat(self.places[number] - begin[:-1], sizes)
         return self.ids[take], begin[first]
 
 
