@@ -4,8 +4,11 @@ Every language has a probability for each piece of a fixed public vocabulary.
 The likelihood of a word is the sum over all ways to cut it into pieces of the
 product of their probabilities, which a forward pass adds up; a text's is the
 product over its words. The probabilities are fitted by expectation
-maximisation (forward and backward passes) to word counts of a bounded sample
-of training documents for each language.
+maximisation (forward and backward passes, on Spark) to the word counts of a
+bounded sample of training documents for each language.
+
+Long words are cut only where no piece of the vocabulary crosses: there every
+segmentation has a boundary, so the sum is the product of the parts' sums.
 """
 
 from __future__ import annotations
@@ -18,28 +21,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .sentencepiece_codec import BYTE, CONTROL, PieceModel
 from .sentencepiece_codec import UNKNOWN as UNKNOWN_PIECE
-from .shared import text_batches
-from .textkit import find_sorted, keep_nothing, kept, mix, per_row, span_hashes, text_slices, word_spans
-
-#: Pieces of the vocabulary that are longer aren't used.
-PIECE_CHARS = 6
-#: Runs of more characters without white space are cut into words of this length.
-WORD_CHARS = 32
-#: Documents of each language that the model is fitted to, about (chosen by a hash of doc_id), and distinct words of these.
+from .shared import stored, text_batches
+from .textkit import SpanNumbers, find_sorted, keep_nothing, kept, mix, per_row, text_slices, word_spans
+
+#: Longer runs without white space are searched for places that no piece crosses, and cut there.
+WORD_CHARS = 24
+#: Documents of each language that the model is fitted to, about (chosen by a hash of doc_id).
 SAMPLE_DOCS = 500
-SAMPLE_WORDS = 40_000
 ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTH = 0.05
-#: The evidence of a text counts as that of so many words at most.
-EVIDENCE_WORDS = 20
 UNKNOWN = "und"
-#: Words whose lattices are in memory at once.
-LATTICE_WORDS = 4000
+#: Words whose lattices are in memory at once, and their characters in all.
+LATTICE_WORDS, LATTICE_CHARS = 4000, 100_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -49,7 +46,7 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """The distinct pieces of up to PIECE_CHARS characters, lower-cased, of a public SentencePiece model."""
+    """The distinct pieces, lower-cased, of a public SentencePiece model."""
     if path is None:
         import public_tokenizers
 
@@ -57,17 +54,7 @@ def vocabulary(path: str | None = None) -> list[str]:
     with open(path, "rb") as f:
         model = PieceModel.parse(f.read())
     usual = (p.lower() for p, kind in zip(model.pieces, model.types, strict=True) if kind not in (UNKNOWN_PIECE, CONTROL, BYTE))
-    return sorted({p for p in usual if 0 < len(p) <= PIECE_CHARS})
-
-
-def as_words(text: str) -> list[str]:
-    """Lower-cased words with the vocabulary's mark of a word's begin; long runs are cut."""
-    out = []
-    for word in text.lower().split(" ") if " " in text else [text.lower()]:
-        if word:
-            out.append("▁" + word[:WORD_CHARS])
-            out.extend(word[i : i + WORD_CHARS] for i in range(WORD_CHARS, len(word), WORD_CHARS))
-    return out
+    return sorted({p for p in usual if p})
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +72,7 @@ class Pieces:
     """A vocabulary as sorted hashes; piece number len(hashes) stands for any other single character."""
 
     hashes: np.ndarray
+    longest: int
 
     @classmethod
     def of(cls, words: list[str]) -> Pieces:
@@ -92,69 +80,121 @@ class Pieces:
         h = np.zeros(len(words), _U)
         for k in range(grid.shape[1]):
             h = np.where(sizes > k, h * _BASE + grid[:, k].astype(_U) + _U(1), h)
-        return cls(np.unique(mix(h ^ (sizes.astype(_U) << _U(56)))))
+        return cls(np.unique(mix(h ^ (sizes.astype(_U) << _U(56)))), max(1, grid.shape[1]))
 
-    def lattice(self, grid: np.ndarray) -> list[list[np.ndarray]]:
-        """For each end 1..width and each piece length 1..: the piece number of that span in every word, -1 for none."""
+    def lattice(self, grid: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each end 1..width: (length, words, piece numbers) of the pieces that end there."""
         out = []
         codes = grid.astype(_U) + _U(1)
         for end in range(1, grid.shape[1] + 1):
             h, scale, row = np.zeros(len(grid), _U), 1, []
-            for n in range(1, min(end, PIECE_CHARS) + 1):
+            for n in range(1, min(end, self.longest) + 1):
                 h = h + codes[:, end - n] * _U(scale)
                 scale = scale * int(_BASE) % (1 << 64)
                 found = find_sorted(self.hashes, mix(h ^ (_U(n) << _U(56))))
-                row.append(np.where(found < 0, len(self.hashes), found) if n == 1 else found)
+                if n == 1:
+                    row.append((1, np.arange(len(grid)), np.where(found < 0, len(self.hashes), found)))
+                else:
+                    hit = np.flatnonzero(found >= 0)
+                    if len(hit):
+                        row.append((n, hit, found[hit]))
             out.append(row)
         return out
 
-
-def _forward(lattice: list[list[np.ndarray]], p: np.ndarray, n: int) -> np.ndarray:
-    """Sums over the segmentations of each prefix. p: pieces (and 0 in the last row, for none) x languages."""
+    def parts(self, word: str) -> list[str]:
+        """The word cut wherever no piece of two or more characters crosses."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U) + _U(1)
+        crossed = np.zeros(len(codes) + 1, np.int64)
+        h = codes.copy()
+        for n in range(2, min(self.longest, len(codes)) + 1):
+            h = h[:-1] * _BASE + codes[n - 1 :]
+            at = np.flatnonzero(find_sorted(self.hashes, mix(h ^ (_U(n) << _U(56)))) >= 0)
+            np.add.at(crossed, at + 1, 1)
+            np.add.at(crossed, at + n, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(crossed[:-1]) == 0).tolist()), len(word)]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+
+def as_words(text: str, pieces: Pieces) -> list[str]:
+    """The lower-cased word with the vocabulary's mark of a word's begin, in parts if it is long."""
+    word = "▁" + text.lower()
+    return [word] if len(word) <= WORD_CHARS else pieces.parts(word)
+
+
+def _groups(words: list[str]) -> Iterator[list[int]]:
+    """Indices of words of like length, which share a matrix."""
+    some: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if some and (len(some) >= LATTICE_WORDS or len(words[i]) * (len(some) + 1) > LATTICE_CHARS):
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
+
+
+def _forward(lattice: list[list[tuple[int, np.ndarray, np.ndarray]]], p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the segmentations of each prefix, and the logs that they are to be scaled by. p: pieces x languages."""
     alpha = np.zeros((len(lattice) + 1, n, p.shape[1]))
     alpha[0] = 1
+    scale = np.zeros_like(alpha)
     for end, row in enumerate(lattice, 1):
-        for k, piece in enumerate(row, 1):
-            hit = np.flatnonzero(piece >= 0)
-            alpha[end, hit] += alpha[end - k, hit] * p[piece[hit]]
-    return alpha
+        scale[end] = scale[end - 1]
+        for k, hit, piece in row:
+            part = alpha[end - k, hit] * p[piece]
+            if end > WORD_CHARS:
+                part *= np.exp(scale[end - k, hit] - scale[end, hit])
+            alpha[end, hit] += part
+        if end % WORD_CHARS == 0:  # keeps the numbers of long words within a float's range
+            scale[end] += np.log(alpha[end])
+            alpha[end] = 1
+    return alpha, scale
 
 
 def word_log_likelihoods(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Log of the summed segmentations of each word in each language."""
     out = np.zeros((len(words), p.shape[1]))
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for a in range(0, len(words), LATTICE_WORDS):  # words of like length share a matrix
-        some = order[a : a + LATTICE_WORDS]
-        grid, sizes = _codes([words[i] for i in some.tolist()])
-        alpha = _forward(pieces.lattice(grid), p, len(some))
-        out[some] = np.log(alpha[sizes, np.arange(len(some))])
+    for some in _groups(words):
+        grid, sizes = _codes([words[i] for i in some])
+        alpha, scale = _forward(pieces.lattice(grid), p, len(some))
+        at = np.arange(len(some))
+        out[some] = np.log(alpha[sizes, at]) + scale[sizes, at]
     return out
 
 
+def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the words of one language, over all segmentations (one E step)."""
+    expected = np.zeros(len(pieces.hashes) + 1)
+    for some in _groups(words):
+        grid, sizes = _codes([words[i] for i in some])
+        weight, at = counts[some].astype(float), np.arange(len(some))
+        lattice = pieces.lattice(grid)
+        alpha, scale = (x[:, :, 0] for x in _forward(lattice, p[:, None], len(some)))
+        beta, down = np.zeros_like(alpha), np.zeros_like(alpha)
+        beta[sizes, at] = 1
+        total = np.log(alpha[sizes, at]) + scale[sizes, at]
+        for end in range(len(lattice), 0, -1):
+            low = max(0, end - pieces.longest)
+            down[low] = down[low + 1]
+            for k, words_, piece in lattice[end - 1]:
+                live = beta[end, words_] > 0
+                hit, of = words_[live], piece[live]
+                through = beta[end, hit] * p[of]
+                expected += np.bincount(of, weight[hit] * alpha[end - k, hit] * through * np.exp(scale[end - k, hit] + down[end, hit] - total[hit]), len(expected))
+                beta[end - k, hit] += through * np.exp(down[end, hit] - down[end - k, hit])
+            if end % WORD_CHARS == 0:
+                live = np.flatnonzero(beta[end - 1] > 0)
+                by = beta[end - 1, live]
+                beta[low:end, live] /= by
+                down[low:end, live] += np.log(by)
+    return expected
+
+
 def fit_pieces(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation over word counts."""
-    n = len(pieces.hashes) + 1
-    p = np.full(n, 1.0 / n)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for r in range(rounds):
-        expected = np.zeros(n)
-        for a in range(0, len(words), LATTICE_WORDS):
-            some = order[a : a + LATTICE_WORDS]
-            grid, sizes = _codes([words[i] for i in some])
-            weight = counts[some].astype(float)
-            lattice = pieces.lattice(grid)
-            alpha = _forward(lattice, p[:, None], len(some))[:, :, 0]
-            beta = np.zeros_like(alpha)
-            beta[sizes, np.arange(len(some))] = 1
-            total = alpha[sizes, np.arange(len(some))]
-            for end in range(len(lattice), 0, -1):
-                for k, piece in enumerate(lattice[end - 1], 1):
-                    hit = np.flatnonzero((piece >= 0) & (beta[end] > 0))
-                    through = beta[end, hit] * p[piece[hit]]
-                    expected += np.bincount(piece[hit], weight[hit] * alpha[end - k, hit] * through / total[hit], n)
-                    beta[end - k, hit] += through
-        p = expected + SMOOTH
+    """Piece probabilities of one language by expectation maximisation over word counts, in this process."""
+    p = np.full(len(pieces.hashes) + 1, 1 / (len(pieces.hashes) + 1))
+    for _ in range(rounds):
+        p = expected_counts(words, counts, pieces, p) + SMOOTH
         p /= p.sum()
     return p
 
@@ -174,63 +214,89 @@ def bucket(column: str, n: int) -> Column:
 def train(docs: DataFrame, vocabulary_path: str | None = None) -> LanguageModel:
     """Fit to documents (doc_id, text, lang); rows without lang or text teach nothing.
 
-    The sample is bounded by SAMPLE_DOCS and SAMPLE_WORDS a language; only its
-    word counts come to the driver. Shares of languages are counted over all rows.
+    The sample is bounded by SAMPLE_DOCS a language, and shares of languages are
+    counted over all rows. Word counts stay in a stored table that each round
+    reads in parallel; the driver gets one number per piece and language.
     """
+    spark = docs.sparkSession
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     shares = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(shares)
     pieces = Pieces.of(vocabulary(vocabulary_path))
+    size = len(pieces.hashes) + 1
     if not languages:
-        return LanguageModel([], np.zeros(0), pieces, np.zeros((len(pieces.hashes) + 1, 0)))
+        return LanguageModel([], np.zeros(0), pieces, np.zeros((size, 0)))
     rate = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, SAMPLE_DOCS / shares[lang]))))
     sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(lang: str, own: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+
         held: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = held.setdefault(lang, Counter())
-                for part in text.split():
-                    own.update(as_words(part))
+                for word, n in Counter(text.split()).items():
+                    for part in as_words(word, pieces):
+                        own[part] += n
+                if len(own) > 100_000:
+                    yield flush(lang, held.pop(lang))
         for lang, own in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+            yield flush(lang, own)
 
     counts = text_batches(sample.select("lang", "text")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    words = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= SAMPLE_WORDS).orderBy("lang", "rank").toPandas()
-    columns = []
-    for lang in languages:
-        own = words[words["lang"] == lang]
-        columns.append(fit_pieces(own["word"].tolist(), own["n"].to_numpy(), pieces))
+    words = stored(counts, "language-words")
+    p = np.full((size, len(languages)), 1 / size)
+    for _ in range(ROUNDS):
+        held = spark.sparkContext.broadcast(p)
+
+        def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, np.ndarray] = {}
+            for batch in batches:
+                lang, word, n = (c.to_pylist() for c in batch.columns)
+                for own in set(lang):
+                    at = [i for i, x in enumerate(lang) if x == own]
+                    got = expected_counts([word[i] for i in at], np.array([n[i] for i in at]), pieces, held.value[:, languages.index(own)])
+                    sums[own] = sums[own] + got if own in sums else got
+            for own, got in sums.items():
+                some = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(some), pa.string()), pa.array(some), pa.array(got[some])], names=["lang", "piece", "n"])
+
+        parts = words.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.array_sort(F.collect_list("n")).alias("n"))
+        # summed in order of size, so that no order of tasks changes the last bits
+        expected = parts.select("lang", "piece", F.aggregate("n", F.lit(0.0), lambda total, x: total + x).alias("n")).toPandas()
+        p = np.full((size, len(languages)), SMOOTH)
+        p[expected["piece"].to_numpy(), expected["lang"].map(languages.index).to_numpy(int)] += expected["n"].to_numpy()
+        p /= p.sum(0)
+        held.unpersist()
     prior = np.array([shares[x] for x in languages], float)
-    return LanguageModel(languages, prior / prior.sum(), pieces, np.stack(columns, 1))
+    return LanguageModel(languages, prior / prior.sum(), pieces, p)
 
 
 class _Scorer:
-    """Scores batches; keeps the likelihoods of words seen before by this Python worker."""
+    """Scores batches; keeps the likelihoods of words seen before by this Python worker, told apart by their bytes."""
 
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
-        self.hashes = np.zeros(0, _U)
+        self.numbers = SpanNumbers(_KEEP_WORDS)
         self.values = np.zeros((0, len(model.languages)), np.float32)
 
-    def word_values(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
-        new = np.flatnonzero(find_sorted(self.hashes, distinct) < 0)
+    def word_values(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if self.numbers.full(len(starts)):
+            self.numbers.clear()
+            self.values = self.values[:0]
+        number, new = self.numbers(data, starts, ends)
         if len(new):
-            if len(self.hashes) + len(new) > _KEEP_WORDS:
-                self.hashes, self.values = self.hashes[:0], self.values[:0]
-                new = np.arange(len(distinct))
             raw = data.tobytes()
-            spans = [as_words(raw[a:b].decode()) for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
+            spans = [as_words(raw[a:b].decode(), self.model.pieces) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            flat = [w for s in spans for w in s]
+            of = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+            likelihood = word_log_likelihoods(list(of), self.model.pieces, self.model.p)
             begin = np.concatenate(([0], np.cumsum([len(s) for s in spans])))
-            flat = word_log_likelihoods([w for s in spans for w in s], self.model.pieces, self.model.p)
-            values = np.add.reduceat(flat, begin[:-1], axis=0).astype(np.float32)
-            where = np.searchsorted(self.hashes, distinct[new])
-            self.hashes = np.insert(self.hashes, where, distinct[new])
-            self.values = np.insert(self.values, where, values, axis=0)
-        return self.values[np.searchsorted(self.hashes, distinct)][back]
+            values = np.add.reduceat(likelihood[[of[w] for w in flat]], begin[:-1], axis=0)
+            self.values = np.concatenate((self.values, values.astype(np.float32)))
+        return self.values[number]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         model, n = self.model, len(offsets) - 1
@@ -242,11 +308,10 @@ class _Scorer:
         starts, ends, first = word_spans(data, offsets)
         sums = np.zeros((n, len(model.languages)))
         if len(starts):
-            values = self.word_values(span_hashes(data, starts, ends), data, starts, ends).astype(float)
+            values = self.word_values(data, starts, ends).astype(float)
             full = np.flatnonzero(np.diff(first))
             sums[full] = np.add.reduceat(values, first[full], axis=0)
-        scale = np.minimum(1, EVIDENCE_WORDS / np.maximum(np.diff(first), 1))[:, None]
-        logit = np.log(model.prior) + sums * scale
+        logit = np.log(model.prior) + sums
         logit -= logit.max(1, keepdims=True)
         odds = np.exp(logit)
         best = logit.argmax(1)
@@ -268,9 +333,13 @@ def with_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> Dat
 
     A null text, or one without a letter, is UNKNOWN with score 0, as is every
     text if there was nothing to learn from. score is the posterior of the
-    predicted language, with the evidence of EVIDENCE_WORDS words at most.
+    predicted language; of equally likely ones the first by name is taken. A
+    row's result follows from its text alone, so repeated rows get equal ones and
+    very long texts are scored whole. Columns of ``docs`` that aren't in ``keep``
+    don't matter; kept ones named lang_pred or score give way to the new ones.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     kinds = docs.select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "lang_pred string", "score double"])
 
@@ -286,7 +355,12 @@ def with_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> Dat
 
 
 def language_id(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document; learned where crc32(doc_id as text) mod 5 is not 0."""
+    """doc_id, held_out, lang_pred, score of each document; learned where crc32(doc_id as text) mod 5 is not 0.
+
+    Repeated rows teach as often as they stand, and a row without doc_id is
+    scored but neither held out nor learned from. For texts see
+    :func:`with_language`. Other columns don't matter, whatever their names.
+    """
     out = bucket("doc_id", 5) == 0
     model = train(docs.where(~out), vocabulary_path)
     return with_language(docs, model, ["doc_id"]).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
