@@ -8,7 +8,9 @@ drops out, so that a round handles repeated lines only. The suffixes that
 share their first ``l`` lines, 2**k <= l < 2**(k + 1), are those with the same
 names at ``p`` and ``p + l - 2**k`` in round ``k``.
 
-A repeated run counts from MIN_WORDS words on. Every such run is the union of
+Lines are told apart by two independent 64-bit hashes of their bytes.
+
+A repeated run counts from ``min_words`` words on. Every such run is the union of
 its shortest sub-runs of that many words (from each line on, and up to each
 line), and equal runs have equal shortest sub-runs, so the maximal repeated
 runs are exactly the unions of repeated shortest runs. Those at other than
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .shared import release, small, stored, text_batches
 from .textkit import keep_nothing, span_hashes, text_slices, word_spans
 
+#: Words that a repeated run has at least, if the caller doesn't say.
 MIN_WORDS = 50
 
 _LAST = (1 << 63) - 1
@@ -48,8 +51,8 @@ def shortest_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     return pairs[:, 0], pairs[:, 1] - pairs[:, 0]
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc, version (a hash of the text), ids and words of the lines, and their shortest runs, for each row with text."""
+def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc, version (a hash of the text), ids and checks (two hashes) of the lines, and their shortest runs, for each row with text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
@@ -58,13 +61,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                 breaks = np.flatnonzero(data == 10)
                 starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
                 ends = np.sort(np.concatenate((breaks, offsets[1:])))
-                ids = span_hashes(data, starts, ends).view(np.int64)
+                ids, checks = (span_hashes(data, starts, ends, lane).view(np.int64) for lane in (0, 1))
                 begin = np.concatenate(([0], np.cumsum(np.diff(np.searchsorted(breaks, offsets)) + 1)))
                 word_starts = word_spans(data, offsets)[0]
                 words = np.diff(np.searchsorted(word_starts, np.append(starts, len(data) + 1)))
                 firsts, sizes, count = [], [], [0]
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                    f, n = shortest_runs(words[a:b], MIN_WORDS)
+                    f, n = shortest_runs(words[a:b], min_words)
                     firsts.append(f)
                     sizes.append(n)
                     count.append(count[-1] + len(f))
@@ -73,12 +76,12 @@ def line_table(docs: DataFrame) -> DataFrame:
                     return pa.ListArray.from_arrays(pa.array(np.asarray(places, np.int32)), pa.array(values))
 
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), lists(ids, begin), lists(np.concatenate(firsts).astype(np.int32), count), lists(np.concatenate(sizes).astype(np.int32), count)],
-                    names=["doc", "version", "ids", "run_first", "run_lines"],
+                    [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), lists(ids, begin), lists(checks, begin), lists(np.concatenate(firsts).astype(np.int32), count), lists(np.concatenate(sizes).astype(np.int32), count)],
+                    names=["doc", "version", "ids", "checks", "run_first", "run_lines"],
                 )
 
     keyed = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
-    return text_batches(keyed).mapInArrow(cut, "doc long, version long, ids array<long>, run_first array<int>, run_lines array<int>")
+    return text_batches(keyed).mapInArrow(cut, "doc long, version long, ids array<long>, checks array<long>, run_first array<int>, run_lines array<int>")
 
 
 def with_positions(lines: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def with_positions(lines: DataFrame) -> DataFrame:
             rows = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(start, pa.int64())], names=[*batch.schema.names, "start"])
 
-    schema = "doc long, version long, ids array<long>, run_first array<int>, run_lines array<int>, start long"
+    schema = "doc long, version long, ids array<long>, checks array<long>, run_first array<int>, run_lines array<int>, start long"
     lines = stored(lines, "line-lists")  # range partitioning reads its input twice
     return stored(lines.repartitionByRange("doc", "version").sortWithinPartitions("doc", "version").mapInArrow(number, schema), "lines")
 
@@ -117,8 +120,8 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """start (of the document), p (first line) and n (lines) of every shortest run that stands earlier too."""
-    place = lines.select("start", (F.col("start") + F.size("ids")).alias("end"), F.posexplode("ids").alias("line", "id")).select("start", "end", (F.col("start") + F.col("line")).alias("p"), "id")
-    names = stored(_named(stored(place, "places"), ["id"], "name").select("p", "end", "name"), "round")
+    place = lines.select("start", (F.col("start") + F.size("ids")).alias("end"), F.posexplode(F.arrays_zip("ids", "checks")).alias("line", "at")).select("start", "end", (F.col("start") + F.col("line")).alias("p"), "at.ids", "at.checks")
+    names = stored(_named(stored(place, "places"), ["ids", "checks"], "name").select("p", "end", "name"), "round")
     runs = lines.select("start", F.explode(F.arrays_zip("run_first", "run_lines")).alias("r")).select("start", (F.col("start") + F.col("r.run_first")).alias("p"), F.col("r.run_lines").alias("n"))
     runs = stored(runs, "runs")
     one = runs.where("n = 1").join(names, "p").where("name < p").select("start", "p", "n")
@@ -149,8 +152,8 @@ def _unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """Delete later copies of repeated line runs of MIN_WORDS words or more.
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Delete later copies of repeated line runs of ``min_words`` words or more; shorter ones stay.
 
     Returns the columns of ``docs`` (at least doc_id and text) with the text
     left over, and then line_count, lines_removed and removed: the deleted runs
@@ -165,7 +168,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     added = ["line_count", "lines_removed", "removed"]
     docs = docs.drop(*added)
     at_doc, at_version, at_spans = (_unused(n, docs.columns) for n in ("_doc", "_version", "_spans"))
-    lines = with_positions(line_table(docs))
+    lines = with_positions(line_table(docs, min_words))
     runs = repeated_runs(lines).groupBy("start").agg(F.collect_list(F.struct(F.col("p").alias("p"), F.col("n").alias("n"))).alias("spans"))
     marked = runs.join(lines.select("doc", "version", "start"), "start").select(F.col("doc").alias(at_doc), F.col("version").alias(at_version), F.transform("spans", lambda s: F.struct((s["p"] - F.col("start")).cast("int").alias("first"), s["n"].cast("int").alias("lines"))).alias(at_spans))
     marked = small(stored(marked, "marked"), F.size(at_spans))
