@@ -4,9 +4,10 @@ Documents are tokenised; only those longer than a sequence are cut. Full pieces
 are sequences of their own; the rest is packed by best-fit decreasing in many
 partitions side by side. Dual feasible functions give each partition a lower
 bound: where the bin count equals it, no packing of that partition has fewer.
-Partitions with a gap, and bins that are less than full everywhere, give their
-documents back; these are exchanged into fewer partitions and packed again,
-until one partition is left or everything is certified.
+Partitions give back the documents of their emptiest bins, the more the larger
+their gap; these are exchanged into fewer partitions and packed again, until the
+count of all bins equals the bound of the whole table (then no packing has
+fewer), or one partition is left.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ END_ID = 1
 PART_PIECES = 20_000
 #: Of each later round, so many partitions of the round before meet in one.
 MEET = 4
-#: Share of its bins that a partition gives back beyond its gap, least full first; full ones stay. With MEET partitions for one, partitions keep their size.
+#: Share of its bins that a partition gives back beyond its gap, least full first; full ones stay. Certified partitions do so too: partitions that are best each needn't be best together.
 GIVE = 1 / MEET
 
 
@@ -43,9 +44,11 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     for k = 1.. the rounding that takes x as floor((k + 1) x) / k unless
     (k + 1) x is whole.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return counted_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def counted_bound(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The same from the number of pieces of each length, 0 to capacity."""
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     weight, number = np.cumsum(count * size), np.cumsum(count)
@@ -122,7 +125,8 @@ def _pack_round(items: DataFrame, parts: int, last: bool) -> DataFrame:
         back = np.zeros(len(fill), bool)
         if not last:
             order = np.argsort(fill, kind="stable")
-            back[order[: len(fill) - bound + math.ceil(GIVE * len(fill))]] = True
+            gap = len(fill) - bound
+            back[order[: gap + math.ceil(GIVE * len(fill))]] = True
             back &= fill < CAPACITY
         out = rows[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
         out["part"] = key[0]
@@ -139,31 +143,43 @@ def _pack_round(items: DataFrame, parts: int, last: bool) -> DataFrame:
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, part_pieces: int = PART_PIECES) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and bin_gap.
-
-    ``docs`` has doc_id and text; a null or empty text is its end token alone.
-    Repeated rows are packed each; a null doc_id stays null. bin_gap is what
-    the bins of the piece's last partition exceed the lower bound by: 0 means
-    certified best for that partition.
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, bin_gap and table_gap.
+
+    ``docs`` has doc_id and text; a null or empty text is its end token alone,
+    and a text of any length is cut into pieces of CAPACITY tokens. Repeated
+    rows are packed each; a null doc_id stays null. Pieces of equal length are
+    placed in order of doc_id and piece. Other columns don't matter, whatever
+    their names. bin_gap is what the bins of the piece's last partition exceed
+    the lower bound by: 0 means certified best for that partition. table_gap is
+    the same for all sequences: 0 means that no packing of the table has fewer.
     """
     pieces = stored(token_pieces(docs, tokenizer or tokenizer_file()), "pieces")
     full = pieces.where(F.col("length") == CAPACITY).select("*", F.lit(0).alias("round"), F.monotonically_increasing_id().alias("part"), F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("gap"))
     rest = pieces.where(F.col("length") < CAPACITY)
-    parts = max(1, math.ceil(rest.count() / part_pieces))
-    placed, number = [full], 1
+    count = np.zeros(CAPACITY + 1, np.int64)
+    for row in rest.groupBy("length").count().collect():  # at most CAPACITY rows
+        count[row["length"]] = row["count"]
+    bound = counted_bound(count)
+    parts = max(1, math.ceil(int(count.sum()) / part_pieces))
+    placed, number, done = [full], 1, 0
     while True:
         packed = stored(_pack_round(rest, parts, last=parts == 1), "packed")
-        placed.append(packed.where("NOT back").select(*pieces.columns, F.lit(number).alias("round"), "part", "bin", "at", "gap"))
-        if parts == 1:
+        bins = packed.groupBy("part").agg((F.max("bin") + 1).alias("all"), F.count_distinct(F.when(F.col("back"), F.col("bin"))).alias("back"))
+        total = bins.agg(F.sum("all"), F.sum("back")).first()
+        if parts == 1 or done + (total[0] or 0) == bound:
+            placed.append(packed.select(*pieces.columns, F.lit(number).alias("round"), "part", "bin", "at", "gap"))
             break
+        placed.append(packed.where("NOT back").select(*pieces.columns, F.lit(number).alias("round"), "part", "bin", "at", "gap"))
+        done += total[0] - total[1]
         rest = packed.where("back").select(*pieces.columns)
         parts, number = max(1, math.ceil(parts / MEET)), number + 1
+    table_gap = done + (total[0] or 0) - bound
     every = placed[0]
     for more in placed[1:]:
         every = every.unionByName(more)
     # rounds, partitions and bins are packed into one number; a full piece's part is unique already
     sequence = F.when(F.col("round") == 0, -1 - F.col("part")).otherwise((F.col("round") * (1 << 26) + F.col("part")) * (1 << 26) + F.col("bin"))
-    return every.select(*pieces.columns, sequence.alias("sequence_id"), F.col("at").alias("offset"), F.col("gap").alias("bin_gap"))
+    return every.select(*pieces.columns, sequence.alias("sequence_id"), F.col("at").alias("offset"), F.col("gap").alias("bin_gap"), F.lit(table_gap).cast("long").alias("table_gap"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
