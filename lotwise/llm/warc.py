@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -60,7 +61,11 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 def archive_bytes(records: list[bytes]) -> tuple[bytes, list[int]]:
-    """An archive and the offset of each record's frame. With too few records to train on it has no dictionary."""
+    """An archive and the offset of each record's frame.
+
+    An archive of fewer than eight records, or of too few bytes to train on, has
+    no dictionary: the library can't build one from these.
+    """
     total = sum(map(len, records))
     step = max(1, -(-total // TRAIN_BYTES))
     samples = [r[: DICTIONARY_BYTES * 4] for r in records[::step]]
@@ -84,26 +89,42 @@ def archive_bytes(records: list[bytes]) -> tuple[bytes, list[int]]:
     return b"".join(parts), offsets
 
 
-def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an archive."""
-    at, dictionary = 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_FRAME:
-        (size,) = struct.unpack_from("<I", data, 4)
-        raw = data[8 : 8 + size]
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-        dictionary = zstandard.ZstdCompressionDict(raw)
-        at = 8 + size
-    opener = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+def archive_opener(data: bytes) -> tuple[zstandard.ZstdDecompressor, int]:
+    """What opens the archive's frames, and the offset of the first."""
+    if len(data) < 8 or struct.unpack_from("<I", data)[0] != DICTIONARY_FRAME:
+        return zstandard.ZstdDecompressor(), 0
+    (size,) = struct.unpack_from("<I", data, 4)
+    raw = data[8 : 8 + size]
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)), 8 + size
+
+
+def parsed_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers with lower-case names, and the block, of one record."""
+    head, _, block = record.partition(b"\r\n\r\n")
+    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    return headers, block[: int(headers["content-length"])]
+
+
+def read_archive(data: bytes, offsets: list[int] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records whose frames begin at ``offsets``, or of all records of the archive in order."""
+    opener, at = archive_opener(data)
     view = memoryview(data)
+    if offsets is not None:
+        for a in offsets:  # a frame knows its record's size and its own end
+            yield parsed_record(opener.decompress(view[a:], allow_extra_data=True))
+        return
+    step = 1 << 16
     while at < len(data):
-        frame = opener.decompressobj()
-        record = frame.decompress(view[at:])
-        at = len(data) - len(frame.unused_data)
-        head, _, block = record.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield headers, block[: int(headers["content-length"])]
+        frame, parts = opener.decompressobj(), []
+        while not frame.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a record")
+            parts.append(frame.decompress(view[at : at + step]))
+            at = min(at + step, len(data))
+        at -= len(frame.unused_data)
+        yield parsed_record(b"".join(parts))
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -127,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
         held: list[bytes] = []
         ids: list[int | None] = []
         size = number = 0
@@ -170,9 +191,9 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for content in batch.column(0):
+            for content, offsets in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
-                for headers, block in read_archive(content.as_py()):
+                for headers, block in read_archive(content.as_py(), offsets.as_py()):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
@@ -188,9 +209,10 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFra
                 if rows:
                     yield table(rows)
 
-    names = index.select("archive").distinct()
+    # an archive has at most ARCHIVE_BYTES of records and one more, so its list of offsets is short
+    records = index.groupBy("archive").agg(F.array_sort(F.collect_list("record_offset")).alias("offsets"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    return files.join(names, "archive", "left_semi").select("content").mapInArrow(read, schema)
+    return files.join(records, "archive").select("content", "offsets").mapInArrow(read, schema)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
