@@ -1,7 +1,7 @@
 """Media columns from ISO media containers (operator 8).
 
 A reader walks the nested boxes of an ISO base media file, decodes the sample
-tables of its first track and gives codec, duration and the byte ranges of the
+tables of its first track that has samples and gives codec, duration and the byte ranges of the
 keyframes; it never decodes samples. A writer stores bytes losslessly as
 uncompressed 24 x 24 grey frames (one byte a pixel, 576 a frame).
 """
@@ -95,15 +95,38 @@ def boxes(data: bytes | memoryview, start: int = 0, end: int | None = None, path
         start += size
 
 
-def read_media(data: bytes) -> dict:
-    """codec, timescale, duration, and offset, size and keyframe numbers of the samples of the first track."""
-    track: dict[bytes, tuple[int, int]] = {}
+def media_tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
+    """For each track, where the bodies of its boxes lie (the first of each kind)."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, a, b in boxes(data):
-        track.setdefault(path[-1], (a, b))
+        if path == (b"moov", b"trak"):
+            tracks.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            tracks[-1].setdefault(path[-1], (a, b))
+    return tracks
+
+
+def read_media(data: bytes) -> dict:
+    """codec, timescale, duration, and offset, size and keyframe numbers of the samples of the first track that has samples.
+
+    Raises ValueError for data without such a track, or cut short.
+    """
+    try:
+        tracks = media_tracks(data)
+        track = next((t for t in tracks if struct.unpack_from(">I", data, t[b"stsz"][0] + 8)[0]), tracks[0]) if tracks else None
+        if track is None:
+            raise ValueError("no track")
+        return _sample_tables(data, track)
+    except (KeyError, IndexError, struct.error) as wrong:
+        raise ValueError(f"not a whole media file: {wrong!r}") from wrong
+
 
+def _sample_tables(data: bytes, track: dict[bytes, tuple[int, int]]) -> dict:
     def table(kind: bytes, dtype: str, skip: int, columns: int = 1) -> np.ndarray:
-        a, _ = track[kind]
+        a, b = track[kind]
         (n,) = struct.unpack_from(">I", data, a + skip - 4)
+        if a + skip + n * columns * np.dtype(dtype).itemsize > b:
+            raise ValueError(f"table {kind!r} leaves its box")
         return np.frombuffer(data, dtype, n * columns, a + skip).astype(np.int64).reshape(n, columns)
 
     at = track[b"mdhd"][0]
@@ -114,12 +137,16 @@ def read_media(data: bytes) -> dict:
     places = (table(b"co64", ">u8", 8) if b"co64" in track else table(b"stco", ">u4", 8))[:, 0]
     runs = table(b"stsc", ">u4", 8, 3)
     per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(places) + 1)))
+    if len(per_chunk) != len(places) or per_chunk.sum() < n or not timescale:
+        raise ValueError("the sample tables don't fit together")
     first = np.concatenate(([0], np.cumsum(per_chunk)))[:-1]
     before = np.concatenate(([0], np.cumsum(sizes)))
     chunk = np.repeat(np.arange(len(places)), per_chunk)[:n]
     offsets = places[chunk] + before[:-1] - before[first[chunk]]
     keys = table(b"stss", ">u4", 8)[:, 0] - 1 if b"stss" in track else np.arange(n)
-    return {"codec": codec, "timescale": timescale, "duration": duration, "offsets": offsets, "sizes": sizes, "keys": keys}
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data) or not len(keys) or keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a sample lies outside the file")
+    return {"codec": codec, "timescale": timescale, "duration": duration, "offsets": offsets, "sizes": sizes, "keys": keys[: n or None]}
 
 
 def stored_payload(data: bytes, media: dict) -> bytes:
@@ -151,10 +178,15 @@ def store_documents(docs: DataFrame, path: str) -> None:
 
 
 def media_columns(files: DataFrame) -> DataFrame:
-    """Columns of each ISO media file in ``media`` (a null stays null), beside what else ``files`` holds of doc_id and n_bytes."""
+    """Columns of each ISO media file in ``media``, beside doc_id and n_bytes of ``files``.
+
+    A null file has null columns. So has one that is empty, cut short or without
+    a track, and ``error`` says what is wrong with it; else ``error`` is null.
+    Of several tracks the first that has samples counts, with its own tables.
+    """
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-        "codec string, duration_s double, keyframes array<struct<offset: long, length: long>>"
+        "codec string, duration_s double, keyframes array<struct<offset: long, length: long>>, error string"
     )
     ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
 
@@ -164,16 +196,21 @@ def media_columns(files: DataFrame) -> DataFrame:
             for cell in batch.column(2):
                 data = cell.as_py()
                 if data is None:
-                    rows.append((None,) * 9)
+                    rows.append((None,) * 10)
+                    continue
+                try:
+                    media = read_media(data)
+                except ValueError as wrong:
+                    rows.append((None,) * 9 + (str(wrong),))
                     continue
-                media = read_media(data)
                 payload = stored_payload(data, media)
                 keys = media["keys"]
                 spans = [{"offset": a, "length": n} for a, n in zip(media["offsets"][keys].tolist(), media["sizes"][keys].tolist(), strict=True)]
                 seconds = media["duration"] / media["timescale"]
-                feature = f"codec={media['codec'].strip()};samples={len(media['sizes'])};seconds={seconds:.2f};keyframes={len(spans)};last={spans[-1]['offset']}+{spans[-1]['length']}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, media["codec"], seconds, spans))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), ranges]
+                last = f"{spans[-1]['offset']}+{spans[-1]['length']}" if spans else ""
+                feature = f"codec={media['codec'].strip()};samples={len(media['sizes'])};seconds={seconds:.2f};keyframes={len(spans)};last={last}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, media["codec"], seconds, spans, None))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), ranges, pa.string()]
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[f.split()[0] for f in schema.replace("array<struct<offset: long, length: long>>", "x").split(", ")])
 
