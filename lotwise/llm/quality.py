@@ -153,28 +153,39 @@ def train(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
     """Fit to documents and labels (doc_id, quality) where crc32(doc_id as text) mod 4 is not 2.
 
     Labels other than 0 and 1 teach nothing; a doc_id with several labels takes
-    the least. About SAMPLE_ROWS labelled rows are used, chosen by a hash of
+    the least, and a repeated doc_id its least text. About SAMPLE_ROWS labelled rows are used, chosen by a hash of
     doc_id, and only their ids (a checked, bounded number) are broadcast.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = usable.count()
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1_000_000)) < share * 1_000_000)
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return fit_rules(with_statistics(some, ["quality"]))
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = some.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("first")).select("first.*")
+    return fit_rules(with_statistics(first, ["quality"]))
 
 
 def with_quality(docs: DataFrame, model: RuleEnsemble, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, score (0 to 1) and predicted (0 or 1) of each row."""
-    scored = with_statistics(docs, keep).select(*keep, F.round(model.score(), 9).alias("score"))
+    """The columns ``keep``, score (0 to 1) and predicted (0 or 1) of each row.
+
+    Kept columns named like a statistic stay; those named score or predicted
+    give way to the new ones.
+    """
+    keep = [c for c in keep if c.lower() not in ("score", "predicted")]
+    held = F.struct(*keep).alias("_kept")
+    text = docs.select(held, F.col("text").alias("text"))
+    scored = with_statistics(text, ["_kept"]).select("_kept.*", F.round(model.score(), 9).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text).
 
-    A null text counts as empty; every row has a score. Without labels of both
-    kinds the score is their smoothed share.
+    A null text counts as empty; every row has a score, a very long text from
+    its whole. A score follows from the text alone, so repeated rows and ties get
+    equal ones. A row without doc_id isn't held out. Without labels of both kinds
+    the score is their smoothed share. Other columns don't matter, whatever their
+    names; an empty table gives none.
     """
     model = train(docs, labels)
     out = F.coalesce(bucket("doc_id", 4) == 2, F.lit(False))
