@@ -1,15 +1,12 @@
 """License scans by canonical digests (operator 5).
 
-A text is brought to a canonical form: lower case, without copyright lines, runs
-of punctuation and white space as one space, equivalent spellings as one. The
-digest of the entire form is looked up among those of known licence texts and
-notices by a hash join. Documents are looked up as a whole, and each of their
-lines as a text of its own.
-
-Whole licence texts are looked up by a second form, in which only lines that
-name a holder or a year are copyright lines, so that it doesn't depend on where
-lines break. license_texts.csv has the digests of the texts with their usual
-titles and variants.
+A text is brought to a canonical form: lower case, without lines that name a
+copyright's holder or year, runs of punctuation and white space as one space,
+equivalent spellings as one. It doesn't depend on where lines break. The digest
+of the entire form is looked up among those of known licence texts and notices by
+a hash join. Documents are looked up as a whole, and each of their lines as a
+text of its own. license_texts.csv has the digests of whole texts with their
+usual titles and variants.
 """
 
 from __future__ import annotations
@@ -79,14 +76,9 @@ EQUIVALENT = [
     ("wilful", "willful"),
 ]
 
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(copyright|©|\(c\)).*$"
 _APART = r"[^\p{L}\p{N}]+"
-#: Every known text holds one of these in canonical form, under any spelling; other texts need no digest.
-_MARKERS = "(?i)licen|permission"
-#: The same for the whole texts, all of which are longer than SHORTEST characters.
-_TEXT_MARKERS = "(?i)licen|permission|redistribution|unencumbered"
-SHORTEST = 400
-_HOLDER = r"(?m)^[^\p{L}\p{N}\n©]*(copyright(?=[^\n]*(©|\(c\)|\p{N}{4}|<|\[))|©|\(c\)\s*(copyright|\p{N}{4}|<)|all rights reserved\W*$).*$"
+#: Lines that name a copyright's holder or year, or reserve rights; not any line that begins with the word.
+_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(copyright[^\n]*(©|\(c\)|\p{N}{4}|<|\[)|©|\(c\)[ \t]*(copyright|\p{N}{4}|<)|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
@@ -107,28 +99,23 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def text_digest(text: Column) -> Column:
-    return F.sha2(_plain(F.regexp_replace(F.lower(text), _HOLDER, "")), 256)
+def license_texts() -> list[tuple[str, str]]:
+    """(digest, licence) of the packaged texts, about two hundred."""
+    with Path(__file__).with_name("license_texts.csv").open(newline="") as f:
+        return [(r["digest"], r["license_id"]) for r in csv.DictReader(f)]
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """digest, license_id: a fixed table of a few dozen rows."""
-    return spark.createDataFrame(KNOWN, "license_id string, text string").select(digest(F.col("text")).alias("digest"), "license_id").dropDuplicates(["digest"])
-
-
-def license_texts(spark: SparkSession) -> DataFrame:
-    """text_digest, text_id: a packaged table of about two hundred rows."""
-    with Path(__file__).with_name("license_texts.csv").open(newline="") as f:
-        return spark.createDataFrame([(r["digest"], r["license_id"]) for r in csv.DictReader(f)], "text_digest string, text_id string")
+    """digest, license_id: a fixed table of about two hundred rows; one licence for each digest, the least by name."""
+    notices = spark.createDataFrame(KNOWN, "license_id string, text string").select(digest(F.col("text")).alias("digest"), "license_id")
+    texts = spark.createDataFrame(license_texts(), "digest string, license_id string")
+    return notices.unionByName(texts).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def identified(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with license_id: the licence that the entire ``text`` is, or null."""
-    known, texts = F.broadcast(known_licenses(rows.sparkSession)), F.broadcast(license_texts(rows.sparkSession))
-    c = F.col(text)
-    digests = {"digest": F.when(c.rlike(_MARKERS), digest(c)), "text_digest": F.when((F.length(c) > SHORTEST) & c.rlike(_TEXT_MARKERS), text_digest(c))}
-    found = rows.withColumns(digests).join(known, "digest", "left").join(texts, "text_digest", "left")
-    return found.select(*rows.columns, F.coalesce("license_id", "text_id").alias("license_id"))
+    found = rows.withColumn("digest", digest(F.col(text))).join(F.broadcast(known_licenses(rows.sparkSession)), "digest", "left")
+    return found.select(*rows.columns, "license_id")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -139,8 +126,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     commas ('' for none). A null or empty text has none. Rows that repeat a
     doc_id share their notices; a null doc_id has no notices.
     """
-    marked = F.col("text").rlike(_TEXT_MARKERS)
-    lines = docs.where(marked & F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(_TEXT_MARKERS))
+    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     notices = identified(lines, "line").where("license_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("notice_lines"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     whole = identified(docs.select("doc_id", "text"), "text").select("doc_id", "license_id")
     return whole.join(notices, "doc_id", "left").select("doc_id", "license_id", F.coalesce("notice_lines", F.lit(0)).alias("notice_lines"), F.coalesce("notices", F.lit("")).alias("notices"))
@@ -158,16 +144,22 @@ def _canonical_sql(text: str) -> str:
     return f"nullif(trim({out}), '')"
 
 
+_DIGESTS = ", ".join(f"('{d}', '{i}')" for d, i in license_texts())
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 ORACLE = f"""
-WITH k AS (SELECT {_canonical_sql('t')} AS form, min(i) AS license_id FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in KNOWN)}) AS v(i, t) GROUP BY 1
+WITH k AS (
+  SELECT form, min(license_id) AS license_id FROM (
+    SELECT sha256({_canonical_sql('t')}) AS form, i AS license_id FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in KNOWN)}) AS v(i, t)
+    UNION ALL SELECT form, i FROM (VALUES {_DIGESTS}) AS w(form, i)) GROUP BY 1
 ), n AS (
   SELECT doc_id, count(*) AS notice_lines, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN k ON k.form = {_canonical_sql('line')} GROUP BY doc_id
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN k ON k.form = sha256({_canonical_sql('line')}) GROUP BY doc_id
 )
 SELECT d.doc_id, k.license_id, coalesce(notice_lines, 0) AS notice_lines, coalesce(notices, '') AS notices
-FROM documents d LEFT JOIN k ON k.form = {_canonical_sql('d.text')} LEFT JOIN n ON n.doc_id = d.doc_id
+FROM documents d LEFT JOIN k ON k.form = sha256({_canonical_sql('d.text')}) LEFT JOIN n ON n.doc_id = d.doc_id
 """
