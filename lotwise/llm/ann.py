@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by multi-index hashing (operator 10).
 
-Vectors get binary codes from several learned rotations (each is principal
-axes turned by iterative quantisation, fitted to a bounded sample). A code is
-split into substrings, each of which has an index of its own. Codes within a
-Hamming radius r agree to within r // substrings bits in one substring at
-least (pigeonhole), so probing each index for all substrings that near gives
-every code within the radius. The radius grows until enough codes are within
-it, and those are ranked by their original vectors in double precision.
-
-All rows are indexed, in blocks; every query visits every block. Where probing
-would look up more buckets than a block has codes, the block's codes are
-compared one by one, with the same result.
+Vectors get binary codes from several learned rotations (each is principal axes
+turned by iterative quantisation, fitted to a bounded sample). A code is split
+into substrings, each of which has an index of its own. A query probes every
+index for the substrings within ``reach`` bits of its own, which by the
+pigeonhole principle finds every code within ``tables * (reach + 1) - 1`` bits,
+and others beyond. What it finds within ``radius`` bits is ranked by the original
+vectors in double precision.
+
+Tables, reach and radius are chosen on the sample: the cheapest with which the
+probes find nearly all of the sample's own neighbours. They are the same for all
+queries and blocks, so the result doesn't depend on how rows are dealt. Rows are
+indexed in blocks, each once, in the task that then streams the queries past it.
+A query that finds fewer than ``k`` rows in all blocks is asked again with every
+substring probed, which finds all.
 """
 
 from __future__ import annotations
@@ -22,25 +25,25 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import stored, tasks_for
 
 NEIGHBOURS = 20
-#: Codes have about so many bits, from rotations of the vectors' length each.
-CODE_BITS = 256
-SUBSTRING_BITS = 16
-#: Vectors that the rotations are learned from, about (chosen by a hash of vec_id).
-SAMPLE = 10_000
-ROUNDS = 15
-BLOCK = 8192
-QUERY_BLOCK = 1024
-#: Codes that a search over n rows gathers: at least GATHER * n ** GROWTH in all.
-GATHER, GROWTH = 50, 0.35
+#: Substrings of a code at most.
+TABLES = 32
+#: Bits of a substring: about the logarithm of a block's rows, between these.
+SUBSTRING_BITS = (8, 13)
+#: Vectors that the rotations and the probes are learned from, about (chosen by a hash of vec_id), and queries among these.
+SAMPLE, SAMPLE_QUERIES = 10_000, 200
+ROUNDS = 6
+#: Share of the sample's neighbours that probing has to find, and that have to be within the radius.
+FOUND, WITHIN = 0.975, 0.985
+#: Rows of a block at most, and at least if there are tasks to spare.
+BLOCK_MOST, BLOCK_LEAST = 1 << 16, 1 << 13
 
 
 @dataclass
@@ -50,17 +53,23 @@ class Rotations:
     Taking the mean from the rows alone changes no query's order. One more
     component brings every row to the same length (``reach``, the greatest),
     and queries have 0 there, so that a larger product is a smaller angle.
+    A code is a row of substrings, each in 16 bits.
     """
 
     mean: np.ndarray
     axes: np.ndarray
+    bits: int
     reach: float = 0.0
 
+    def _substrings(self, projected: np.ndarray) -> np.ndarray:
+        signs = (projected > 0).reshape(len(projected), projected.shape[1] // self.bits, self.bits)
+        return (signs @ (1 << np.arange(self.bits))).astype(np.uint16)
+
     def codes(self, rows: np.ndarray) -> np.ndarray:
-        return np.packbits(level(rows - self.mean, self.reach) @ self.axes > 0, axis=1, bitorder="little")
+        return self._substrings(level(rows - self.mean, self.reach) @ self.axes)
 
     def query_codes(self, queries: np.ndarray) -> np.ndarray:
-        return np.packbits(np.pad(queries, ((0, 0), (0, 1))) @ self.axes > 0, axis=1, bitorder="little")
+        return self._substrings(np.pad(queries, ((0, 0), (0, 1))) @ self.axes)
 
 
 def level(centred: np.ndarray, reach: float) -> np.ndarray:
@@ -68,7 +77,7 @@ def level(centred: np.ndarray, reach: float) -> np.ndarray:
     return np.concatenate((centred, np.sqrt(np.maximum(reach**2 - (centred**2).sum(1, keepdims=True), 0))), 1)
 
 
-def learn_rotations(sample: np.ndarray, mean: np.ndarray, reach: float, bits: int = CODE_BITS, rounds: int = ROUNDS) -> Rotations:
+def learn_rotations(sample: np.ndarray, mean: np.ndarray, reach: float, bits: int, tables: int = TABLES, rounds: int = ROUNDS) -> Rotations:
     """Iterative quantisation from several starting turns, side by side."""
     rows = level(sample - mean, reach)
     d = rows.shape[1]
@@ -76,74 +85,98 @@ def learn_rotations(sample: np.ndarray, mean: np.ndarray, reach: float, bits: in
     projected = rows @ axes.T
     random = np.random.default_rng(11)
     parts = []
-    for _ in range(max(1, -(-bits // d))):
+    for _ in range(-(-bits * tables // d)):
         turn, _ = np.linalg.qr(random.standard_normal((d, d)))
         for _ in range(rounds):
             signs = np.where(projected @ turn > 0, 1.0, -1.0)
             u, _, v = np.linalg.svd(signs.T @ projected)
             turn = (u @ v).T
         parts.append(axes.T @ turn)
-    every = np.concatenate(parts, 1)[:, :bits]
-    short = -every.shape[1] % SUBSTRING_BITS
-    return Rotations(mean, np.pad(every, ((0, 0), (0, short))), reach)
+    return Rotations(mean, np.concatenate(parts, 1)[:, : bits * tables], bits, reach)
 
 
 @lru_cache(maxsize=None)
-def near_masks(most: int, bits: int = SUBSTRING_BITS) -> np.ndarray:
+def near_masks(most: int, bits: int) -> np.ndarray:
     """All substrings that differ from 0 in ``most`` bits at most."""
     return np.array([sum(1 << b for b in some) for k in range(most + 1) for some in combinations(range(bits), k)], np.int64)
 
 
+@dataclass(frozen=True)
+class Probes:
+    """How many substrings are used, within how many bits each is probed, and the radius of the whole codes."""
+
+    tables: int
+    reach: int
+    radius: int
+
+
+def learn_probes(rotations: Rotations, sample: np.ndarray, k: int = NEIGHBOURS) -> Probes:
+    """The probes that look at the fewest buckets and codes and still find FOUND of the sample's neighbours.
+
+    With fewer than two rows, or where no choice finds enough, everything is probed.
+    """
+    bits, most = rotations.bits, rotations.axes.shape[1] // rotations.bits
+    everything = Probes(most, bits, most * bits)
+    n = len(sample)
+    if n < 2:
+        return everything
+    queries = np.arange(0, n, max(1, n // SAMPLE_QUERIES))
+    score = sample[queries] @ sample.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, n - 1)]
+    apart = np.bitwise_count(rotations.query_codes(sample[queries])[:, None, :] ^ rotations.codes(sample)[near])
+    best, cost = everything, math.inf
+    for reach in range(bits // 2):
+        met = np.minimum.accumulate(apart, axis=2) <= reach  # by the first 1, 2, .. tables
+        enough = np.flatnonzero(met.mean((0, 1)) >= FOUND)
+        if not len(enough):
+            continue
+        tables = int(enough[0]) + 1
+        probes = len(near_masks(reach, bits))
+        # buckets looked up, and codes found in these, for as many rows as there are substrings
+        now = tables * probes * (1 + 2.0)
+        if now < cost:
+            distance = apart[:, :, :tables].sum(2, dtype=np.int64)
+            best, cost = Probes(tables, reach, int(np.quantile(distance, WITHIN, method="higher"))), now
+    return best
+
+
 class MultiIndex:
-    """An index for each substring of a block's codes."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.wide = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
-        self.words = np.ascontiguousarray(codes).view(np.uint16).astype(np.int64)
-        self.tables = []
-        for k in range(self.words.shape[1]):
-            order = np.argsort(self.words[:, k], kind="stable")
-            self.tables.append((order, np.searchsorted(self.words[order, k], np.arange((1 << SUBSTRING_BITS) + 1))))
-
-    def _wide(self, code: np.ndarray) -> np.ndarray:
-        return np.pad(code, (0, -len(code) % 8)).view(np.uint64)
-
-    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Every code within the radius, and its distance."""
-        reach = radius // self.words.shape[1]
-        probes = sum(math.comb(SUBSTRING_BITS, k) for k in range(reach + 1)) * self.words.shape[1]
-        if probes < len(self.codes):
-            masks = near_masks(reach)
-            found = []
-            for k, word in enumerate(np.ascontiguousarray(code).view(np.uint16).tolist()):
-                order, begin = self.tables[k]
-                wanted = word ^ masks
-                a, n = begin[wanted], begin[wanted + 1] - begin[wanted]
-                some = n > 0
-                a, n = a[some], n[some]
-                if len(a):
-                    ends = np.cumsum(n)
-                    found.append(order[np.arange(ends[-1]) + np.repeat(a - ends + n, n)])
-            at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            away = np.bitwise_count(self.wide[at] ^ self._wide(code)).sum(1, dtype=np.int64)
-        else:
-            at = np.arange(len(self.codes))
-            away = np.bitwise_count(self.wide ^ self._wide(code)).sum(1, dtype=np.int64)
-        near = away <= radius
-        return at[near], away[near]
-
-    def gather(self, code: np.ndarray, least: int) -> np.ndarray:
-        """All codes within the smallest radius that holds ``least`` of them."""
-        least = min(least, len(self.codes))
-        substrings = self.words.shape[1]
-        # a small radius for queries with many close codes, a larger one, then any
-        for radius in (substrings - 1, 3 * substrings - 1, substrings * SUBSTRING_BITS):
-            at, away = self.within(code, radius)
-            if len(at) >= least:
-                edge = np.partition(away, least - 1)[least - 1]
-                return at[away <= edge]
-        return at
+    """An index for each of the first ``tables`` substrings of a block's codes."""
+
+    def __init__(self, codes: np.ndarray, bits: int, tables: int) -> None:
+        self.bits, self.tables, self.size = bits, tables, len(codes)
+        words = codes[:, :tables]
+        self.wide = self._wide(words)
+        # one array of rows for all tables, and where each bucket of each table begins
+        key = (np.arange(tables)[None, :] << bits) + words
+        flat = key.T.ravel()
+        self.order = np.argsort(flat, kind="stable") % max(1, self.size)
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=tables << bits))))
+
+    def _wide(self, words: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.pad(words, ((0, 0), (0, -words.shape[1] % 4)))).view(np.uint64)
+
+    def within(self, code: np.ndarray, probes: Probes) -> np.ndarray:
+        """The rows that probing finds within the radius, in order."""
+        word = code[: self.tables].astype(np.int64)
+        keys = ((word[:, None] ^ near_masks(probes.reach, self.bits)[None, :]) + (np.arange(self.tables)[:, None] << self.bits)).ravel()
+        a = self.begin[keys]
+        n = self.begin[keys + 1] - a
+        some = np.flatnonzero(n)
+        a, n = a[some], n[some]
+        hit = np.zeros(self.size, bool)
+        if len(n):
+            ends = np.cumsum(n)
+            hit[self.order[np.arange(ends[-1]) + np.repeat(a - ends + n, n)]] = True
+        at = np.flatnonzero(hit)
+        away = np.bitwise_count(self.wide[at] ^ self._wide(code[None, : self.tables])).sum(1, dtype=np.int64)
+        return at[away <= probes.radius]
+
+
+def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Each row's product with the query, summed in the same order for every row, so that equal rows get equal numbers."""
+    return (rows * query).sum(1)
 
 
 def usable(vector: str, size: int | None = None) -> Column:
@@ -153,6 +186,50 @@ def usable(vector: str, size: int | None = None) -> Column:
     return F.coalesce(ok & (F.size(v) == size) if size is not None else ok, F.lit(False))
 
 
+def search_blocks(coded: DataFrame, queries: DataFrame, rows: int, d: int, rotations: Rotations, probes: Probes, k: int) -> DataFrame:
+    """query_id, vec_id, score, met: the k best of each block for each query, and how many rows its probes met there.
+
+    ``coded`` and ``queries`` have vec_id, v and code. A block's rows come first
+    and are indexed; queries stream past them, a batch at a time. Each row goes
+    to one block, each query to every block.
+    """
+    tasks = tasks_for(coded.sparkSession)
+    blocks = max(math.ceil(rows / BLOCK_MOST), min(tasks, math.ceil(rows / BLOCK_LEAST)), 1)
+    own = coded.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v", "code")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v", "code")
+    together = own.unionByName(asked).repartition(min(blocks, tasks), "block").sortWithinPartitions("block", "asks", "vec_id")
+    tables = rotations.axes.shape[1] // rotations.bits
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, index = None, None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            block, asks, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            v = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(-1, d)
+            codes = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, tables)
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                if block[a] != of:
+                    of, index, held = block[a], None, []
+                if not asks[a]:
+                    held.append((ids[a:b], v[a:b], codes[a:b]))
+                    continue
+                if index is None and held:
+                    own_ids, own_v, own_codes = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held, index = [], MultiIndex(own_codes, rotations.bits, probes.tables)
+                for i in range(a, b) if index is not None else ():
+                    at = index.within(codes[i], probes)
+                    at = at[own_ids[at] != ids[i]]
+                    score = inner_products(own_v[at], v[i])
+                    best = np.lexsort((own_ids[at], -score))[:k]
+                    out.append((np.full(len(best), ids[i]), own_ids[at[best]], score[best], np.full(len(best), len(at))))
+            query_id, vec_id, score, met = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score.astype(float)), pa.array(met, pa.int64())], names=["query_id", "vec_id", "score", "met"])
+
+    return together.mapInArrow(search, "query_id long, vec_id long, score double, met long")
+
+
 def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, its k nearest other rows.
 
@@ -160,13 +237,13 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS)
     ties go to the smaller vec_id. Vectors that are null, zero or not finite
     throughout, rows without vec_id, and vectors of another length than most
     take no part. A row that repeats another's vec_id and vector counts once.
+    An empty table gives no rows; other columns don't matter.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
     if not lengths:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = lengths[0]["d"], lengths[0]["n"]
     rows = rows.where(F.size("v") == d)
     share = min(1.0, SAMPLE / n)
@@ -174,43 +251,30 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS)
     drawn = np.stack(sample.to_list()) if len(sample) else np.zeros((1, d))
     mean = drawn.mean(0)
     square = F.aggregate(F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda total, x: total + x)
-    rotations = learn_rotations(drawn, mean, math.sqrt(rows.agg(F.max(square)).first()[0]))
+    bits = min(max(round(math.log2(min(n, BLOCK_LEAST))), SUBSTRING_BITS[0]), SUBSTRING_BITS[1])
+    rotations = learn_rotations(drawn, mean, math.sqrt(rows.agg(F.max(square)).first()[0]), bits)
+    probes = learn_probes(rotations, drawn, k)
     held = spark.sparkContext.broadcast(rotations)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(1).flatten().to_numpy().reshape(len(batch), d)
+            asks = np.flatnonzero(batch.column(0).to_numpy() % every == 0)
+            query_code: list[bytes | None] = [None] * len(batch)
+            for i, code in zip(asks.tolist(), held.value.query_codes(v[asks]), strict=True):
+                query_code[i] = code.tobytes()
             binary = lambda rows: pa.array([x.tobytes() for x in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary(v), binary(held.value.codes(v)), binary(held.value.query_codes(v))], names=["vec_id", "v", "code", "query_code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary(v), binary(held.value.codes(v)), pa.array(query_code, pa.binary())], names=["vec_id", "v", "code", "query_code"])
 
     coded = stored(rows.mapInArrow(encode, "vec_id long, v binary, code binary, query_code binary").dropDuplicates(["vec_id", "v"]), "codes")
-    queries = coded.where(F.col("vec_id") % every == 0).withColumn("code", F.col("query_code"))
-    blocks, query_blocks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(n / every / QUERY_BLOCK))
-    each = math.ceil(GATHER * n**GROWTH / blocks * (1 if blocks == 1 else 1.2)) + k
-
-    def spread(table: DataFrame, own: str, own_n: int, other: str, other_n: int, is_query: bool) -> DataFrame:
-        placed = table.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(own_n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long"))).alias(other))
-        return placed.select("block", "query_block", F.lit(is_query).alias("is_query"), "vec_id", "v", "code")
-
-    cells = spread(coded, "block", blocks, "query_block", query_blocks, False).unionByName(spread(queries, "query_block", query_blocks, "block", blocks, True))
-    size = int(rotations.axes.shape[1]) // 8
-
-    def search(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        asks, rest = cell[cell["is_query"]], cell[~cell["is_query"]].sort_values("vec_id", kind="stable")
-        ids = rest["vec_id"].to_numpy()
-        out: list[tuple] = []
-        if len(asks) and len(rest):
-            v = np.frombuffer(b"".join(rest["v"]), np.float64).reshape(-1, d)
-            index = MultiIndex(np.frombuffer(b"".join(rest["code"]), np.uint8).reshape(-1, size))
-            for q, raw, code in zip(asks["vec_id"].tolist(), asks["v"], asks["code"], strict=True):
-                at = index.gather(np.frombuffer(code, np.uint8), each)
-                at = at[ids[at] != q]
-                score = v[at] @ np.frombuffer(raw, np.float64)
-                best = np.lexsort((ids[at], -score))[:k]
-                out.extend((q, i, s) for i, s in zip(ids[at][best].tolist(), score[best].tolist(), strict=True))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = cells.groupBy("block", "query_block").applyInPandas(search, "query_id long, vec_id long, score double")
+    queries = coded.where("query_code IS NOT NULL").select("vec_id", "v", F.col("query_code").alias("code"))
+    found = stored(search_blocks(coded, queries, n, d, rotations, probes, k), "found")
+    settled = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    few = stored(queries.join(settled, "vec_id", "left_anti"), "unsettled")
+    if not few.isEmpty():
+        most = rotations.axes.shape[1] // bits
+        all_of = search_blocks(coded, few, n, d, rotations, Probes(1, bits, most * bits), k)
+        found = found.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(all_of)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
