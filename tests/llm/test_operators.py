@@ -56,10 +56,23 @@ def test_jaccard_empty_table(spark):
     assert ngram_jaccard.ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_sketch_words_bound_the_odds_of_a_miss():
-    assert ngram_jaccard.sketch_words(6) == 0
-    sizes = [ngram_jaccard.sketch_words(b) for b in range(7, 16)]
-    assert sizes == sorted(sizes) and sizes[-1] < (1 << 15) / 8
+def test_proved_documents_meet_every_partner():
+    """Of two sets that link, both without prefix keys or both with them, some keys are equal, however few their words."""
+    random = np.random.default_rng(2)
+    none = ngram_jaccard.FrequentSet(np.zeros(0, np.uint64))
+
+    def keys(a):
+        return set(ngram_jaccard.sketch_keys(a, np.array([0, len(a)]), none)[0].tolist())
+
+    for n in (*range(1, 40), 64, 65, 90, 127, 128, 129, 200, 300, 511, 700):
+        for _ in range(12):
+            a = np.sort(random.integers(0, 1 << 64, n, dtype=np.uint64))
+            most = (n - -(-3 * n // 4))
+            gone, new = most, 0  # as different as a link allows: fewer, then swapped
+            if random.random() < 0.5:
+                gone = new = n // 7
+            b = np.sort(np.concatenate((random.permutation(a)[gone:], random.integers(0, 1 << 64, new, dtype=np.uint64))))
+            assert not ngram_jaccard.similar(a, b) or keys(a) & keys(b)
 
 
 def test_similar_is_exact_at_the_threshold():
@@ -355,16 +368,18 @@ def test_unigram_model_is_rebuilt(tmp_path):
 
 def test_pigeonhole_gives_every_code_within_the_radius():
     random = np.random.default_rng(6)
-    codes = random.integers(0, 256, (30_000, 32), np.uint8)
-    codes[1] = codes[0]
-    for k in range(2, 40):
+    tables, bits = 16, 12
+    codes = random.integers(0, 1 << bits, (30_000, tables)).astype(np.uint16)
+    flips = random.permutation(tables * bits)
+    for k in range(1, 40):
         codes[k] = codes[0]
-        codes[k, :] ^= np.packbits(np.arange(256) < k)
-    index = ann.MultiIndex(codes)
-    for radius in (0, 15, 31, 33):
-        at, away = index.within(codes[0], radius)
-        full = np.bitwise_count(codes ^ codes[0]).sum(1)
-        assert sorted(at.tolist()) == np.flatnonzero(full <= radius).tolist()
+        for f in flips[:k].tolist():
+            codes[k, f // bits] ^= np.uint16(1 << f % bits)
+    index = ann.MultiIndex(codes, bits, tables)
+    full = np.bitwise_count(codes ^ codes[0]).sum(1)
+    for reach in (0, 1, 2):
+        radius = tables * (reach + 1) - 1
+        assert index.within(codes[0], ann.Probes(tables, reach, radius)).tolist() == np.flatnonzero(full <= radius).tolist()
 
 
 def exact(rows, k=20):
