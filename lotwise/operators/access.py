@@ -9,8 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SQL_CHARS, SQL_ROWS = 4000, 500
-#: Plan nodes that a guarded query's tree may not have: it writes, or changes the catalogue or settings.
-_WRITES = re.compile(r"Insert|Create|Drop|Alter|Replace|Truncate|Merge|Update|Delete|Command|Cache|Set(?!Op)|Load|Analyze|Repair|AddJar|AddFile|Refresh|Describe|Show|Use|Explain")
+#: Plan nodes that a guarded query may have: those that read. Any other is refused.
+READING = {
+    "CTE", "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "UnresolvedRelation", "UnresolvedTableValuedFunction", "OneRowRelation", "LocalRelation", "UnresolvedInlineTable",
+}
+#: Functions that it may call.
+FUNCTIONS = set(
+    "abs avg array array_contains ceil ceiling char_length coalesce concat concat_ws contains count count_if date_add date_format date_sub date_trunc datediff day dayofmonth dense_rank endswith exp extract "
+    "first first_value floor greatest hour if ifnull initcap instr isnull isnotnull lag last last_value lead least left length like ln log lower lpad ltrim max max_by mean median min min_by minute mod month months_between "
+    "nullif nvl percent_rank percentile power quarter range rank regexp_extract regexp_like regexp_replace replace right round row_number rpad rtrim second sign size split split_part sqrt startswith stddev substr substring sum "
+    "to_date to_timestamp trim trunc try_cast try_divide upper var_pop variance when year".split()
+)
 
 
 def redact(rows: DataFrame, free: list[str], counted: list[str]) -> DataFrame:
@@ -30,17 +40,27 @@ def suggestions(counts: DataFrame, per: int, limit: int, least: int) -> DataFram
 def guarded_sql(spark: SparkSession, text: str, rows: int = SQL_ROWS, **arguments: object) -> DataFrame:
     """Run one read-only query with named arguments; at most SQL_ROWS rows.
 
-    The statement is parsed by Spark itself and refused unless its plan only
-    reads. Arguments are plain values, passed apart from the text.
+    The statement is parsed by Spark itself and refused unless its plan has only
+    nodes of READING, calls only FUNCTIONS and reads tables by a plain name (not
+    files by path, and not under another catalogue or schema). Arguments are
+    plain values, passed apart from the text.
     """
-    if len(text) > SQL_CHARS:
-        raise ValueError(f"a query may have {SQL_CHARS} characters")
+    if not isinstance(text, str) or not text.strip() or len(text) > SQL_CHARS:
+        raise ValueError(f"a query is a text of 1 to {SQL_CHARS} characters")
     if any(not isinstance(v, (str, int, float, bool, type(None))) for v in arguments.values()):
         raise ValueError("arguments are plain values")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    found = next((m[0] for m in map(_WRITES.match, (line.lstrip(" :+-'").split(" ")[0] for line in plan.treeString().splitlines())) if m), None)
-    if found:
-        raise ValueError(f"only queries are allowed, not {found}")
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).treeString()
+    for line in filter(str.strip, tree.splitlines()):
+        node = re.match(r"[ :+|-]*'?(\w+)", line)
+        if not node or node[1] not in READING:
+            raise ValueError(f"only queries are allowed, not {node[1] if node else line}")
+        relation = re.search(r"UnresolvedRelation \[(.*?)\], \[", line)
+        if node[1] == "UnresolvedRelation" and (not relation or not re.fullmatch(r"\w+", relation[1])):
+            raise ValueError("tables are read by a plain name")
+        calls = re.findall(r"'([\w.`]+)\(", line) + re.findall(r"UnresolvedTableValuedFunction \[(.*?)\]", line)
+        refused = [c for c in calls if c.lower() not in FUNCTIONS]
+        if refused:
+            raise ValueError(f"{refused[0]} isn't among the allowed functions")
     return spark.sql(text, args=arguments or None).limit(max(1, min(rows, SQL_ROWS)))
 
 

@@ -37,11 +37,11 @@ def _peers(spark, sf_dir):
 def _rings_sql() -> str:
     parts = []
     for name, by in _RINGS.items():
-        on = " AND ".join(f"p.{c} = s.{c}" for c in by)
+        ring, known = ", ".join(by), " AND ".join(f"{c} IS NOT NULL" for c in by)
         parts.append(
-            f"SELECT key, '{name}' AS ring, n, p25, median, p75, below, round(100.0 * below / n, 2) AS percent_below FROM (SELECT s.key, count(*) AS n, round(quantile_cont(p.unit_price, 0.25), 4) AS p25, round(quantile_cont(p.unit_price, 0.5), 4) AS median, round(quantile_cont(p.unit_price, 0.75), 4) AS p75, count(CASE WHEN p.unit_price < s.unit_price THEN 1 END) AS below FROM s JOIN p ON {on} GROUP BY s.key) WHERE n >= 5"
+            f"SELECT key, '{name}' AS ring, n, p25, median, p75, below, round(100.0 * below / n, 2) AS percent_below FROM (SELECT key, {ring}, rank() OVER (PARTITION BY {ring} ORDER BY unit_price) - 1 AS below FROM p WHERE {known}) JOIN (SELECT {ring}, count(*) AS n, round(quantile_cont(unit_price, 0.25), 4) AS p25, round(quantile_cont(unit_price, 0.5), 4) AS median, round(quantile_cont(unit_price, 0.75), 4) AS p75 FROM p GROUP BY ALL HAVING count(*) >= 5) USING ({ring})"
         )
-    return f"{LISTINGS_SQL}, {LOTS_SQL}, p AS (SELECT lot_type, city, state, lot_reserve / extent AS unit_price, listing_id * 1000 + lot_no AS key FROM lots JOIN listings USING (listing_id) WHERE extent BETWEEN 2 AND 500000), s AS (SELECT * FROM p WHERE key IN (SELECT max(key) FROM p GROUP BY city)) {' UNION ALL '.join(parts)}"
+    return f"{LISTINGS_SQL}, {LOTS_SQL}, p AS (SELECT lot_type, city, state, lot_reserve / extent AS unit_price, listing_id * 1000 + lot_no AS key FROM lots JOIN listings USING (listing_id) WHERE extent BETWEEN 2 AND 500000) {' UNION ALL '.join(parts)}"
 
 
 @query(_rings_sql())
@@ -284,7 +284,7 @@ def conversation_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(w).alias("position"), F.count("*").over(Window.partitionBy("conv_id")).alias("turns"), growth.cast("long").alias("growth"), (growth > 0).alias("widened"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN substr(text, 1, 12) END AS scope FROM conversations) SELECT conv_id, turn, last_value(scope IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM t")
+@query("WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS scope FROM conversations) SELECT conv_id, turn, last_value(scope IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM t")
 def conversation_scope(spark, sf_dir):
     """What a thread last asked for carries over to its later turns."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)

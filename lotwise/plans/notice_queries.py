@@ -31,7 +31,7 @@ def _first(kind: str, by: str, name: str) -> str:
     return f"(array_agg(v ORDER BY turn) FILTER (role = '{kind}' AND v IS NOT NULL))[1] AS {name}"
 
 
-@query(f"WITH e AS (SELECT conv_id, CASE WHEN turn >= 4 THEN '2' ELSE '1' END AS lot, role, turn, substr(text, 1, 20) AS v FROM conversations), l AS (SELECT conv_id, lot, {_first('user', '', 'user_')} FROM e GROUP BY 1, 2), n AS (SELECT conv_id, {_first('assistant', '', 'assistant')} FROM e GROUP BY 1) SELECT conv_id, lot, user_ AS \"user\", assistant FROM l JOIN n USING (conv_id)")
+@query(f"WITH e AS (SELECT conv_id, CASE WHEN turn >= 4 THEN '2' ELSE '1' END AS lot, role, turn, text AS v FROM conversations), l AS (SELECT conv_id, lot, {_first('user', '', 'user_')} FROM e GROUP BY 1, 2), n AS (SELECT conv_id, {_first('assistant', '', 'assistant')} FROM e GROUP BY 1) SELECT conv_id, lot, user_ AS \"user\", assistant FROM l JOIN n USING (conv_id)")
 def promote_lots(spark, sf_dir):
     e = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("turn") >= 4, "2").alias("lot"), "role", "turn", F.col("text").alias("v"))
     return Nt.promote(e, "conv_id", "lot", "role", "v", "turn", ["user"], ["assistant"])

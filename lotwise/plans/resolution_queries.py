@@ -59,7 +59,7 @@ def answer_grounding(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size(new).cast("long").alias("n_new"), F.array_join(new, ",").alias("new_names"))
 
 
-@query("WITH p AS (SELECT conv_id AS grp, role AS copy, turn, substr(text, 1, 3) AS c FROM conversations), s AS (SELECT grp, copy, list(c ORDER BY turn, c) AS o FROM p GROUP BY 1, 2) SELECT grp, max(len(o)) AS pages, count(*) AS copies, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT o) = 1 THEN 'agreed' ELSE 'ambiguous' END AS verdict FROM s GROUP BY grp")
+@query("WITH p AS (SELECT conv_id AS grp, role AS copy, turn, text AS c FROM conversations), s AS (SELECT grp, copy, list(c ORDER BY turn, c) AS o FROM p GROUP BY 1, 2) SELECT grp, max(len(o)) AS pages, count(*) AS copies, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT o) = 1 THEN 'agreed' ELSE 'ambiguous' END AS verdict FROM s GROUP BY grp")
 def page_order(spark, sf_dir):
     """Whole texts, by their digests, so that a long thread is gathered in few bytes a turn."""
     p = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("grp"), F.col("role").alias("copy"), "turn", F.sha2("text", 256).alias("c"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise.functions import areas as Ar
 from lotwise.functions import normalize as N
 from lotwise.functions import similarity as S
 from lotwise.operators import analytics as A
@@ -16,13 +17,13 @@ def one(spark, expr, *values):
     return df.select(expr(*[F.col(f"x{i}") for i in range(len(values))]).alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(("text", "want"), [("1295 Sq Ft", 1295.0), ("0.5 acre", 21780.0), ("3 cents", 1306.8), ("1295", 1295.0), ("5", None), ("0.49.5 Hectares", 53281.3), (None, None), ("", None), ("120 sq m", 1291.67)])
+@pytest.mark.parametrize(("text", "want"), [("1295 Sq Ft", 1295.0), ("0.5 acre", 21780.0), ("3 cents", 1306.8), ("1295", 1295.0), ("5", None), ("0.49.5 Hectares", 53281.36), (None, None), ("", None), ("120 sq m", 1291.67)])
 def test_area(spark, text, want):
-    got = one(spark, N.parse_area_sqft, text)
+    got = one(spark, Ar.total_sqft, text)
     assert got == want or abs(got - want) < 0.02
 
 
-@pytest.mark.parametrize(("text", "want"), [("₹ 12,34,567.50", 1234567.5), ("Rs. 500/-", 500.0), ("no price", None), (None, None), ("", None)])
+@pytest.mark.parametrize(("text", "want"), [("₹ 12,34,567.50", 1234567.5), ("Rs. 500/-", None), ("1 23", None), ("-5", -5.0), ("â‚¹1,23,456.00", 123456.0), ("no price", None), (None, None), ("", None)])
 def test_price(spark, text, want):
     assert one(spark, N.clean_price, text) == want
 
@@ -40,7 +41,10 @@ def test_names_and_identifiers(spark):
     assert one(spark, N.identifier_value, "72/1B") != one(spark, N.identifier_value, "72/1B1")
     assert one(spark, N.identifier_value, " 072/ 1b") == one(spark, N.identifier_value, "72/1B")
     assert one(spark, N.borrower_key, "Mr. A  Kumar") == "a kumar"
-    assert one(spark, N.document_role, "Corrigendum to sale notice") == "corrigendum"
+    assert one(spark, N.borrower_key, "M/s. A.B. Mills (P) Ltd") == "a b mills p ltd"
+    assert {one(spark, N.branch_key, t) for t in ("ARM Branch Trichy", "Trichy ARM Branch", "ARM TRICHY")} == {"arm trichy"}
+    assert one(spark, N.branch_key, "ARM I") != one(spark, N.branch_key, "ARM II")
+    assert [one(spark, N.family_value, t) for t in ("381 BY 5A", "381-5a", "300/3")] == ["381/5a", "381/5a", "300/3"]
     assert one(spark, N.property_bucket, "Residential flat with shop") == "flat" and one(spark, N.property_bucket, None) == "unknown"
     assert one(spark, N.slug, " Two  BHK / flat!") == "two-bhk-flat"
 
@@ -134,3 +138,55 @@ def test_sources(spark, tmp_path):
     assert {tuple(r) for r in Ta.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert {r["k"] for r in Ta.unprocessed(new, old, "k").collect()} == {3}
     assert {r["k"] for r in Ta.unprocessed(new, old, "k", "v").collect()} == {2, 3}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("23-03-2026 0130 PM", "2026-03-23 13:30:00"), ("23-03-2026 130 PM", "2026-03-23 13:30:00"), ("01-01-2026 1200 AM", "2026-01-01 00:00:00"), ("01-01-2026 1215 pm", "2026-01-01 12:15:00"),
+        ("2026-09-17T05:30:00.000Z", "2026-09-17 11:00:00"), ("2026-09-17T05:30:00+05:30", "2026-09-17 05:30:00"), ("2026-09-17T20:00:00-01:00", "2026-09-18 02:30:00"),
+        ("15 Sep 2026 11:00", "2026-09-15 11:00:00"), ("12 Sep 2026", "2026-09-12 00:00:00"), ("1 September 2026 9:05", "2026-09-01 09:05:00"), ("12 Foo 2026", None),
+        ("2026-09-15T11:00:00", "2026-09-15 11:00:00"), ("2026-09-15", "2026-09-15 00:00:00"), ("31-02-2026 1000 AM", None), ("N/A", None), ("--", None), ("", None), (None, None), ("soon", None),
+    ],
+)
+def test_dates(spark, text, want):
+    got = one(spark, N.parse_date, text)
+    assert (got and str(got)) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "unit", "sqft"),
+    [
+        ("6.00 Cents", 6.0, "cent", 2613.6), ("2180 Sq. ft", 2180.0, "sq_ft", 2180.0), ("1080 1⁄2 sq.ft", 1080.5, "sq_ft", 1080.5), ("1931-1/4 sq.ft", 1931.25, "sq_ft", 1931.25), ("346.1/2 cents", 346.5, "cent", 150935.4),
+        ("2 ½ acres", 2.5, "acre", 108900.0), ("½ ground", 0.5, "ground", 1200.0), ("0.11.50 Hectare (28 1/2 cents)", 0.115, "hectare", 12378.5), ("Hec. 3,06.0 (7.56 acres)", 3.06, "hectare", 329375.66),
+        ("9.621 Acres (3-89-0 Hectares)", 9.621, "acre", 419090.76), ("1200 square feet", 1200.0, "sq_ft", 1200.0), ("1200 squareft", 1200.0, None, None), ("2 percent share", 2.0, None, None),
+        ("1200 sft", 1200.0, "sq_ft", 1200.0), ("100 sq.mtrs", 100.0, "sq_m", 1076.39), ("1 ha", 1.0, None, None), ("1 hectare", 1.0, "hectare", 107639.1), ("no number", None, None, None),
+    ],
+)
+def test_areas(spark, text, value, unit, sqft):
+    got = one(spark, Ar.area, text)
+    assert (got["unit"], got["value"], got["sqft"]) == (unit, pytest.approx(value), pytest.approx(sqft))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("0.10 1/4 acre (4625 Sq ft)", (4625.0, "stated")), ("7200 Sq. ft (each plot 1800 Sq. ft.)", (None, "multi_value")), ("5 cents and 7 sq.ft", (None, "composite")), ("3 cents", (1306.8, "converted")), ("some land", (None, "unparsed")), (None, (None, "unparsed"))],
+)
+def test_stated_sqft(spark, text, want):
+    assert tuple(one(spark, Ar.stated_sqft, text)) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Sale Proclamation", "proclamation"), ("Terms and Conditions of E auction", "terms"), ("12345_20260817_Property-Details.pdf", "property_details"), ("Bidder Declaration.pdf", "affidavit"), ("BS-Chennai-Repco.pdf", "publication"),
+        ("repco-hindu-chennai-12-09-2026.pdf", "publication"), ("The Hindu page 4", "publication"), ("Corrigendum to sale notice", "sale_notice"), ("Ravi Kumar Sale.pdf", "sale_notice"), ("NIT document", "tender"), ("photo", "unknown"), (None, "unknown"), ("", "unknown"),
+    ],
+)
+def test_document_roles(spark, text, want):
+    assert one(spark, N.document_role, text) == want
+
+
+def test_compared_areas(spark):
+    df = spark.createDataFrame([(1000.0, 1005.0), (1000.0, 10_100.0), (1000.0, 2000.0), (None, 1.0), (0.0, 1.0)], "a double, b double")
+    assert [r[0] for r in df.select(Ar.compared_areas(F.col("a"), F.col("b"))).collect()] == ["agree", "magnitude_slip", "disagree", "unknown", "unknown"]
