@@ -141,16 +141,136 @@ def relax(rows: DataFrame, filters: Filters) -> DataFrame:
 
 
 def sort_columns(name: str) -> list[Column]:
-    """The named sorts; a null comes last and the id breaks ties."""
+    """The named sorts; a null comes last and the id breaks ties. Names with a direction take any of their columns either way."""
+    either = {"deadline": "deadline", "start": "auction_dt", "price": "reserve", "emd": "emd"}
     sorts = {
-        "price_asc": [F.col("reserve").asc_nulls_last()],
-        "price_desc": [F.col("reserve").desc_nulls_last()],
+        "deadline": [F.col("deadline").asc_nulls_last()],
         "auction_date": [F.col("auction_dt").asc_nulls_last()],
         "recent": [F.col("auction_dt").desc_nulls_last()],
-    }
+        "area_desc": [F.col("area").desc_nulls_last()],
+    } | {f"{n}_{way}": [F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last()] for n, c in either.items() for way in ("asc", "desc")}
     return [*sorts[name], F.col("listing_id").asc()]
 
 
+def pages(rows: DataFrame, sorts: list[str], size: int) -> DataFrame:
+    """The first ``size`` rows of each named sort: sort, position, listing_id."""
+    out = None
+    for name in sorts:
+        top = rows.orderBy(*sort_columns(name)).limit(size)
+        one = top.select(F.lit(name).alias("sort"), F.row_number().over(Window.orderBy(*sort_columns(name))).alias("position"), "listing_id")  # of ``size`` rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def capped(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """At most ``most`` rows, each with the number of all rows as ``total``."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).limit(most).join(F.broadcast(total), how="inner")
+
+
+def any_contains(columns: list[str], words: list[str]) -> Column:
+    """Whether any of the columns holds any of the words, in any case."""
+    out = F.lit(False)
+    for c in columns:
+        for w in words:
+            out = out | F.coalesce(F.contains(F.lower(F.col(c)), F.lit(w.lower())), F.lit(False))
+    return out
+
+
+def whole_match(column: str, pattern: str) -> Column:
+    """Whether the pattern fits the whole value, in any case."""
+    return F.col(column).rlike(f"(?i)^(?:{pattern})$")
+
+
+def end_of_day(day: Column) -> Column:
+    """A date as the upper end of a range: its last second. A time of day stays."""
+    at = day.cast("timestamp_ntz")
+    return F.when(at == F.date_trunc("day", at).cast("timestamp_ntz"), F.timestamp_add("SECOND", F.lit(86399), at)).otherwise(at)
+
+
+# What a wider property type stands for.
+TYPE_SYNONYMS = {"building": ["BUILDING", "HOUSEHOLD"], "vehicle": ["AUTOMOBILE", "MACHINERY"]}
+
+
+def typed(column: str, wanted: list[str]) -> Column:
+    """Rows of any wanted type, wider ones expanded."""
+    return F.col(column).isin(sorted({x for w in wanted for x in TYPE_SYNONYMS.get(w.lower(), [w])}))
+
+
+def auction_filters(**asked: object) -> Filters:
+    """The filters of a listing search by name; a filter that isn't asked for, or is None, doesn't exist.
+
+    state, city, category, status, borrower, text: equal or contained text;
+    types: wider types; price_least, price_most, area_least, area_most, from_day,
+    to_day (a day counts whole), sources (ranks), ids, past (True or False, with
+    as_of), priced, dated.
+    """
+    day = lambda k: F.lit(asked[k]).cast("timestamp_ntz")
+    known = {
+        "state": lambda v: same_text("state", v),
+        "city": lambda v: same_text("city", v),
+        "category": lambda v: has_text("category", v),
+        "types": lambda v: typed("category", v),
+        "status": lambda v: any_of("status", v),
+        "borrower": lambda v: has_text("borrower", v),
+        "text": lambda v: any_contains(["city", "state", "category", "borrower"], [v]),
+        "price_least": lambda v: F.col("reserve") >= v,
+        "price_most": lambda v: F.col("reserve") <= v,
+        "area_least": lambda v: F.col("area") >= v,
+        "area_most": lambda v: F.col("area") <= v,
+        "from_day": lambda v: F.col("auction_dt") >= day("from_day"),
+        "to_day": lambda v: F.col("auction_dt") <= end_of_day(day("to_day")),
+        "sources": lambda v: any_of("source_rank", v),
+        "ids": lambda v: any_of("listing_id", v),
+        "priced": lambda v: F.col("reserve").isNotNull() if v else F.col("reserve").isNull(),
+        "dated": lambda v: F.col("auction_dt").isNotNull() if v else F.col("auction_dt").isNull(),
+    }
+    strange = set(asked) - set(known)
+    if strange:
+        raise ValueError(f"no such filters: {sorted(strange)}")
+    for low, high in (("price_least", "price_most"), ("area_least", "area_most"), ("from_day", "to_day")):
+        if asked.get(low) is not None and asked.get(high) is not None and asked[low] > asked[high]:
+            raise ValueError(f"{low} is above {high}")
+    out = Filters()
+    for name, condition in known.items():
+        if asked.get(name) is not None:
+            out = out.add(name, condition(asked[name]))
+    return out
+
+
+def zero_hint(filters: int, relaxed: DataFrame) -> DataFrame:
+    """One row (hint): which filter to drop, where none matches; else that nothing does."""
+    best = relaxed.agg(F.max_by(F.struct("dropped", "n"), F.struct(F.col("n"), F.col("dropped"))).alias("b"))
+    said = F.concat(F.lit(f"none matches all {filters} filters; without "), F.col("b.dropped"), F.lit(" there are "), F.col("b.n").cast("string"))
+    return best.select(F.coalesce(said, F.lit("nothing matches")).alias("hint"))
+
+
+def found(rows: DataFrame, filters: Filters, narrow: dict[str, Column], size: int = 10, group_by: Column | None = None) -> DataFrame:
+    """One answer to a search, as (section, position, label, n).
+
+    ``total`` and ``priced`` counts; a ``group`` break-down instead of rows if
+    asked for; else ``row`` (its id) in the order of price_desc, and ``refine``
+    values of ``narrow`` if there are more rows than shown; with no row ``relax``
+    counts and a ``hint``. The total is the only number that decides, and the
+    only one that comes to the driver.
+    """
+    hit = filters.on(rows)
+    total = hit.count()
+    line = lambda df, section, label, n, order: df.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).cast("int").alias("position"), label.cast("string").alias("label"), n.cast("long").alias("n"))
+    stats_ = hit.agg(F.count("*").alias("t"), F.count("reserve").alias("p")).select(F.explode(F.array(F.struct(F.lit("total").alias("l"), F.col("t").alias("n")), F.struct(F.lit("priced").alias("l"), F.col("p").alias("n")))).alias("v")).select("v.*")
+    out = line(stats_, "stats", F.col("l"), F.col("n"), [F.desc("l")])
+    if group_by is not None:
+        return out.unionByName(line(breakdown(hit, group_by, "listing_id"), "group", F.col("value"), F.col("n"), [F.desc("n"), F.col("value")]))
+    if not total:
+        easier = relax(rows, filters)
+        return out.unionByName(line(easier, "relax", F.col("dropped"), F.col("n"), [F.desc("n"), F.col("dropped")])).unionByName(line(zero_hint(len(filters.conditions), easier), "hint", F.col("hint"), F.lit(None), [F.col("hint")]))
+    top = hit.orderBy(*sort_columns("price_desc")).limit(size)
+    out = out.unionByName(line(top, "row", F.col("listing_id"), F.lit(None), sort_columns("price_desc")))
+    if total > size:
+        out = out.unionByName(line(top_values(hit, narrow, 3), "refine", F.concat_ws(":", "dimension", "value"), F.col("n"), [F.col("dimension"), F.desc("n"), F.col("value")]))
+    return out
+
+
 def upcoming_first(rows: DataFrame, when: str, key: str, as_of: Column) -> list[Column]:
     """Future dates in order, then past ones backwards, then those without a date."""
     group = F.when(F.col(when).isNull(), 2).when(F.col(when) >= as_of, 0).otherwise(1)
