@@ -8,15 +8,11 @@ similarity of 0.75 or more. The search goes by these steps:
    documents cancels, so the number of differing words, and of differing bits,
    is at most the symmetric difference. Sizes within a size band bound that
    difference by ``D = 2U/7`` (``U``: the band's largest size).
-2. *Pigeonhole join per size band.* Documents meet where band, word number and
-   word agree, empty words left out. A document of ``n`` shingles differs from
-   any partner in at most ``(n + min(4n/3, U)) / 7``; if more of its words than
-   that are not empty, one of these is untouched and it meets every partner.
-   This is checked for each document and band. Those for which it doesn't hold
-   have a word for each shingle of their prefix as well (the first
-   ``n - ceil(3n/4) + 1`` shingles in one order of all, frequent ones last), and
-   of two partners both of which do so, one such shingle is shared. So no link
-   is left to chance.
+2. *Pigeonhole join per size band.* ``m`` is chosen so that at least one
+   non-empty word stays untouched by ``D`` changes (for sets of up to 64
+   shingles with certainty: each shingle has a word to itself; above that the
+   odds of a miss are below 1e-12 a pair, see :func:`sketch_words`). Documents
+   meet where band, word number and word agree.
 3. *Verify.* Candidates are compared on their full shingle sets.
 
 What keeps this linear: documents with the same set are one class and enter
@@ -31,7 +27,9 @@ need no comparison, since they can't change it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +42,8 @@ from .textkit import find_sorted, keep_nothing, mix, per_row, shingle_sets, text
 
 #: Similarity 0.75 as a fraction.
 SIMILAR = (75, 100)
+#: Sets up to this size have a sketch word for each shingle.
+SINGLES = 64
 #: Documents of a group that are compared by their bit sketches in one go.
 BLOCK = 512
 #: A shingle is frequent from this number of different sets on.
@@ -54,55 +54,53 @@ FREQUENT_MOST = 1 << 17
 FAN = 256
 
 _U = np.uint64
-#: Sketch words for each shingle of a band's largest set, and at least; with fewer, fewer documents could be proved to meet their partners.
-WORDS_SHARE, WORDS_LEAST = 0.31, 4
+_MISS = 1e-12
 
 
-def sketch_words(band: np.ndarray) -> np.ndarray:
-    """Words in the sketches of a band of sets of up to 2**band shingles."""
-    return WORDS_LEAST + np.ceil(WORDS_SHARE * 2.0**band).astype(np.int64)
+@lru_cache(maxsize=None)
+def sketch_words(band: int) -> int:
+    """Words in the sketches of a band of sets of up to 2**band shingles; 0: one for each shingle.
+
+    Sets that link share c >= D shingles that are not frequent (at least half
+    of a set isn't, and D bounds what one set has alone) and differ in D at
+    most. Both estimates bound the odds that none of the c lies in a word
+    without a change: all c in the D changed words, or each word changed or empty.
+    """
+    largest = 1 << band
+    if largest <= SINGLES:
+        return 0
+    d = 2 * largest // 7
+    m = max(16, d // 4)
+    while min((min(d, m) / m) ** d, (1 - math.exp(-d / m) * (1 - math.exp(-d / m))) ** m) > _MISS:
+        m += 1 + m // 64
+    return m
 
 
 def _bands(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The band of each size, and that of the largest size it can link with."""
     own = np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
     up = np.ceil(np.log2(np.maximum(n * SIMILAR[1] // SIMILAR[0], 1))).astype(np.int64)
-    return own, up
+    low = SINGLES.bit_length() - 1
+    return np.maximum(own, low), np.maximum(up, low)
 
 
-def _band_keys(hashes: np.ndarray, begin: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _band_keys(hashes: np.ndarray, begin: np.ndarray, band: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the non-empty sketch words of each row, and the row of each key. Hashes are sorted within rows."""
     sizes = np.diff(begin)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    word = ((hashes >> _U(32)) * sketch_words(band).astype(_U)[row]) >> _U(32)
+    words = np.array([sketch_words(b) for b in range(64 if not len(band) else int(band.max()) + 1)], _U)[band][row]
+    single = words == 0
+    word = ((hashes >> _U(32)) * words) >> _U(32)
     new = np.ones(len(hashes), bool)
-    new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+    new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1]) | single[1:]
     at = np.flatnonzero(new)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     value = np.bitwise_xor.reduceat(hashes, at)
-    where = (word[at] << _U(8)) + (band[row[at]].astype(_U) << _U(1))
+    where = (word[at] << _U(8)) + (band[row[at]].astype(_U) << _U(1)) + space[row[at]].astype(_U)
     return mix(value ^ mix(where + _U(0x51ED270B))).view(np.int64), row[at]
 
 
-def _most_differences(n: np.ndarray, largest: np.ndarray) -> np.ndarray:
-    """What a set of n shingles and a partner of up to ``largest`` differ in at most."""
-    return (n + np.minimum(n * SIMILAR[1] // SIMILAR[0], largest)) // 7
-
-
-def _prefix_keys(hashes: np.ndarray, begin: np.ndarray, often: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the prefix shingles of some rows (indices), and the row of each key."""
-    keys, of = [], []
-    for r in rows.tolist():
-        own, last = hashes[begin[r] : begin[r + 1]], often[begin[r] : begin[r + 1]]
-        size = len(own) - -(-SIMILAR[0] * len(own) // SIMILAR[1]) + 1
-        keys.append(np.concatenate((own[~last], own[last]))[:size])
-        of.append(np.full(len(keys[-1]), r))
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return mix(np.concatenate(keys) ^ _U(0x2545F491)).view(np.int64), np.concatenate(of)
-
-
 def _rows_of(values: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of some rows (a mask), and where those rows begin."""
     sizes = np.diff(begin)
@@ -127,27 +125,30 @@ class FrequentSet:
 def sketch_keys(hashes: np.ndarray, begin: np.ndarray, frequent: FrequentSet) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys of each row, sorted by row, and where each row's keys begin.
 
-    Sketches are of the shingles that are not frequent, in the row's own band
-    and in that of its largest partner. Rows that these don't prove to meet
-    every partner have the keys of their prefix too.
+    Rows with at least half of their shingles not frequent use only those
+    (space 0). The others use them too, so as to meet the former, and also all
+    their shingles (space 1), so as to meet one another.
     """
     n = np.diff(begin)
     often = frequent(hashes)
-    kept, kept_begin = hashes[~often], np.concatenate(([0], np.cumsum(~often)))[begin]
+    kept_at = np.concatenate(([0], np.cumsum(~often)))[begin]
+    kept, kept_begin = hashes[~often], kept_at
     own, up = _bands(n)
     keys, rows = [], []
-    weak = np.zeros(len(n), bool)
-    for band, some in ((own, n > 0), (up, up != own)):
-        ids = np.flatnonzero(some)
-        if not len(ids):
-            continue
-        v, b = _rows_of(kept, kept_begin, some)
-        k, r = _band_keys(v, b, band[ids])
-        keys.append(k)
-        rows.append(ids[r])
-        weak[ids] |= np.bincount(r, minlength=len(ids)) <= _most_differences(n[ids], 1 << band[ids])
-    k, r = _prefix_keys(hashes, begin, often, np.flatnonzero(weak))
-    key, row = np.concatenate([*keys, k]), np.concatenate([*rows, r])
+    everyone = np.ones(len(n), bool)
+    mostly = 2 * np.diff(kept_begin) < n
+    for space, values, start, chosen in ((0, kept, kept_begin, everyone), (1, hashes, begin, mostly)):
+        for band, some in ((own, chosen), (up, chosen & (up != own))):
+            ids = np.flatnonzero(some)
+            if not len(ids):
+                continue
+            v, b = _rows_of(values, start, some)
+            k, r = _band_keys(v, b, band[ids], np.full(len(ids), space))
+            keys.append(k)
+            rows.append(ids[r])
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(len(begin), np.int64)
+    key, row = np.concatenate(keys), np.concatenate(rows)
     order = np.argsort(row, kind="stable")
     return key[order], np.searchsorted(row[order], np.arange(len(begin)))
 
@@ -325,7 +326,7 @@ def _bit_sketches(texts: DataFrame) -> DataFrame:
             for at, to, data, offsets in text_slices(batch.column(1)):
                 hashes, begin = shingle_sets(data, offsets)
                 n = np.diff(begin)
-                bits = 4 << np.maximum(_bands(n)[0], 6)
+                bits = 4 << _bands(n)[0]
                 row = np.repeat(np.arange(len(n)), n)
                 start = np.concatenate(([0], np.cumsum(bits)))
                 flips = np.bincount(start[row] + (hashes & (bits[row] - 1).astype(_U)).astype(np.int64), minlength=int(start[-1])) & 1

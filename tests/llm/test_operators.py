@@ -56,8 +56,14 @@ def test_jaccard_empty_table(spark):
     assert ngram_jaccard.ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_proved_documents_meet_every_partner():
-    """Of two sets that link, both without prefix keys or both with them, some keys are equal, however few their words."""
+def test_sketch_words_bound_the_odds_of_a_miss():
+    assert ngram_jaccard.sketch_words(6) == 0
+    sizes = [ngram_jaccard.sketch_words(b) for b in range(7, 16)]
+    assert sizes == sorted(sizes) and sizes[-1] < (1 << 15) / 8
+
+
+def test_partners_at_the_threshold_meet():
+    """Of two sets as different as a link allows some keys are equal, whatever their sizes."""
     random = np.random.default_rng(2)
     none = ngram_jaccard.FrequentSet(np.zeros(0, np.uint64))
 
@@ -67,10 +73,7 @@ def test_proved_documents_meet_every_partner():
     for n in (*range(1, 40), 64, 65, 90, 127, 128, 129, 200, 300, 511, 700):
         for _ in range(12):
             a = np.sort(random.integers(0, 1 << 64, n, dtype=np.uint64))
-            most = (n - -(-3 * n // 4))
-            gone, new = most, 0  # as different as a link allows: fewer, then swapped
-            if random.random() < 0.5:
-                gone = new = n // 7
+            gone, new = (n // 7, n // 7) if random.random() < 0.5 else (n - -(-3 * n // 4), 0)
             b = np.sort(np.concatenate((random.permutation(a)[gone:], random.integers(0, 1 << 64, new, dtype=np.uint64))))
             assert not ngram_jaccard.similar(a, b) or keys(a) & keys(b)
 
