@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, stored, text_batches
+from .shared import scratch, stored, tasks_for, text_batches
 
 #: Marks a skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -138,6 +138,11 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return own.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for the folder's URI, and the path there."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write archives below ``folder`` (any file system that pyarrow opens by URI) and return their index.
 
@@ -148,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+        store, base = opened(folder)
         held: list[bytes] = []
         ids: list[int | None] = []
         size = number = 0
@@ -186,14 +191,17 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFra
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         names = [f.split()[0] for f in schema.split(", ")]
+        store, base = opened(folder)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for content, offsets in zip(batch.column(0), batch.column(1), strict=True):
+            for name, offsets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, size = [], 0
-                for headers, block in read_archive(content.as_py(), offsets.as_py()):
+                with store.open_input_file(f"{base}/{name}") as f:
+                    data = f.read()
+                for headers, block in read_archive(data, offsets):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
@@ -209,10 +217,9 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFra
                 if rows:
                     yield table(rows)
 
-    # an archive has at most ARCHIVE_BYTES of records and one more, so its list of offsets is short
+    # an archive has at most ARCHIVE_BYTES of records and one more, so its list of offsets is short; only names and offsets are shuffled
     records = index.groupBy("archive").agg(F.array_sort(F.collect_list("record_offset")).alias("offsets"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    return files.join(records, "archive").select("content", "offsets").mapInArrow(read, schema)
+    return records.repartition(tasks_for(spark), "archive").mapInArrow(read, schema)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
