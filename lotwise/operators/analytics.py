@@ -31,7 +31,7 @@ def benchmark_rings(subjects: DataFrame, peers: DataFrame, rings: dict[str, list
         same = F.col("unit_price").eqNullSafe(F.col("_unit_price"))
         for c in by:
             same = same & (F.col(c) == F.col(f"_{c}"))
-        one = subjects.select("key", *by, "unit_price").join(placed, same).select("key", F.lit(name).alias("ring"), "n", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p75")], "below", F.round(100 * F.col("below") / F.col("n"), 2).alias("percent_below"))
+        one = subjects.select("key", *by, "unit_price").join(placed, same).select("key", F.lit(name).alias("ring"), "n", *[F.round(c, 9).alias(c) for c in ("p25", "median", "p75")], "below", F.round(100 * F.col("below") / F.col("n"), 2).alias("percent_below"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -39,7 +39,7 @@ def _rings_sql() -> str:
     for name, by in _RINGS.items():
         ring, known = ", ".join(by), " AND ".join(f"{c} IS NOT NULL" for c in by)
         parts.append(
-            f"SELECT key, '{name}' AS ring, n, p25, median, p75, below, round(100.0 * below / n, 2) AS percent_below FROM (SELECT key, {ring}, rank() OVER (PARTITION BY {ring} ORDER BY unit_price) - 1 AS below FROM p WHERE {known}) JOIN (SELECT {ring}, count(*) AS n, round(quantile_cont(unit_price, 0.25), 4) AS p25, round(quantile_cont(unit_price, 0.5), 4) AS median, round(quantile_cont(unit_price, 0.75), 4) AS p75 FROM p GROUP BY ALL HAVING count(*) >= 5) USING ({ring})"
+            f"SELECT key, '{name}' AS ring, n, p25, median, p75, below, round(100.0 * below / n, 2) AS percent_below FROM (SELECT key, {ring}, rank() OVER (PARTITION BY {ring} ORDER BY unit_price) - 1 AS below FROM p WHERE {known}) JOIN (SELECT {ring}, count(*) AS n, round(quantile_cont(unit_price, 0.25), 9) AS p25, round(quantile_cont(unit_price, 0.5), 9) AS median, round(quantile_cont(unit_price, 0.75), 9) AS p75 FROM p GROUP BY ALL HAVING count(*) >= 5) USING ({ring})"
         )
     return f"{LISTINGS_SQL}, {LOTS_SQL}, p AS (SELECT lot_type, city, state, lot_reserve / extent AS unit_price, listing_id * 1000 + lot_no AS key FROM lots JOIN listings USING (listing_id) WHERE extent BETWEEN 2 AND 500000) {' UNION ALL '.join(parts)}"
 
