@@ -87,12 +87,14 @@ def canonical(text: Column) -> Column:
 
 
 def _plain(lower: Column) -> Column:
-    out = F.concat(F.lit(" "), F.regexp_replace(lower, _APART, " "), F.lit(" "))
-    out = F.regexp_replace(out, " +", " ")
-    for other, usual in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {usual} "))
-    out = F.trim(out)
-    return F.when(out != "", out)
+    def spelt(form: Column) -> Column:
+        for other, usual in EQUIVALENT:
+            form = F.replace(form, F.lit(f" {other} "), F.lit(f" {usual} "))
+        return F.trim(form)
+
+    # a variable of a lambda is computed once, however often the next step names it
+    words = F.transform(F.array(F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _APART, " ")), F.lit(" "))), spelt)
+    return F.element_at(F.transform(words, lambda form: F.when(form != "", form)), 1)
 
 
 def digest(text: Column) -> Column:
