@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import stored
+
 
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
@@ -143,15 +145,38 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), mid + half))
 
 
+def counted_before(rows: DataFrame, by: str, order: list[str], n: str | None = None) -> DataFrame:
+    """``rows`` with _before, the sum of ``n`` (or the number) of the rows earlier in their group, and _total, that of the group.
+
+    Rows are dealt over tasks by range of group and order and stored, so that a
+    group of any size is split. Each range is summed on its own; what comes before
+    a range is known from the sums of the ranges, one row a range and group.
+    """
+    ranged = rows.repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id())
+    held = stored(ranged, "ranged")
+    size = F.lit(1) if n is None else F.col(n)
+    here = Window.partitionBy("_range", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy("_range", F.col(by).alias("_by")).agg(F.sum(size).alias("_s"))
+    group = Window.partitionBy("_by")
+    sums = sums.select(F.col("_range").alias("_r"), "_by", F.coalesce(F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.sum("_s").over(group).alias("_total"))
+    inner = held.withColumn("_here", F.coalesce(F.sum(size).over(here), F.lit(0)))
+    joined = inner.join(sums, (F.col("_range") == F.col("_r")) & F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn("_before", F.col("_here") + F.col("_offset")).drop("_range", "_r", "_by", "_here", "_offset")
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """Rank correlation by group; ties take their mean rank."""
+    """Rank correlation by group; ties take their mean rank. Ranks come from the counts of each value, so a group is never one task's."""
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(by).alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y"))
 
-    def mean_rank(c: str) -> Column:
-        w = Window.partitionBy(by).orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
+    def ranks(c: str) -> DataFrame:
+        counts = rows.groupBy("_g", c).agg(F.count("*").alias("_n"))
+        # the mean of the ranks before + 1 to before + n
+        return counted_before(counts, "_g", [c], "_n").select(F.col("_g").alias(f"_g{c}"), F.col(c).alias(f"_v{c}"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r{c}"))
 
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 4).alias("rho"))
+    ranked = rows
+    for c in ("_x", "_y"):
+        ranked = ranked.join(ranks(c), F.col("_g").eqNullSafe(F.col(f"_g{c}")) & (F.col(c) == F.col(f"_v{c}")))
+    return ranked.groupBy(F.col("_g").alias(by)).agg(F.count("*").alias("n"), F.round(F.corr("_r_x", "_r_y"), 4).alias("rho"))
 
 
 def majority(pairs: DataFrame, given: str, answer: str, support: int = 3, share: float = 0.9) -> DataFrame:
@@ -163,9 +188,8 @@ def majority(pairs: DataFrame, given: str, answer: str, support: int = 3, share:
 
 def trend_halves(rows: DataFrame, by: str, when: str, key: str, value: str, flat: float = 0.15) -> DataFrame:
     """Mean of the first n // 2 rows against that of the rest, and whether it rose, fell or stayed."""
-    order = Window.partitionBy(by).orderBy(when, key)
-    placed = rows.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    first = F.col("_i") <= F.floor(F.col("_n") / 2)
+    placed = counted_before(rows.select(by, when, key, value), by, [when, key])
+    first = F.col("_before") < F.floor(F.col("_total") / 2)
     out = placed.groupBy(by).agg(F.avg(F.when(first, F.col(value))).alias("a"), F.avg(F.when(~first, F.col(value))).alias("b"))
     change = F.col("b") - F.col("a")
     return out.select(by, F.round("a", 4).alias("first_half"), F.round("b", 4).alias("second_half"), F.when(change > flat, "up").when(change < -flat, "down").otherwise("flat").alias("trend"))

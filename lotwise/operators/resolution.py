@@ -65,6 +65,22 @@ def ungrounded(said: Column, sources: Column, pattern: str) -> Column:
     return F.array_sort(F.array_except(find(said), find(sources)))
 
 
+def first_mentions(rows: DataFrame, thread: str, turn: str, answers: Column, text: str, pattern: str) -> DataFrame:
+    """Per row that is an answer: thread, turn, n_new and new_names, the matches in it that no earlier turn of its thread has.
+
+    The first turn of each match is found by one aggregate, so a long thread isn't
+    carried along with each of its turns. A match lies within one text; rows of
+    one turn don't count as earlier than each other.
+    """
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(1)))
+    held = rows.select(thread, turn, answers.alias("_answer"), found.alias("_found"))
+    first = held.select(thread, turn, F.explode("_found").alias("_name")).groupBy(thread, "_name").agg(F.min(turn).alias(turn))
+    new = first.groupBy(thread, turn).agg(F.collect_list("_name").alias("_new"))
+    fresh = F.array_sort(F.array_intersect("_found", F.coalesce("_new", F.array().cast("array<string>"))))
+    out = held.where("_answer").join(new, [thread, turn], "left").withColumn("_fresh", fresh)
+    return out.select(thread, turn, F.size("_fresh").cast("long").alias("n_new"), F.array_join("_fresh", ",").alias("new_names"))
+
+
 def expanded_bundles(files: DataFrame) -> DataFrame:
     """A row per file in zip bundles (path, content): path, member, size, content; a file that is no zip gives none."""
 

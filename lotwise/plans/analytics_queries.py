@@ -199,8 +199,10 @@ def trend_halves(spark, sf_dir):
 def city_context(spark, sf_dir):
     rows = listings(spark, sf_dir).select("listing_id", "city", "reserve")
     whole = rows.groupBy("city").agg(F.percentile("reserve", F.lit(0.5)).alias("median"), F.count("*").alias("n")).where("n >= 5")
-    rank = F.rank().over(Window.partitionBy("city").orderBy("reserve"))
-    return rows.withColumn("rank", rank).join(whole, "city").select("listing_id", "city", "rank", F.round((F.col("reserve") / F.col("median") - 1) * 100, 2).alias("above_median_pct"), "n")
+    # ranks by price, so that a city of any size is split over tasks
+    prices = A.counted_before(rows.groupBy("city", "reserve").agg(F.count("*").alias("_n")), "city", ["reserve"], "_n").select(F.col("city").alias("_city"), F.col("reserve").alias("_reserve"), (F.col("_before") + 1).cast("int").alias("rank"))
+    ranked = rows.join(prices, F.col("city").eqNullSafe(F.col("_city")) & F.col("reserve").eqNullSafe(F.col("_reserve")))
+    return ranked.join(whole, "city").select("listing_id", "city", "rank", F.round((F.col("reserve") / F.col("median") - 1) * 100, 2).alias("above_median_pct"), "n")
 
 
 @query("WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS y FROM lineitem) SELECT l_returnflag, count(*) AS n, round(corr(x, y), 4) AS rho FROM r GROUP BY 1")

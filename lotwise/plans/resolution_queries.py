@@ -53,10 +53,7 @@ def find_by_identifier(spark, sf_dir):
 @query("WITH t AS (SELECT conv_id, turn, role, text, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations), f AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(coalesce(text, ''), '([A-Z][a-z]+)', 1)) AS s, list_distinct(regexp_extract_all(coalesce(before, ''), '([A-Z][a-z]+)', 1)) AS b FROM t WHERE role = 'assistant') SELECT conv_id, turn, len(list_filter(s, lambda x: NOT list_contains(b, x))) AS n_new, array_to_string(list_sort(list_filter(s, lambda x: NOT list_contains(b, x))), ',') AS new_names FROM f")
 def answer_grounding(spark, sf_dir):
     """Names in an answer that nothing said before it in the thread holds."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "conversations").withColumn("before", F.array_join(F.collect_list("text").over(w), " ")).where("role = 'assistant'")
-    new = R.ungrounded(F.col("text"), F.col("before"), "([A-Z][a-z]+)")
-    return rows.select("conv_id", "turn", F.size(new).cast("long").alias("n_new"), F.array_join(new, ",").alias("new_names"))
+    return R.first_mentions(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "assistant", "text", "([A-Z][a-z]+)")
 
 
 @query("WITH p AS (SELECT conv_id AS grp, role AS copy, turn, text AS c FROM conversations), s AS (SELECT grp, copy, list(c ORDER BY turn, c) AS o FROM p GROUP BY 1, 2) SELECT grp, max(len(o)) AS pages, count(*) AS copies, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT o) = 1 THEN 'agreed' ELSE 'ambiguous' END AS verdict FROM s GROUP BY grp")
