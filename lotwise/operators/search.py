@@ -110,12 +110,16 @@ def breakdown(rows: DataFrame, dimension: Column, key: str, most: int | None = B
     return counted if most is None else counted.limit(most)
 
 
+def value_counts(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """(dimension, value, n) of every value that isn't null, by one pass over the rows."""
+    stacked = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("value")) for n, c in dimensions.items()])).alias("v")).select("v.*")
+    return stacked.where("value IS NOT NULL").groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
 def top_values(rows: DataFrame, dimensions: dict[str, Column], k: int) -> DataFrame:
     """The k most frequent values of each dimension, by one pass over the rows."""
-    stacked = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("value")) for n, c in dimensions.items()])).alias("v")).select("v.*")
-    counted = stacked.where("value IS NOT NULL").groupBy("dimension", "value").agg(F.count("*").alias("n"))
     order = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return value_counts(rows, dimensions).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def facets(rows: DataFrame, filters: Filters, dimensions: dict[str, tuple[Column, list[str]]]) -> DataFrame:

@@ -70,7 +70,7 @@ _RULES = {
     "lot_under_recall": ("med", "n >= 3 AND 2 * kinds < n"),
     "legal_basis_bad": ("low", "o_orderstatus = 'P'"),
 }
-_PENALTY = {"critical": 30, "high": 20, "med": 10, "low": 4}
+_PENALTY = Nt.PENALTY
 
 
 @query(
@@ -110,7 +110,7 @@ def redacted_rows(spark, sf_dir):
 @query(f"{LISTINGS_SQL}, c AS (SELECT 'city' AS dimension, city AS value, count(*) AS n FROM listings WHERE city IS NOT NULL GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM listings WHERE category IS NOT NULL GROUP BY 2 UNION ALL SELECT 'state', state, count(*) FROM listings WHERE state IS NOT NULL GROUP BY 2), o AS (SELECT * FROM c WHERE n >= 100 QUALIFY row_number() OVER (PARTITION BY value ORDER BY n DESC, dimension) = 1), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS INT) AS depth FROM o) SELECT * FROM r WHERE depth <= 3 ORDER BY depth, dimension LIMIT 8")
 def suggestion_chips(spark, sf_dir):
     rows = listings(spark, sf_dir)
-    counts = S.top_values(rows, {d: F.col(d) for d in ("city", "category", "state")}, 1000).drop("rank")
+    counts = S.value_counts(rows, {d: F.col(d) for d in ("city", "category", "state")})
     return Ac.suggestions(counts, per=3, limit=8, least=100)
 
 

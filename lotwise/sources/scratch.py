@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of single-process sessions without the setting, which can't be changed while Spark runs.
+_local: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; only a single-process session without that setting gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-lotwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-lotwise-")
+        _local[spark.sparkContext.applicationId] = base
     return f"{base}/lotwise-core/{name}-{uuid.uuid4().hex}"
 
 

@@ -117,10 +117,32 @@ def test_event_id(spark):
 
 
 def test_text_health_and_search(spark):
-    df = spark.createDataFrame([(1, "same\n" * 6 + "and more visible text that fills the line up to forty"), (2, None), (3, 'He said "as is where is" basis')], "doc_id int, text string")
-    flags, score = T.health("text")
-    got = {r[0]: (r[1], r[2]) for r in df.select("doc_id", flags, score).collect()}
-    assert got[1] == ("repetition", 78) and got[2] == ("near_empty", 40)
+    filler = " and more visible text that fills the line up to forty characters"
+    texts = [
+        (1, "Same Line \n  same  line\n" * 3 + filler, "repetition", 78),
+        (2, None, "", None),
+        (3, 'He said "as is where is" basis', "near-empty", 40),
+        (4, " \n\t", "", None),
+        (5, "etc.\n" * 9 + filler, "", 100),  # too short a line to count
+        (6, "the reserve price of " * 7 + filler, "repetition", 88),  # within a line; its run is 1
+        (7, filler + "<table><tr><td>a", "truncated", 70),
+        (8, filler + "<table><tr><td>a</td><td> </td><td></td></tr></table>\n", "truncated", 70),
+        (9, filler + " <td", "truncated", 70),
+        (10, filler + " " + ", ".join(map(str, range(7, 47))), "degenerate-sequence", 65),
+        (11, filler + " " + ", ".join(map(str, range(7, 46))), "", 100),
+        (12, "|".join(map(str, range(60))) + filler, "", 100),  # cells are no run
+        (13, filler + " 07.35.4003 and 06.20.2024", "impossible-date", 75),
+        (14, filler + " 06.20.2024 and 07.07.1962", "", 100),
+        (15, filler + " &lt;|IM_end|&gt;", "token-leak", 60),
+        (16, filler + " \u4e2d\u6587", "foreign-script", 60),
+        (17, "head <TABLE><tr><td>" + "word " * 130 + "</td></tr></TABLE> tail", "repetition,table-collapse", 53),
+        (18, "<table><tr><td>a few</td></tr></table>" + filler, "", 100),
+    ]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id int, text string")
+    got = {r["doc_id"]: (r["flags"], r["score"]) for r in T.health(df, "text").collect()}
+    assert got == {i: (flags, score) for i, _, flags, score in texts}
+    kept = spark.createDataFrame([(filler, "missing-region,token-leak"), (filler, "region-unverified"), (filler, None)], "text string, flags_before string")
+    assert [(r["flags"], r["score"]) for r in T.health(kept, "text", "flags_before").collect()] == [("missing-region", 55), ("region-unverified", 100), ("", 100)]
     assert [r["doc_id"] for r in df.where(T.all_terms("text", 'basis "as is where"')).collect()] == [3]
     assert df.where(T.all_terms("text", "basis nothing")).count() == 0
 
