@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Folders of single-process sessions without the setting, which can't be changed while Spark runs.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,8 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-lotwise-")
-        spark.conf.set(_SETTING, where)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-lotwise-")
+        where = _local[app]
     return where if "://" in where else f"file://{where}" if where.startswith("/") else where
 
 
