@@ -18,8 +18,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-lotwise-")
-        _local[spark.sparkContext.applicationId] = base
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-lotwise-")
+        base = _local[app]
     return f"{base}/lotwise-core/{name}-{uuid.uuid4().hex}"
 
 
