@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import discard, release, small, stored, tasks_for, text_batches
-from .textkit import find_sorted, keep_nothing, mix, per_row, shingle_sets, text_slices
+from .textkit import SHINGLE_WORDS, find_sorted, keep_nothing, mix, per_row, shingle_sets, text_slices
 
 #: Similarity 0.75 as a fraction.
 SIMILAR = (75, 100)
@@ -213,9 +213,9 @@ def document_sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return text_batches(docs.select("doc_id", "text")).mapInArrow(sketch, schema)
 
 
-def similar(one: np.ndarray, other: np.ndarray) -> bool:
+def similar(one: np.ndarray, other: np.ndarray, least_similarity: tuple[int, int] = SIMILAR) -> bool:
     """Whether two sorted shingle sets link; an empty one never does."""
-    top, bottom = SIMILAR
+    top, bottom = least_similarity
     least, most = sorted((len(one), len(other)))
     if not least or bottom * least < top * most:
         return False
@@ -223,8 +223,8 @@ def similar(one: np.ndarray, other: np.ndarray) -> bool:
     return bottom * both >= top * (least + most - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets are similar enough.
+def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS, least_similarity: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Those pairs (a, b) whose sets of shingles of ``width`` words are similar enough.
 
     The members b of a representative a stream past its set; a representative
     with more than FAN members is dealt to several tasks.
@@ -246,14 +246,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             b_all = b_all.fill_null(0).to_numpy()
             found_a, found_b = [], []
             for at, to, data, offsets in text_slices(batch.column(3)):
-                hashes, begin = shingle_sets(data, offsets)
+                hashes, begin = shingle_sets(data, offsets, width)
                 for i in range(at, to):
                     own = hashes[begin[i - at] : begin[i - at + 1]]
                     if of != (a_all[i], deal[i]):
                         heads, of = [], (a_all[i], deal[i])
                     if is_head[i]:  # several, if rows repeat its doc_id
                         heads.append(own.copy())
-                    elif any(similar(head, own) for head in heads):
+                    elif any(similar(head, own, least_similarity) for head in heads):
                         found_a.append(a_all[i])
                         found_b.append(b_all[i])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return text_batches(together).mapInArrow(compare, "a long, b long")
 
 
-def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (doc_id, component) after more links; labels: those so far."""
     if labels is None:
         return stored(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
@@ -300,12 +300,12 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     release(spark)
 
     first = buckets.where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    labels = _relabelled(None, stored(verified(first, texts), "links"))
+    labels = relabelled(None, stored(verified(first, texts), "links"))
     for best in (True, False):
         groups = _apart(buckets, labels)
         if groups.isEmpty():
             break
-        labels = _relabelled(labels, stored(verified(close_pairs(groups, texts, best), texts), "links"))
+        labels = relabelled(labels, stored(verified(close_pairs(groups, texts, best), texts), "links"))
     mine = labels.withColumnsRenamed({"doc_id": "class", "component": "linked"})
     found = classes.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class")).join(mine, "class", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("linked", "class").alias("component_id"))

@@ -1,6 +1,6 @@
 """The queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can say it."""
 
-from . import ann, language_id, licenses, line_dedup, media, ngram_jaccard, packing, quality, sentencepiece_codec, warc
+from . import ann, divergence, language_id, licenses, line_dedup, media, minmax, ngram_jaccard, packing, quality, sentencepiece_codec, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
@@ -13,10 +13,14 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_nearest_neighbours": ann.op10_nearest_neighbours,
+    "op12_minmax_near_dedup": minmax.op12_minmax_near_dedup,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": ngram_jaccard.ORACLE,
     "op2_warc": warc.ORACLE,
     "op5_license_scan": licenses.ORACLE,
+    "op12_minmax_near_dedup": minmax.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }

@@ -178,24 +178,24 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, one row after the other, and where each row begins (one more entry than rows).
 
-    A shingle is five words in a row; a row of one to four words has one
-    shingle, its whole sequence; a row without words has none.
+    A shingle is ``width`` words in a row (five or fewer); a row of fewer words
+    has one shingle, its whole sequence; a row without words has none.
     """
     data = lower_ascii(data)
     starts, ends, first = word_spans(data, offsets)
     words = span_hashes(data, starts, ends)
     counts = np.diff(first)
-    n_shingles = np.where(counts >= SHINGLE_WORDS, counts - SHINGLE_WORDS + 1, counts > 0).astype(np.int64)
+    n_shingles = np.where(counts >= width, counts - width + 1, counts > 0).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(n_shingles)))
     at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], n_shingles)
-    size = np.minimum(np.repeat(counts, n_shingles), SHINGLE_WORDS)
-    padded = np.concatenate((words, np.zeros(SHINGLE_WORDS, _U)))
+    size = np.minimum(np.repeat(counts, n_shingles), width)
+    padded = np.concatenate((words, np.zeros(width, _U)))
     hashes = size.astype(_U) * _U(_STEP)
-    short = bool(len(size)) and int(size.min()) < SHINGLE_WORDS
-    for k in range(SHINGLE_WORDS):
+    short = bool(len(size)) and int(size.min()) < width
+    for k in range(width):
         part = padded[at + k] * _PLACE[k]
         hashes += np.where(size > k, part, _U(0)) if short else part
     hashes = mix(hashes)
