@@ -1,6 +1,6 @@
 """The queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can say it."""
 
-from . import ann, divergence, language_id, licenses, line_dedup, media, minmax, ngram_jaccard, packing, quality, sentencepiece_codec, warc
+from . import alignment, ann, divergence, language_id, licenses, line_dedup, media, minmax, ngram_jaccard, packing, quality, sentencepiece_codec, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_nearest_neighbours": ann.op10_nearest_neighbours,
+    "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
     "op12_minmax_near_dedup": minmax.op12_minmax_near_dedup,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
