@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,15 +12,22 @@ from pyspark.sql.window import Window
 SQL_CHARS, SQL_ROWS = 4000, 500
 #: Plan nodes that a guarded query may have: those that read. Any other is refused.
 READING = {
-    "CTE", "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias",
+    "UnresolvedWith", "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias",
     "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "UnresolvedRelation", "UnresolvedTableValuedFunction", "OneRowRelation", "LocalRelation", "UnresolvedInlineTable",
 }
+#: Expressions that Spark's parser makes of operators and of syntax that isn't a call. Any other is refused.
+EXPRESSIONS = set(
+    "Add Alias And AttributeReference Between BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat Contains CreateNamedStruct CurrentDate CurrentTimestamp CurrentRow$ Divide EndsWith EqualNullSafe EqualTo Exists GreaterThan GreaterThanOrEqual In InSubquery "
+    "IntegralDivide IsNotNull IsNull IsNotTrue IsTrue LambdaFunction LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal MultiAlias Multiply NamedParameter Not NotLikeAll NotLikeAny Or Overlay Position RLike Remainder ScalarSubquery SortOrder "
+    "SpecifiedWindowFrame StartsWith StringTrim StringTrimBoth StringTrimLeft StringTrimRight SubstringIndex Subtract TryCast UnaryMinus UnaryPositive UnboundedFollowing$ UnboundedPreceding$ UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue "
+    "UnresolvedFunction UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar UnresolvedWindowExpression UnspecifiedFrame$ WindowExpression WindowSpecDefinition".split()
+)
 #: Functions that it may call.
 FUNCTIONS = set(
-    "abs avg array array_contains ceil ceiling char_length coalesce concat concat_ws contains count count_if date_add date_format date_sub date_trunc datediff day dayofmonth dense_rank endswith exp extract "
+    "abs aggregate avg array array_contains between ceil ceiling char_length coalesce concat concat_ws contains count count_if date_add date_format date_sub date_trunc datediff day dayofmonth dense_rank endswith exists exp extract filter "
     "first first_value floor greatest hour if ifnull initcap instr isnull isnotnull lag last last_value lead least left length like ln log lower lpad ltrim max max_by mean median min min_by minute mod month months_between "
     "nullif nvl percent_rank percentile power quarter range rank regexp_extract regexp_like regexp_replace replace right round row_number rpad rtrim second sign size split split_part sqrt startswith stddev substr substring sum "
-    "to_date to_timestamp trim trunc try_cast try_divide upper var_pop variance when year".split()
+    "to_date to_timestamp transform trim trunc try_cast try_divide upper var_pop variance when year".split()
 )
 
 
@@ -37,30 +45,80 @@ def suggestions(counts: DataFrame, per: int, limit: int, least: int) -> DataFram
     return ranked.orderBy("depth", "dimension").limit(limit).select("dimension", "value", "n", "depth")
 
 
+_SQL = "org.apache.spark.sql."
+_PLAN, _EXPRESSION = _SQL + "catalyst.plans.logical.LogicalPlan", _SQL + "catalyst.expressions.Expression"
+#: Names and settings inside a node, which hold neither plans nor expressions.
+_VALUES = (_SQL + "types.", _SQL + "catalyst.trees.", _SQL + "catalyst.plans.", _SQL + "util.CaseInsensitiveStringMap", "org.apache.spark.unsafe.types.", "java.lang.", "java.math.", "scala.math.", "scala.runtime.", "scala.Enumeration")
+#: Parts of a node that are plain objects: how it is evaluated, how it sorts, names, rows of literals.
+_SETTINGS = ("EvalMode", "NumericEvalContext", "Ascending$", "Descending$", "NullsFirst$", "NullsLast$", "RowFrame$", "RangeFrame$", "ExprId", "AliasIdentifier", "WindowSpecReference", "GenericInternalRow")
+
+
+def _parts(spark: SparkSession, thing: object) -> list | None:
+    """What a Scala collection, option, map or tuple holds; None for anything else."""
+    java, convert = spark._jvm, spark._jvm.scala.jdk.javaapi.CollectionConverters
+    inside = lambda kind: java.java.lang.Class.forName(kind).isInstance(thing)
+    if inside("scala.collection.Iterable"):  # sequences, maps (of tuples) and options alike
+        return list(convert.asJava(thing.toSeq()))
+    if inside("scala.Option"):
+        return [] if thing.isEmpty() else [thing.get()]
+    if thing.getClass().getName().startswith("scala.Tuple"):
+        return list(convert.asJava(thing.productIterator().toSeq()))
+    return None
+
+
+def refusal(spark: SparkSession, text: str) -> str | None:
+    """Why a statement isn't a query that may run; None if it is.
+
+    Every node of the plan that Spark's parser makes of the text is walked as an
+    object, with all that it was made from: children, expressions, subqueries,
+    common tables, window definitions and lambda bodies. Whatever isn't known to
+    be harmless is refused, also what can't be walked.
+    """
+    of = spark._jvm.java.lang.Class.forName
+    plan, expression = of(_PLAN), of(_EXPRESSION)
+    todo: list[object] = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while todo:
+        thing = todo.pop()
+        if thing is None or isinstance(thing, (str, int, float, bool, bytes, decimal.Decimal)):
+            continue
+        name = thing.getClass().getName()
+        short = re.split(r"[.$](?=\w)", name)[-1]
+        is_plan, is_expression = plan.isInstance(thing), expression.isInstance(thing)
+        if is_plan or is_expression:
+            if short not in (READING if is_plan else EXPRESSIONS) or not name.startswith(_SQL + "catalyst."):
+                return f"only queries are allowed, not {short}"
+            if short == "UnresolvedRelation" and not re.fullmatch(r"\w+", thing.multipartIdentifier().mkString("\0")):
+                return "tables are read by a plain name"
+            if short in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+                call = (thing.nameParts() if short == "UnresolvedFunction" else thing.name()).mkString(".")
+                if call.lower() not in FUNCTIONS:
+                    return f"{call} isn't among the allowed functions"
+            todo.extend(list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(thing.productIterator().toSeq())))
+            continue
+        inner = _parts(spark, thing)
+        if inner is not None:
+            todo.extend(inner)
+        elif not name.startswith(_VALUES) and short not in _SETTINGS:
+            return f"a query with {short} can't be checked"
+    return None
+
+
 def guarded_sql(spark: SparkSession, text: str, rows: int = SQL_ROWS, **arguments: object) -> DataFrame:
     """Run one read-only query with named arguments; at most SQL_ROWS rows.
 
-    The statement is parsed by Spark itself and refused unless its plan has only
-    nodes of READING, calls only FUNCTIONS and reads tables by a plain name (not
-    files by path, and not under another catalogue or schema). Arguments are
-    plain values, passed apart from the text.
+    The statement is parsed by Spark itself and refused (see :func:`refusal`)
+    unless its plan has only nodes of READING and EXPRESSIONS, calls only
+    FUNCTIONS and reads tables by a plain name (not files by path, and not under
+    another catalogue or schema). Arguments are plain values, passed apart from
+    the text.
     """
     if not isinstance(text, str) or not text.strip() or len(text) > SQL_CHARS:
         raise ValueError(f"a query is a text of 1 to {SQL_CHARS} characters")
     if any(not isinstance(v, (str, int, float, bool, type(None))) for v in arguments.values()):
         raise ValueError("arguments are plain values")
-    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).treeString()
-    for line in filter(str.strip, tree.splitlines()):
-        node = re.match(r"[ :+|-]*'?(\w+)", line)
-        if not node or node[1] not in READING:
-            raise ValueError(f"only queries are allowed, not {node[1] if node else line}")
-        relation = re.search(r"UnresolvedRelation \[(.*?)\], \[", line)
-        if node[1] == "UnresolvedRelation" and (not relation or not re.fullmatch(r"\w+", relation[1])):
-            raise ValueError("tables are read by a plain name")
-        calls = re.findall(r"'([\w.`]+)\(", line) + re.findall(r"UnresolvedTableValuedFunction \[(.*?)\]", line)
-        refused = [c for c in calls if c.lower() not in FUNCTIONS]
-        if refused:
-            raise ValueError(f"{refused[0]} isn't among the allowed functions")
+    why = refusal(spark, text)
+    if why:
+        raise ValueError(why)
     return spark.sql(text, args=arguments or None).limit(max(1, min(rows, SQL_ROWS)))
 
 
