@@ -14,13 +14,15 @@ similarity of 0.85 or more. The search goes by these steps:
    40 keys with odds of 1.5e-13.
 3. *Confirm.* Pairs whose signatures agree in too few values to be at 0.85
    (odds below 1e-12, :data:`AGREE`) go; the others are compared on their full
-   sets.
+   sets. Where a bucket's members have to be compared with one another, parity
+   bits of their shingles bound each pair's difference from below.
 
 What keeps this linear: documents with the same set are one class and enter
 once; within a bucket members are compared with its least document first; only
-where a bucket's members are still in several components after that, its
-signatures are compared in blocks, those of the bucket's largest part not with
-one another.
+where a bucket's members are still in several components after that, their
+parity bits are compared in blocks, those of the bucket's largest part not with
+one another: first each with the nearest outside its component, then all that
+the bound allows. Links inside a component need no comparison.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_jaccard import relabelled, verified
+from .ngram_jaccard import bit_sketches, relabelled, verified
 from .shared import discard, release, small, stored, tasks_for, text_batches
 from .textkit import mix, per_row, shingle_sets, text_slices
 
@@ -45,7 +47,7 @@ SIMILAR = (85, 100)
 HASHES = 80
 #: Values that make a bucket key.
 BAND = 4
-#: Documents of a bucket whose signatures are compared in one go.
+#: Documents of a bucket whose bits are compared in one go.
 BLOCK = 512
 #: Odds that a pair at SIMILAR is taken for too far apart by its signature.
 MISS = 1e-12
@@ -149,13 +151,64 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(stored(main.drop("parts"), "open"), "key").withColumn("rest", F.col("component") != F.col("main")).drop("main")
 
 
-def close_pairs(groups: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, in different components, whose sizes and signatures allow a link.
+def _halved(bits: np.ndarray) -> np.ndarray:
+    """Parity bits at half their size."""
+    middle = bits.shape[-1] // 2
+    return bits[..., :middle] ^ bits[..., middle:]
+
+
+class _Cell:
+    """Documents to compare: part (two that cross, or one), id, component, size of the set and parity bits of each."""
+
+    def __init__(self, part: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, bits: list[bytes]) -> None:
+        self.part, self.ids, self.component, self.n = part, ids, component, n
+        self.crossing = part.min() != part.max()
+        self.size = np.array([len(b) for b in bits])
+        self.rows = {s: np.flatnonzero(self.size == s) for s in np.unique(self.size).tolist()}
+        self.bits = {s: np.frombuffer(b"".join(bits[i] for i in at.tolist()), np.uint64).reshape(len(at), -1) for s, at in self.rows.items()}
+        self.half = {s: _halved(b) for s, b in self.bits.items()}
+        self.place = np.zeros(len(ids), np.int64)
+        for at in self.rows.values():
+            self.place[at] = np.arange(len(at))
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that may link with document i, and in how many bits they differ. Sets that link are of one size of bits, or of the next."""
+        s, found, apart = int(self.size[i]), [], []
+        own = self.bits[s][self.place[i]]
+        for other, bits, mine in ((s, self.bits, own), (2 * s, self.half, own), (s // 2, self.bits, _halved(own))):
+            if other in bits:
+                at = self.rows[other]
+                ok = (self.component[at] != self.component[i]) & _sizes_fit(self.n[at], self.n[i])
+                ok &= self.part[at] != self.part[i] if self.crossing else at != i
+                some = np.flatnonzero(ok)
+                if len(some):
+                    differ = np.bitwise_count(bits[other][some] ^ mine).sum(1, dtype=np.int64)
+                    # the symmetric difference is no smaller, and that of linked sets bounded by their sizes
+                    passed = (SIMILAR[1] + SIMILAR[0]) * differ <= (SIMILAR[1] - SIMILAR[0]) * (self.n[at[some]] + self.n[i])
+                    found.append(at[some][passed])
+                    apart.append(differ[passed])
+        return (np.concatenate(found), np.concatenate(apart)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def pairs(self, asking: np.ndarray, best: bool) -> np.ndarray:
+        """Pairs of ids, the smaller first; with ``best`` each asking document's nearest only."""
+        out = [np.zeros((2, 0), np.int64)]
+        for i in asking.tolist():
+            at, apart = self.near(i)
+            if best and len(at):
+                at = at[[apart.argmin()]]
+            if len(at):
+                out.append(np.stack((np.minimum(self.ids[at], self.ids[i]), np.maximum(self.ids[at], self.ids[i]))))
+        return np.concatenate(out, 1)
+
+
+def close_pairs(groups: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) that share a bucket, in different components, whose sizes and parity bits allow a link.
 
     A bucket's rest (what isn't in its largest part) is dealt into blocks, and so
     is that part; each block of the rest meets every block, while blocks of the
     largest part don't meet one another, so that n copies with m strangers among
-    them cost n rows for each BLOCK strangers.
+    them cost n rows for each BLOCK strangers. With ``best`` each document of the
+    rest names only its nearest partner in a block.
     """
     tasks = tasks_for(groups.sparkSession)
     spread = groups.withColumn("rest_blocks", F.expr(f"cast(ceil((rows - largest) / {BLOCK}) as int)")).withColumn("main_blocks", F.expr(f"cast(ceil(largest / {BLOCK}) as int)"))
@@ -167,30 +220,17 @@ def close_pairs(groups: DataFrame, signed: DataFrame) -> DataFrame:
     cells = spread.select("key", F.explode(F.when(F.col("rest"), of_rest).otherwise(of_main)).alias("cell"), "rest", "block", "doc_id", "component")
     placed = cells.select("key", "cell.low", "cell.side", "cell.high", F.when(F.col("side") == 1, F.col("rest").cast("int")).otherwise(F.col("block")).alias("part"), "doc_id", "component")
     order = ["key", "low", "side", "high"]
-    together = placed.join(signed.select("doc_id", "n_shingles", "signature"), "doc_id").select(*order, "part", "doc_id", "component", "n_shingles", "signature").repartition(tasks, *order).sortWithinPartitions(*order, "doc_id")
-
-    def pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        part, ids, component, n = (batch.column(i).to_numpy() for i in range(4, 8))
-        values, side = _bytes(batch.column(8)), batch.column(2)[0].as_py()
-        crossing = part.min() != part.max()  # else a block of the rest with itself
-        one = np.flatnonzero(part == part[0]) if crossing else np.arange(len(ids))
-        other = np.flatnonzero(part != part[0]) if crossing else one
-        if crossing and len(one) > len(other):
-            one, other = other, one
-        if side == 1 and not crossing:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = []
-        for k, i in enumerate(one.tolist()):
-            at = other if crossing else other[k + 1 :]
-            at = at[(component[at] != component[i]) & _sizes_fit(n[at], n[i])]
-            at = at[(values[at] == values[i]).sum(1) >= AGREE]
-            found.append(np.stack((np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i]))))
-        pairs = np.concatenate(found, 1)
-        return pairs[0], pairs[1]
+    together = placed.join(sketches, "doc_id").select(*order, "part", "doc_id", "component", "n", "bits").repartition(tasks, *order).sortWithinPartitions(*order, "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in whole_groups(batches, len(order)):
-            a, b = pairs_of(cell)
+        for batch in whole_groups(batches, len(order)):
+            cell = _Cell(*(batch.column(i).to_numpy() for i in range(4, 8)), batch.column(8).to_pylist())
+            side = batch.column(2)[0].as_py()
+            if side == 1 and not cell.crossing:
+                continue
+            # of a block with the largest part the rest's documents ask; of two blocks of the rest either's, for all pairs one's
+            asking = np.flatnonzero(cell.part == 1) if side == 1 else np.arange(len(cell.ids)) if best or not cell.crossing else np.flatnonzero(cell.part == cell.part[0])
+            a, b = cell.pairs(asking, best)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return together.mapInArrow(compare, "a long, b long").distinct()
@@ -253,9 +293,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = buckets.where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = verified(stored(likely(first, own), "likely"), texts, WIDTH, SIMILAR)
     labels = relabelled(None, stored(links, "links"))
-    groups = stored(_apart(buckets, labels), "groups")
-    if not groups.isEmpty():
-        more = verified(stored(close_pairs(groups, own), "close"), texts, WIDTH, SIMILAR)
+    bits = None
+    for best in (True, False):
+        groups = stored(_apart(buckets, labels), "groups")
+        if groups.isEmpty():
+            break
+        if bits is None:
+            bits = stored(bit_sketches(texts.join(groups.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), WIDTH), "bits")
+        more = verified(stored(close_pairs(groups, bits, best), "close"), texts, WIDTH, SIMILAR)
         labels = relabelled(labels, stored(more, "more-links"))
     mine = labels.withColumnsRenamed({"doc_id": "class", "component": "linked"})
     found = classes.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class")).join(mine, "class", "left")

@@ -318,13 +318,13 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(now.join(stored(open_, "open"), "key", "left_semi").select("least", "doc_id", "component").distinct(), "groups")
 
 
-def _bit_sketches(texts: DataFrame) -> DataFrame:
+def bit_sketches(texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n and the bit sketch, of four bits or more for each shingle of the band's largest set, of each text."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in text_slices(batch.column(1)):
-                hashes, begin = shingle_sets(data, offsets)
+                hashes, begin = shingle_sets(data, offsets, width)
                 n = np.diff(begin)
                 bits = 4 << _bands(n)[0]
                 row = np.repeat(np.arange(len(n)), n)
@@ -355,7 +355,7 @@ def close_pairs(groups: DataFrame, texts: DataFrame, best: bool) -> DataFrame:
     """
     top, bottom = SIMILAR
     tasks = tasks_for(groups.sparkSession)
-    sketches = stored(_bit_sketches(texts.join(groups.select("doc_id").distinct(), "doc_id", "left_semi")), "bits")
+    sketches = stored(bit_sketches(texts.join(groups.select("doc_id").distinct(), "doc_id", "left_semi")), "bits")
     sizes = stored(groups.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = groups.join(sizes, "least").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
