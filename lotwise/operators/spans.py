@@ -120,6 +120,33 @@ def located(pairs: DataFrame, excerpt: str, text: str, least: float = LEAST) ->
     return out.withColumns({"mark_start": start, "mark_stop": stop}).withColumns({c: F.when(F.col("mark_start") < F.col("mark_stop"), F.col(c)) for c in ("mark_stop", "mark_start")})
 
 
+# Shares of description, price and borrower in a property's score.
+WEIGHTS = {"coverage": 0.7, "price": 0.2, "borrower": 0.1}
+#: Likeness below which a description counts as absent.
+ABSENT = 50.0
+
+
+def fidelity(texts: DataFrame, properties: DataFrame, key: str, text: str, description: str, price: str, borrower: str) -> DataFrame:
+    """(key, properties, score): how faithfully each text gives what is known of its properties, 0 to 100 with one decimal.
+
+    A property counts if it has a description: the likeness of its best span
+    in the text, whether a number of the text is its price, and whether its
+    borrower's name is there. The text's score is the mean; null without such
+    properties.
+    """
+    known = properties.where(F.trim(F.coalesce(F.col(description), F.lit(""))) != "")
+    spans = located(known.join(texts.select(key, text), key), description, text, ABSENT)
+    numbers = F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\d[\d,]*)"), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit("")))
+    parts = {
+        "coverage": F.coalesce("likeness", F.lit(0.0)),
+        "price": F.when(F.array_contains(numbers, F.col(price).cast("decimal(38,0)").cast("string")), 100.0).otherwise(0.0),
+        "borrower": F.when((F.col(borrower) != "") & F.contains(F.lower(F.col(text)), F.lower(F.col(borrower))), 100.0).otherwise(0.0),
+    }
+    scored = spans.select(key, sum((WEIGHTS[k] * parts[k] for k in ("price", "borrower")), WEIGHTS["coverage"] * parts["coverage"]).alias("_score"))
+    means = scored.groupBy(key).agg(F.count("*").alias("properties"), F.round(F.avg("_score"), 1).alias("score"))
+    return texts.select(key).join(means, key, "left").select(key, F.coalesce("properties", F.lit(0)).alias("properties"), "score")
+
+
 def _seeds(rows: DataFrame, key: str, text: str, words: int) -> DataFrame:
     tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     split = rows.select(key, tokens.alias("_w")).where(F.size("_w") >= words)
