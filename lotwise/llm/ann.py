@@ -4,16 +4,16 @@ Vectors get binary codes from several learned rotations (each is principal axes
 turned by iterative quantisation, fitted to a bounded sample). A code is split
 into substrings, each of which has an index of its own. A query probes every
 index for the substrings within ``reach`` bits of its own, which by the
-pigeonhole principle finds every code within ``tables * (reach + 1) - 1`` bits,
-and others beyond. What it finds within ``radius`` bits is ranked by the original
-vectors in double precision.
-
-Tables, reach and radius are chosen on the sample: the cheapest with which the
-probes find nearly all of the sample's own neighbours. They are the same for all
-queries and blocks, so the result doesn't depend on how rows are dealt. Rows are
-indexed in blocks, each once, in the task that then streams the queries past it.
-A query that finds fewer than ``k`` rows in all blocks is asked again with every
-substring probed, which finds all.
+pigeonhole principle retrieves every code within ``tables * (reach + 1) - 1``
+bits. That is the radius: what is within it is ranked by the original vectors in
+double precision, and no more.
+
+Tables and reach are chosen on the sample: the cheapest whose radius holds nearly
+all of the sample's own neighbours. They are the same for all queries and blocks,
+so the result doesn't depend on how rows are dealt. Rows are indexed in blocks,
+each once, in the task that then streams the queries past it. A query that finds
+fewer than ``k`` rows in all blocks is asked again with every substring probed,
+which finds all.
 """
 
 from __future__ import annotations
@@ -40,8 +40,10 @@ SUBSTRING_BITS = (8, 13)
 #: Vectors that the rotations and the probes are learned from, about (chosen by a hash of vec_id), and queries among these.
 SAMPLE, SAMPLE_QUERIES = 10_000, 200
 ROUNDS = 6
-#: Share of the sample's neighbours that probing has to find, and that have to be within the radius.
-FOUND, WITHIN = 0.975, 0.985
+#: Share of the sample's neighbours that have to be within the radius.
+FOUND = 0.975
+#: What ranking a code costs, where meeting one in a bucket costs 1.
+RANKED = 30.0
 #: Rows of a block at most, and at least if there are tasks to spare.
 BLOCK_MOST, BLOCK_LEAST = 1 << 16, 1 << 13
 
@@ -103,17 +105,22 @@ def near_masks(most: int, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Probes:
-    """How many substrings are used, within how many bits each is probed, and the radius of the whole codes."""
+    """How many substrings are used, within how many bits each is probed, and the radius of the codes of these substrings."""
 
     tables: int
     reach: int
     radius: int
 
 
-def learn_probes(rotations: Rotations, sample: np.ndarray, k: int = NEIGHBOURS) -> Probes:
-    """The probes that look at the fewest buckets and codes and still find FOUND of the sample's neighbours.
+def learn_probes(rotations: Rotations, sample: np.ndarray, k: int = NEIGHBOURS, rows: int = BLOCK_LEAST) -> Probes:
+    """The probes of least cost whose certain radius holds FOUND of the sample's neighbours.
 
-    With fewer than two rows, or where no choice finds enough, everything is probed.
+    Probing ``tables`` substrings within ``reach`` bits retrieves every code
+    within ``tables * (reach + 1) - 1`` bits, which is the radius, so that
+    nothing within it depends on luck. The cost of a query is counted in buckets
+    looked up, codes met in these, and codes within the radius that are ranked,
+    in a block of ``rows``. With fewer than two vectors, or where no choice finds
+    enough, everything is probed.
     """
     bits, most = rotations.bits, rotations.axes.shape[1] // rotations.bits
     everything = Probes(most, bits, most * bits)
@@ -124,20 +131,20 @@ def learn_probes(rotations: Rotations, sample: np.ndarray, k: int = NEIGHBOURS)
     score = sample[queries] @ sample.T
     score[np.arange(len(queries)), queries] = -np.inf
     near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, n - 1)]
-    apart = np.bitwise_count(rotations.query_codes(sample[queries])[:, None, :] ^ rotations.codes(sample)[near])
+    asked, codes = rotations.query_codes(sample[queries]), rotations.codes(sample)
+    apart = np.bitwise_count(asked[:, None, :] ^ codes[near]).cumsum(2, dtype=np.int64)
+    others = np.bitwise_count(asked[:, None, :] ^ codes[None, :: max(1, n // 500), :]).cumsum(2, dtype=np.int64)
     best, cost = everything, math.inf
-    for reach in range(bits // 2):
-        met = np.minimum.accumulate(apart, axis=2) <= reach  # by the first 1, 2, .. tables
-        enough = np.flatnonzero(met.mean((0, 1)) >= FOUND)
-        if not len(enough):
-            continue
-        tables = int(enough[0]) + 1
-        probes = len(near_masks(reach, bits))
-        # buckets looked up, and codes found in these, for as many rows as there are substrings
-        now = tables * probes * (1 + 2.0)
-        if now < cost:
-            distance = apart[:, :, :tables].sum(2, dtype=np.int64)
-            best, cost = Probes(tables, reach, int(np.quantile(distance, WITHIN, method="higher"))), now
+    for tables in range(1, most + 1):
+        for reach in range(bits):
+            radius = tables * (reach + 1) - 1
+            if (apart[:, :, tables - 1] <= radius).mean() < FOUND:
+                continue
+            probes = tables * len(near_masks(reach, bits))
+            now = probes + rows * (probes / (1 << bits) + RANKED * (others[:, :, tables - 1] <= radius).mean())
+            if now < cost:
+                best, cost = Probes(tables, reach, radius), now
+            break
     return best
 
 
@@ -253,7 +260,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS)
     square = F.aggregate(F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda total, x: total + x)
     bits = min(max(round(math.log2(min(n, BLOCK_LEAST))), SUBSTRING_BITS[0]), SUBSTRING_BITS[1])
     rotations = learn_rotations(drawn, mean, math.sqrt(rows.agg(F.max(square)).first()[0]), bits)
-    probes = learn_probes(rotations, drawn, k)
+    probes = learn_probes(rotations, drawn, k, min(n, BLOCK_MOST))
     held = spark.sparkContext.broadcast(rotations)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -211,4 +211,18 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Every later copy of a repeated run goes, however few words it has; lines without words stay. The removed runs are given as ``first+lines``."""
+    cut = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_words=1)
+    return cut.withColumn("removed", F.array_join(F.transform("removed", lambda r: F.concat_ws("+", r["first"].cast("string"), r["lines"].cast("string"))), ","))
+
+
+# A run of at least one word is repeated exactly if its lines with words are, so that lines tell all.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
+), m AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS gone FROM l
+), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS island FROM m
+), r AS (SELECT doc_id, string_agg(first || '+' || n, ',' ORDER BY first) AS removed FROM (SELECT doc_id, min(i) AS first, count(*) AS n FROM g WHERE gone GROUP BY doc_id, island) GROUP BY 1
+), k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS left_over, count(*) AS line_count, count(*) FILTER (gone) AS lines_removed FROM m GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(left_over, '') END AS text, coalesce(line_count, 0)::INT AS line_count, coalesce(lines_removed, 0)::INT AS lines_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)
+"""

@@ -22,6 +22,7 @@ ORACLE_SQL = {
     "op1_ngram_jaccard_join": ngram_jaccard.ORACLE,
     "op2_warc": warc.ORACLE,
     "op5_license_scan": licenses.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
     "op12_minmax_near_dedup": minmax.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }

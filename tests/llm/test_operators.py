@@ -259,12 +259,12 @@ def test_packing_odd_rows(spark, docs):
 # 7 --------------------------------------------------------------------------
 
 
-def test_line_dedup_equals_brute_force(docs):
-    got = rows_of(line_dedup.line_dedup(docs))
+@pytest.mark.parametrize("least", [line_dedup.MIN_WORDS, 1, 3])
+def test_line_dedup_equals_brute_force(docs, least):
+    got = rows_of(line_dedup.line_dedup(docs, least))
     assert len(got) == docs.count()
-    texts = {i: t for i, t in enumerate(odd_texts()) if t is not None and len(t) < 50_000}
-    want = without_repeats(list(texts.items()), line_dedup.MIN_WORDS)
-    # the long texts are one line each, and differ
+    texts = {i: t for i, t in enumerate(odd_texts()) if t is not None}
+    want = without_repeats(list(texts.items()), least)
     assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] in texts} == want
     assert {r["text"] for r in got if r["doc_id"] == 0} == {None}
     assert {(r["score"], r["_doc"]) for r in got if r["doc_id"] == 1} == {("clash", 1)}
