@@ -1,8 +1,11 @@
 """License scans by canonical digests (operator 5).
 
-A text is brought to a canonical form: lower case, without lines that name a
-copyright's holder or year, runs of punctuation and white space as one space,
-equivalent spellings as one. It doesn't depend on where lines break. The digest
+A text is brought to a canonical form: lower case, runs of punctuation and white
+space as one space, equivalent spellings as one, and without what names a
+copyright's holder or year. Where a statement of copyright leads to a licence's
+opening words, all between the two is taken for the holder, wherever lines break
+(up to HOLDER_CHARS characters, and with a title before it); elsewhere lines
+that name a holder or a year go. The digest
 of the entire form is looked up among those of known licence texts and notices by
 a hash join. Documents are looked up as a whole, and each of their lines as a
 text of its own. license_texts.csv has the digests of whole texts with their
@@ -81,9 +84,24 @@ _APART = r"[^\p{L}\p{N}]+"
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(copyright[^\n]*(©|\(c\)|\p{N}{4}|<|\[)|©|\(c\)[ \t]*(copyright|\p{N}{4}|<)|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
 
 
+# The words that licences with a holder open with, and titles before the holder, in canonical form.
+OPENINGS = ["permission is hereby granted free of charge", "permission to use copy modify", "redistribution and use in source and binary forms"]
+TITLES = [
+    "mit license", "the mit license", "the mit license mit", "mit", "isc license", "isc license isc", "the isc license", "isc", "bsd zero clause license", "zero clause bsd", "0bsd",
+    "bsd 2 clause license", "the bsd 2 clause license", "simplified bsd license", "bsd 3 clause license", "the bsd 3 clause license", "new bsd license", "bsd license", "the bsd license",
+]
+#: Characters of holders and years between "copyright" and a licence's opening, at most.
+HOLDER_CHARS = 400
+_HEAD = rf"^(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))}) )?copyright .{{0,{HOLDER_CHARS}}}?(?=(?:{'|'.join(OPENINGS)})\b)"
+_OPENS = r"(?:permission\s+(?:is\s+hereby|to\s+use)|redistribution\s+and\s+use)"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null for a null text and for one without letters and digits."""
-    return _plain(F.regexp_replace(F.lower(text), _COPYRIGHT, ""))
+    lower = F.lower(text)
+    headed = F.when(lower.contains("copyright") & lower.rlike(_OPENS), _plain(lower))
+    body = F.when(headed.rlike(_HEAD), F.regexp_replace(headed, _HEAD, ""))
+    return F.coalesce(body, _plain(F.regexp_replace(lower, _COPYRIGHT, "")))
 
 
 def _plain(lower: Column) -> Column:
@@ -138,12 +156,30 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _canonical_sql(text: str) -> str:
-    out = rf"' ' || regexp_replace(regexp_replace(lower({text}), '{_COPYRIGHT}', '', 'g'), '{_APART}', ' ', 'g') || ' '"
-    out = f"regexp_replace({out}, ' +', ' ', 'g')"
+def _words_sql(text: str) -> str:
+    """Words of a lower-case text, each after a space, and a space: by lists, not by the code's replacements."""
+    out = f"' ' || array_to_string(list_filter(regexp_split_to_array({text}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' '"
     for other, usual in EQUIVALENT:
         out = f"replace({out}, ' {other} ', ' {usual} ')"
-    return f"nullif(trim({out}), '')"
+    return f"trim({out})"
+
+
+# Lines that name a holder or a year, by their begin and what they hold.
+_NAMES_HOLDER = r"""(starts_with(regexp_replace(l, '^[^\p{L}\p{N}©]+', ''), 'copyright') AND (contains(l, '©') OR contains(l, '(c)') OR regexp_matches(l, 'copyright.*(\p{N}{4}|<|\[)')))
+  OR starts_with(regexp_replace(l, '^[^\p{L}\p{N}©]+', ''), '©') OR regexp_matches(l, '^[^\p{L}\p{N}©]*\(c\)[ \t]*(copyright|\p{N}{4}|<)') OR regexp_matches(l, '^[^\p{L}\p{N}©]*all rights reserved[^\p{L}\p{N}]*$')"""
+_PLACES = ", ".join(f"nullif(instr(w, '{o} '), 0)" for o in OPENINGS)
+_TITLED = ", ".join(f"'{t}'" for t in TITLES)
+
+
+def _forms_sql(name: str, rows: str) -> str:
+    """A CTE with id, extra and the canonical form of the text t of ``rows`` (id, extra, t)."""
+    return f"""{name}_w AS (SELECT id, extra, t, {_words_sql('lower(t)')} AS w FROM ({rows})
+), {name}_p AS (SELECT *, least({_PLACES}) AS opens FROM {name}_w
+), {name}_h AS (SELECT *, CASE WHEN opens > 0 THEN substr(w, 1, opens - 1) END AS head FROM {name}_p
+), {name}_c AS (SELECT *, CASE WHEN head IS NOT NULL THEN instr(' ' || head, ' copyright ') END AS c FROM {name}_h
+), {name} AS (SELECT id, extra, sha256(nullif(CASE WHEN c > 0 AND (c = 1 OR substr(head, 1, c - 2) IN ({_TITLED})) AND length(head) - c - 9 <= {HOLDER_CHARS} THEN substr(w, opens)
+  ELSE {_words_sql("array_to_string(list_filter(string_split(lower(t), chr(10)), lambda l: NOT (" + _NAMES_HOLDER + ")), chr(10))")} END, '')) AS form FROM {name}_c
+)"""
 
 
 _DIGESTS = ", ".join(f"('{d}', '{i}')" for d, i in license_texts())
@@ -154,14 +190,11 @@ def _quoted(text: str) -> str:
 
 
 ORACLE = f"""
-WITH k AS (
-  SELECT form, min(license_id) AS license_id FROM (
-    SELECT sha256({_canonical_sql('t')}) AS form, i AS license_id FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in KNOWN)}) AS v(i, t)
-    UNION ALL SELECT form, i FROM (VALUES {_DIGESTS}) AS w(form, i)) GROUP BY 1
-), n AS (
-  SELECT doc_id, count(*) AS notice_lines, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN k ON k.form = sha256({_canonical_sql('line')}) GROUP BY doc_id
+WITH {_forms_sql("notices", "SELECT i AS id, 0 AS extra, t FROM (VALUES " + ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN) + ") AS v(i, t)")}, k AS (
+  SELECT form, min(license_id) AS license_id FROM (SELECT form, id AS license_id FROM notices UNION ALL SELECT form, i FROM (VALUES {_DIGESTS}) AS w(form, i)) GROUP BY 1
+), {_forms_sql("whole", "SELECT doc_id AS id, 0 AS extra, text AS t FROM documents")}, {_forms_sql("lines", "SELECT doc_id AS id, 0 AS extra, unnest(string_split(text, chr(10))) AS t FROM documents")}, n AS (
+  SELECT id, count(*) AS notice_lines, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices FROM lines JOIN k USING (form) GROUP BY id
 )
-SELECT d.doc_id, k.license_id, coalesce(notice_lines, 0) AS notice_lines, coalesce(notices, '') AS notices
-FROM documents d LEFT JOIN k ON k.form = sha256({_canonical_sql('d.text')}) LEFT JOIN n ON n.doc_id = d.doc_id
+SELECT whole.id AS doc_id, k.license_id, coalesce(notice_lines, 0) AS notice_lines, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN k ON k.form = whole.form LEFT JOIN n ON n.id = whole.id
 """

@@ -47,3 +47,34 @@ def test_whole_texts_at_any_width(spark):
     assert [r[0] for r in scanned(spark, whole)] == list(names.values())
     for width in (50, 66, 100, 10_000):
         assert [r[0] for r in scanned(spark, [wrapped(t, width) for t in whole[:1]])] == ["Apache-2.0"]
+
+
+def test_holders_end_where_the_licence_opens(spark):
+    """On one line, with a title, and with a holder over two lines; what isn't a holder keeps the text unknown."""
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 500)
+    isc = next(t for i, t in licenses.KNOWN if i == "ISC")
+    found = [
+        f"Copyright (c) 2020 Foo. {mit}",
+        f"MIT License Copyright (c) 2020 Foo {mit}",
+        f"The MIT License (MIT)\n\nCopyright (c) 2019-2021 Foo, Inc. and\nthe Bar contributors\n\n{mit}",
+        f"MIT License\n\nCopyright 2020 Foo and\n    the Bar contributors. All rights\nreserved.\n{wrapped(mit, 60)}",
+        f"ISC Licence\nCOPYRIGHT Foo {isc}",
+        BSD_2.replace("\n", " "),
+    ]
+    assert [r[0] for r in scanned(spark, found)] == ["MIT"] * 4 + ["ISC", "BSD-2-Clause"]
+    unknown = [f"My story. Copyright (c) 2020 Foo. {mit}", f"Copyright (c) 2020 {'Foo and ' * 80} {mit}", f"Copyright (c) 2020 Foo. {mit} And more.", "Copyright (c) 2020 Foo"]
+    assert [r[0] for r in scanned(spark, unknown)] == [None] * 4
+    assert scanned(spark, [f"before\nCopyright (c) 2020 Foo. {mit}\nafter".replace("\n\n", " ")])[0][1:] == (1, "MIT")
+
+
+def test_sql_finds_the_same_forms(spark):
+    import duckdb
+
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 500)
+    texts = [f"MIT License Copyright (c) 2020 Foo {mit}", f"(c) 2020 X\n{mit}", "© Foo\nReleased under the MIT Licence", "copyright law is\n[c] all rights reserved.", "", None, " - ", f"The MIT License\nCopyright (C) 2020 Foo and\nBar\n\n{mit}", BSD_2]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(con.sql(licenses.ORACLE).fetchall())
