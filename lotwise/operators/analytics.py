@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,20 +22,29 @@ def benchmark_rings(subjects: DataFrame, peers: DataFrame, rings: dict[str, list
     are taken side by side, each by its own columns; those with fewer than
     ``least`` peers give no row. Peers are counted once for each price of a ring
     and subjects joined by ring and price, so a subject costs no pass of its own
-    and all peers can be subjects. A null price is below nothing.
+    and all peers can be subjects. Prices of a ring are dealt over tasks by range,
+    so that a ring that all lots share is no one task's, and its quantiles are
+    read off the ranks. A null price is below nothing.
     """
     out = None
     for name, by in rings.items():
         # subjects' own prices are among the prices, with no peer of theirs
         both = peers.select(*by, "unit_price", F.lit(1).alias("_n")).unionByName(subjects.select(*by, "unit_price", F.lit(0).alias("_n")))
-        prices = both.groupBy(*by, "unit_price").agg(F.sum("_n").alias("_n"))
-        whole = prices.groupBy(*by).agg(F.sum("_n").alias("n"), *[F.percentile("unit_price", F.lit(q), F.col("_n")).alias(c) for q, c in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]).where(F.col("n") >= least)
-        cheaper = F.sum(F.when(F.col("unit_price").isNotNull(), F.col("_n"))).over(Window.partitionBy(*by).orderBy("unit_price").rowsBetween(Window.unboundedPreceding, -1))
-        placed = prices.withColumn("below", F.coalesce(cheaper, F.lit(0))).join(whole, by).withColumnsRenamed({c: f"_{c}" for c in (*by, "unit_price")})
-        same = F.col("unit_price").eqNullSafe(F.col("_unit_price"))
-        for c in by:
-            same = same & (F.col(c) == F.col(f"_{c}"))
-        one = subjects.select("key", *by, "unit_price").join(placed, same).select("key", F.lit(name).alias("ring"), "n", *[F.round(c, 9).alias(c) for c in ("p25", "median", "p75")], "below", F.round(100 * F.col("below") / F.col("n"), 2).alias("percent_below"))
+        known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by))  # a null ring is no ring
+        prices = both.where(known).groupBy(F.struct(*by).alias("_ring"), "unit_price").agg(F.sum("_n").alias("_n"))
+        ranked = stored(counted_before(prices.where("unit_price IS NOT NULL"), "_ring", ["unit_price"], "_n"), "ring-prices")
+        # a quantile lies between the prices at two ranks, each the price whose peers cover the rank
+        cuts = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+        at = {c: q * (F.col("_total") - 1) for c, q in cuts.items()}
+        held = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("unit_price")))
+        ends = ranked.where("_n > 0").groupBy("_ring").agg(F.max("_total").alias("_total"), *[held(F.floor(r)).alias(f"{c}_low") for c, r in at.items()], *[held(F.ceil(r)).alias(f"{c}_high") for c, r in at.items()])
+        whole = prices.groupBy("_ring").agg(F.sum("_n").alias("n")).where(F.col("n") >= least).join(ends, "_ring", "left")
+        value = lambda c: F.round(F.col(f"{c}_low") + (at[c] - F.floor(at[c])) * (F.col(f"{c}_high") - F.col(f"{c}_low")), 9)
+        placed = whole.select(F.col("_ring").alias("_of"), "n", *[value(c).alias(c) for c in cuts])
+        own = subjects.select("key", F.struct(*by).alias("_mine"), F.col("unit_price").alias("_own")).where(known)
+        one = own.join(placed, F.col("_mine") == F.col("_of")).join(ranked.select("_ring", "unit_price", "_before"), (F.col("_mine") == F.col("_ring")) & (F.col("_own") == F.col("unit_price")), "left")
+        below = F.coalesce("_before", F.lit(0))
+        one = one.select("key", F.lit(name).alias("ring"), "n", *cuts, below.alias("below"), F.round(100 * below / F.col("n"), 2).alias("percent_below"))
         out = one if out is None else out.unionByName(one)
     return out
 

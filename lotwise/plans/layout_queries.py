@@ -120,7 +120,7 @@ def notice_table_grid(spark, sf_dir):
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, text, regexp_replace(substr(text, CAST(length(text) // 3 + 1 AS INT), 120), '^\s+|\s+$', '', 'g') AS e FROM documents WHERE length(text) >= 240 AND NOT contains(text, '¤')),
+    f"""WITH d AS (SELECT doc_id, text, regexp_replace(substr(text, CAST(length(text) // 3 + 1 AS INT), 120), '^\\s+|\\s+$', '', 'g') AS e FROM documents WHERE length(text) >= 240 AND NOT contains(text, '¤')),
 x AS (SELECT doc_id, text, e, lower(text) AS t, lower(e) AS l FROM d WHERE length(e) >= 100)
 SELECT doc_id, 100.0 AS likeness, CAST(instr(t, l) - 1 AS INT) AS start, CAST(instr(t, l) - 1 + length(l) AS INT) AS stop FROM x WHERE length(t) = length(text) AND instr(t, l) > 0"""
 )

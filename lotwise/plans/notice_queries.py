@@ -14,6 +14,7 @@ from ..operators import notices as Nt
 from ..operators import search as S
 from ..sources.scratch import stored
 from ..sources.tables import LISTINGS_SQL, LOTS_SQL, listings, lots, table
+from .layout_queries import table_notices
 
 Q, SQL = {}, {}
 
@@ -177,7 +178,9 @@ def guarded_query(spark, sf_dir):
 
 @query(None)
 def page_table_cells(spark, sf_dir):
-    return Nt.table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
+    """Cells of the tables of all pages, and of notices that are built with tables, as the pages of the fixtures have none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return Nt.table_cells(pages.unionByName(table_notices(spark, sf_dir).select((-F.col("notice_id")).alias("page_id"), F.col("text").alias("html"))), "page_id", "html")
 
 
 @query(None)
