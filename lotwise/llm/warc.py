@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, stored, tasks_for, text_batches
+from .shared import scratch, small, stored, tasks_for, text_batches
 
 #: Marks a skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -132,10 +132,11 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     light = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
     large = light.where((F.col("size") >= REVISIT_FROM) & F.col("page_id").isNotNull())
-    first = stored(large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "responses")
+    first = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    # ids and digests only: copies of one page meet their response without payloads, and payloads are joined by page, of which none is frequent
+    revisits = stored(large.select("page_id", "digest").join(first, "digest").where("response != page_id").select("page_id", "digest", F.col("response").alias("refers_to")).distinct(), "revisits")
     own = pages.select("page_id", "url", body.alias("payload")).withColumn("digest", F.sha1("payload"))
-    refers = F.when(F.col("response") != F.col("page_id"), F.col("response"))
-    return own.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return own.join(small(revisits), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
