@@ -244,7 +244,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS)
     ties go to the smaller vec_id. Vectors that are null, zero or not finite
     throughout, rows without vec_id, and vectors of another length than most
     take no part. A row that repeats another's vec_id and vector counts once.
-    An empty table gives no rows; other columns don't matter.
+    An empty table gives no rows; other columns don't matter, and vectors may be of
+    any length.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))

@@ -335,7 +335,7 @@ def with_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> Dat
     text if there was nothing to learn from. score is the posterior of the
     predicted language; of equally likely ones the first by name is taken. A
     row's result follows from its text alone, so repeated rows get equal ones and
-    very long texts are scored whole. Columns of ``docs`` that aren't in ``keep``
+    very long texts are scored whole; an empty table gives no rows. Columns of ``docs`` that aren't in ``keep``
     don't matter; kept ones named lang_pred or score give way to the new ones.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

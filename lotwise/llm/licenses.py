@@ -144,7 +144,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     license_id: the licence that the entire text is, or null. notice_lines: how
     many lines are a known text; notices: their licences, sorted, joined by
     commas ('' for none). A null or empty text has none. Rows that repeat a
-    doc_id share their notices; a null doc_id has no notices.
+    doc_id share their notices; a null doc_id has no notices. Very long texts
+    are taken whole, an empty table gives no rows, and other columns are ignored,
+    whatever their names.
     """
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     notices = identified(lines, "line").where("license_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("notice_lines"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))

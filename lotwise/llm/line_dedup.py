@@ -161,7 +161,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     empty one is a single empty line. The copy that stays is the one in the
     smallest doc_id, and there the first; a null doc_id comes last. Rows that
     repeat doc_id and text are one document and treated alike; those with the
-    same doc_id and other texts are in order of a hash of the text. Columns of
+    same doc_id and other texts are in order of a hash of the text. Texts of any
+    length are cut whole; an empty table gives no rows. Columns of
     ``docs`` named like the added ones are dropped.
     """
     spark = docs.sparkSession

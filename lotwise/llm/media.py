@@ -183,6 +183,8 @@ def media_columns(files: DataFrame) -> DataFrame:
     A null file has null columns. So has one that is empty, cut short or without
     a track, and ``error`` says what is wrong with it; else ``error`` is null.
     Of several tracks the first that has samples counts, with its own tables.
+    Very long files are read whole, repeated rows stay, an empty table gives no
+    rows, and other columns are ignored, whatever their names.
     """
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "

@@ -278,8 +278,9 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable by links. A null text, or one
     without words, has no shingles and links with nothing. Rows that repeat a
-    doc_id are the same document; a row without doc_id gets no component. Other
-    columns are ignored, whatever their names.
+    doc_id are the same document; a row without doc_id gets no component. Long
+    texts are taken whole, an empty table gives no rows, and other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")

@@ -148,8 +148,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, part_pieces:
     ``docs`` has doc_id and text; a null or empty text is its end token alone,
     and a text of any length is cut into pieces of CAPACITY tokens. Repeated
     rows are packed each; a null doc_id stays null. Pieces of equal length are
-    placed in order of doc_id and piece. Other columns don't matter, whatever
-    their names. bin_gap is what the bins of the piece's last partition exceed
+    placed in order of doc_id and piece. An empty table gives no rows. Other
+    columns don't matter, whatever their names. bin_gap is what the bins of the piece's last partition exceed
     the lower bound by: 0 means certified best for that partition. table_gap is
     the same for all sequences: 0 means that no packing of the table has fewer.
     """

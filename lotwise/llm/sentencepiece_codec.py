@@ -294,7 +294,9 @@ def sentencepiece_codec(docs: DataFrame, path: str | None = None, ids: bool = Fa
     ids_crc32 is over the ids as little-endian unsigned 32-bit numbers.
     round_trip: whether decoding gives the text back, byte for byte; parity:
     whether the sentencepiece library gives the same ids and the rebuilt decoder
-    the same text (for each unit, where a text falls into units). A null or empty text has no ids, a null doc_id stays null, and repeated rows stay.
+    the same text (for each unit, where a text falls into units). A null or empty text has no ids, a null
+    doc_id stays null, and repeated rows stay. Very long texts are encoded whole,
+    an empty table gives no rows, and other columns are ignored, whatever their names.
     """
     if path is None:
         import public_tokenizers

@@ -229,7 +229,9 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     A null html is an empty payload, a null url ``about:blank``. Of equal
     payloads of REVISIT_FROM bytes or more the row with the largest page_id is
     the response; rows that repeat that page_id are responses too. A null
-    page_id stays null and is always a response.
+    page_id stays null and is always a response. A payload of any length is one
+    record, an empty table gives no rows, and other columns are ignored, whatever
+    their names.
     """
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
