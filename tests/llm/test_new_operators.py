@@ -25,7 +25,7 @@ def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
 
-@pytest.mark.parametrize("name", ["op12_minmax_near_dedup", "op13_source_divergence"])
+@pytest.mark.parametrize("name", ["op7_line_dedup", "op12_minmax_near_dedup", "op13_source_divergence"])
 def test_query_equals_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SMALL), queries.ORACLE_SQL[name], views(SMALL))
 
