@@ -182,7 +182,7 @@ def _towns(open_: DataFrame, key: str, towns: DataFrame) -> DataFrame:
 
 def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints) -> DataFrame:
     open_ = stored(rows.where(F.col("village").isNull() & F.col("parts").isNull() & F.col("village_status").isin(_OPEN)).drop("village").withColumnRenamed("said_village", "village"), "open")
-    v = register.where("village IS NOT NULL").withColumn("key", P.place_key(F.col("village"))).where("key IS NOT NULL")
+    v = register.where("key IS NOT NULL")
     lone = v.groupBy("taluk", "district", "key").agg(F.count("*").alias("_n"), F.min("village").alias("village"))
     ct = v.where(F.col("village").rlike(r"(?i)\(\s*ct\s*\)")).select("taluk", P.place_key(F.regexp_replace("village", r"(?i)\(\s*ct\s*\)", " ")).alias("_ct")).distinct()
 
@@ -216,18 +216,18 @@ def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints) ->
     )
     settled = settled.where((F.col("_n") == 1) & ~(F.col("hint").isin("neighbour-taluk", "census-2011") & F.col("_twin")))
     label = F.when(F.col("hint") == "taluk", F.coalesce(*[F.when(F.array_contains("_labels", x), x) for x in TALUK_HINTS])).otherwise(F.col("hint"))
-    answers = [settled.select(key, "hint", label.alias("source"), F.col("a.district").alias("district"), F.col("a.taluk").alias("taluk"), F.col("a.village").alias("village"), F.col("a.parts").alias("parts"))]
+    answers = [stored(settled.select(key, "hint", label.alias("source"), F.col("a.district").alias("district"), F.col("a.taluk").alias("taluk"), F.col("a.village").alias("village"), F.col("a.parts").alias("parts")), "settled")]
 
     def answer(df: DataFrame, hint: str) -> DataFrame:
         return df.select(key, F.lit(hint).alias("hint"), F.lit(hint).alias("source"), "district", "taluk", "village", (F.col("parts") if "parts" in df.columns else none).alias("parts"))
 
     # names by sound and by spelling in a district that doesn't hold them exactly
     homeless = open_.where("village_status = 'no-parent-taluk' AND district IS NOT NULL").select(key, "district", F.col("village").alias("_v"), P.place_key(F.col("village")).alias("key"), P.village_shape(F.col("village")).alias("_shape"))
-    homeless = homeless.where("key IS NOT NULL").join(v.select("district", "key").distinct(), ["district", "key"], "left_anti")
+    homeless = stored(homeless.where("key IS NOT NULL").join(v.select("district", "key").distinct(), ["district", "key"], "left_anti"), "homeless")
     shape = P.village_shape(F.col("village"))
     alone = lone.where("_n = 1").select("taluk", "district", "key", F.lit(True).alias("_alone"))
-    heard = v.select("district", P.sound_key(F.col("village")).alias("_s"), shape.alias("_shape2"), "village", "taluk", "key").where("_s IS NOT NULL").distinct()
-    by_sound = _once(homeless.withColumn("_s", P.sound_key(F.col("_v"))).join(heard.drop("key"), ["district", "_s"]).where(F.col("_shape").eqNullSafe(F.col("_shape2"))), [key, "district"], F.struct("village", "taluk"))
+    heard = v.select("district", F.col("sound").alias("_s"), F.col("shape").alias("_shape2"), "village", "taluk").where("_s IS NOT NULL").distinct()
+    by_sound = _once(homeless.withColumn("_s", P.sound_key(F.col("_v"))).join(heard, ["district", "_s"]).where(F.col("_shape").eqNullSafe(F.col("_shape2"))), [key, "district"], F.struct("village", "taluk"))
     by_sound = by_sound.select(key, "district", "answer.*").withColumn("key", P.place_key(F.col("village"))).join(alone, ["taluk", "district", "key"])
     answers.append(answer(by_sound, "district-sound"))
     pool = v.groupBy(F.col("district").alias("scope"), "key").agg(F.array_sort(F.collect_set(F.struct("village", "taluk"))).alias("answer"))
@@ -296,6 +296,8 @@ def hinted_places(resolved: DataFrame, notices: DataFrame, register: DataFrame,
     """
     said = notices.select(key, F.col("village").alias("said_village"), F.col("taluk").alias("said_taluk"), "registration", "city", "pin", "panchayat", "text")
     none = F.lit(None).cast("string")
+    name = F.col("village")
+    register = stored(register.select("district", "taluk", "village", "spoken", P.place_key(name).alias("key"), P.sound_key(name).alias("sound"), P.village_shape(name).alias("shape")), "register")
     rows = stored(resolved.join(said, key).withColumns({"town": none, "town_kind": none}), "hinted")
     for at in range(rounds):
         now = hints

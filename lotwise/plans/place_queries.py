@@ -102,10 +102,11 @@ def _named(kind: str, key: str, n: int):
 def notices_with_hints(spark, sf_dir):
     """Where notices lie that leave the taluk open or name a wrong one, by ten hints and what placed notices teach."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("k"), F.concat(_named("n", "n_nationkey", 8), F.lit("pur")).alias("taluk"), F.col("r_name").alias("district"), "r_regionkey")
+    n = stored(n, "taluks")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("k"), _named("v", "s_suppkey", 14).alias("village"))
     places = suppliers.union(suppliers.where("sk % 4 = 0").withColumn("k", (F.col("k") + 5) % 25))
-    register = n.join(places, "k", "left").select("district", "taluk", "village", F.lit(None).cast("string").alias("spoken"))
-    own = suppliers.join(n, "k")
+    register = stored(n.join(places, "k", "left").select("district", "taluk", "village", F.lit(None).cast("string").alias("spoken")), "register")
+    own = stored(suppliers.join(n, "k"), "own")
     near = n.select(((F.col("k") + 5) % 25).alias("k2"), "taluk").join(n.select(F.col("k").alias("k2"), F.col("taluk").alias("other")), "k2").select("taluk", "other")
     hints = H.Hints(
         pins=n.select((F.col("k") + 600000).cast("string").alias("pin"), "taluk"),
