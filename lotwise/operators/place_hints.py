@@ -1,7 +1,7 @@
 """Places of notices that the ladder leaves open, by what else a notice says.
 
-Every hint proposes taluks, and one run of the ladder over the distinct
-proposals tells which of them hold the village. A hint whose proposals lead to
+Every hint proposes taluks, and one run of the ladder's second half over
+the distinct proposals tells which of them hold the village. A hint whose proposals lead to
 two places is none; the first hint in :data:`ORDER` that leads to one counts.
 What is placed teaches offices, PIN codes and neighbours for the next round.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import places as P
 from ..sources.scratch import stored
 from .analytics import majority
-from .places import _named, close, nearest, resolved_places
+from .places import _named, close, nearest, resolved_villages, village_asked
 
 # Hints by the order in which they are believed.
 ORDER = ["village-pieces", "taluk", "district-sound", "district-fuzzy", "neighbour-taluk", "census-2011", "metro-unique", "gram-panchayat", "habitation", "lgd-town"]
@@ -125,11 +125,11 @@ def _once(df: DataFrame, by: list[str], answer: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.min(answer).alias("answer"), F.countDistinct(answer).alias("_n")).where("_n = 1").drop("_n")
 
 
-def _proposals(open_: DataFrame, key: str, register: DataFrame, hints: Hints) -> DataFrame:
+def _proposals(open_: DataFrame, key: str, register: DataFrame, hints: Hints, again: bool) -> DataFrame:
     """(key, hint, label, tier, turn, needed, district, taluk, asked): where each hint would look for which name."""
     taluks = register.select("taluk", "district").distinct()
     one_taluk = _once(taluks.select(P.place_key(F.col("taluk")).alias("key"), F.struct("taluk", "district").alias("a")).where("key IS NOT NULL"), ["key"], F.col("a"))
-    where = _once(taluks.withColumnRenamed("district", "a"), ["taluk"], F.col("a")).select(F.col("taluk").alias("_to"), F.col("answer").alias("_in"))
+    where = one_taluk.select(F.col("answer.taluk").alias("_to"), F.col("answer.district").alias("_in"))
     fits = (F.col("district").isNull() | (F.col("district") == F.col("_in"))) & ~F.col("_to").eqNullSafe(F.col("taluk"))
 
     def rows(df: DataFrame, hint: str, label: str, asked="village", tier=0, turn=0, needed=1) -> DataFrame:
@@ -137,8 +137,10 @@ def _proposals(open_: DataFrame, key: str, register: DataFrame, hints: Hints) ->
         return df.select(key, F.lit(hint).alias("hint"), F.lit(label).alias("label"), F.lit(tier).alias("tier"), F.lit(turn).alias("turn"), needed.alias("needed"), F.col("_in").alias("district"), F.col("_to").alias("taluk"), F.col(asked).alias("asked"))
 
     unmatched = open_.where("village_status = 'unmatched' AND taluk IS NOT NULL")
+    out = []
     pieces = unmatched.withColumn("_pieces", village_pieces(F.col("village"))).withColumn("_needed", F.size("_pieces")).withColumn("_piece", F.explode("_pieces")).withColumns({"_in": F.col("district"), "_to": F.col("taluk")})
-    out = [rows(pieces, "village-pieces", "village-pieces", "_piece", needed=F.col("_needed"))]
+    if not again:
+        out.append(rows(pieces, "village-pieces", "village-pieces", "_piece", needed=F.col("_needed")))
     if hints.offices is not None:
         offices = hints.offices.select(F.col("office").alias("_office"), F.col("taluk").alias("_to"))
         out.append(rows(open_.withColumn("_office", office_key(F.col("registration"))).join(offices, "_office").join(where, "_to").where(fits), "taluk", "sro-taluk"))
@@ -153,7 +155,7 @@ def _proposals(open_: DataFrame, key: str, register: DataFrame, hints: Hints) ->
     if hints.neighbours is not None:
         near = hints.neighbours.select("taluk", F.col("other").alias("_to")).distinct()
         out.append(rows(unmatched.join(near, "taluk").join(where, "_to").where(fits), "neighbour-taluk", "neighbour-taluk"))
-    if hints.lineage is not None:
+    if hints.lineage is not None and not again:
         known = hints.lineage.select("old", P.place_key(F.col("old")).alias("_old"), P.place_key(F.col("village")).alias("_moved"), F.col("taluk").alias("_to"), "now").join(where, "_to")
         asked = open_.withColumn("_t", P.place_key(F.col("said_taluk"))).where("_t IS NOT NULL")
         whole = known.select("old", "_old", "_in").distinct()
@@ -180,43 +182,10 @@ def _towns(open_: DataFrame, key: str, towns: DataFrame) -> DataFrame:
     return one.select(key, "answer.town", F.col("answer.kind").alias("town_kind"), F.col("answer._td").alias("town_district"), F.when(F.size("answer._taluks") == 1, F.col("answer._taluks")[0]).alias("only_taluk"))
 
 
-def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints) -> DataFrame:
-    open_ = stored(rows.where(F.col("village").isNull() & F.col("parts").isNull() & F.col("village_status").isin(_OPEN)).drop("village").withColumnRenamed("said_village", "village"), "open")
-    v = register.where("key IS NOT NULL")
-    lone = v.groupBy("taluk", "district", "key").agg(F.count("*").alias("_n"), F.min("village").alias("village"))
-    ct = v.where(F.col("village").rlike(r"(?i)\(\s*ct\s*\)")).select("taluk", P.place_key(F.regexp_replace("village", r"(?i)\(\s*ct\s*\)", " ")).alias("_ct")).distinct()
-
-    # where a hint names a taluk, the ladder runs inside it, once for each distinct question
-    asks = _proposals(open_, key, register, hints)
-    towns = None
-    if hints.towns is not None:
-        towns = stored(_towns(rows.where(F.col("village").isNull() & F.col("parts").isNull() & (F.col("village_status") != "outside-state")), key, hints.towns), "towns")
-        inside = open_.where("taluk IS NULL").select(key, "village").join(towns.where("only_taluk IS NOT NULL"), key)
-        asks = asks.unionByName(inside.select(key, F.lit("lgd-town").alias("hint"), F.lit("lgd-town").alias("label"), F.lit(0).alias("tier"), F.lit(0).alias("turn"), F.lit(1).alias("needed"), F.col("town_district").alias("district"), F.col("only_taluk").alias("taluk"), F.col("village").alias("asked")))
-    asks = stored(asks.where("asked IS NOT NULL"), "asks")
-    question = F.struct("district", "taluk", "asked")
-    distinct = asks.select(question.alias("_ask")).distinct()
+def _by_name(open_: DataFrame, key: str, register: DataFrame, v: DataFrame, lone: DataFrame, ct: DataFrame, hints: Hints) -> list[DataFrame]:
+    """Answers that the register gives for the name alone: by sound, by spelling, in a metropolis, as a panchayat or hamlet."""
     none = F.lit(None).cast("string")
-    tried = resolved_places(distinct.select("_ask", none.alias("state"), "_ask.district", "_ask.taluk", F.col("_ask.asked").alias("village"), none.alias("registration")), register, "_ask", [], [])
-    tried = tried.where((F.col("taluk") == F.col("_ask.taluk")) & (F.col("district") == F.col("_ask.district")) & (F.col("village").isNotNull() | F.col("parts").isNotNull()))
-    tried = tried.select(F.col("_ask.district").alias("district"), F.col("_ask.taluk").alias("taluk"), F.col("_ask.asked").alias("asked"), "village", "parts")
-    # a census town of that name beside the village leaves the choice to a person
-    names = tried.select("district", "taluk", "asked", F.explode(F.array_compact(F.concat(F.array("asked", "village"), F.coalesce(F.split("parts", ","), F.array())))).alias("_name"))
-    twins = names.withColumn("_ct", P.place_key(F.regexp_replace("_name", r"(?i)\(\s*ct\s*\)", " "))).join(ct, ["taluk", "_ct"]).select("district", "taluk", "asked", F.lit(True).alias("_twin")).distinct()
-    found = asks.join(tried, ["district", "taluk", "asked"]).join(twins, ["district", "taluk", "asked"], "left")
-    # one answer a taluk: that of the first name tried there; only the first tier with answers
-    in_taluk = found.where("hint <> 'village-pieces' OR village IS NOT NULL")
-    whole = in_taluk.groupBy(key, "hint").agg(F.min("tier").alias("tier"))
-    in_taluk = in_taluk.join(whole, [key, "hint", "tier"])
-    best = in_taluk.groupBy(key, "hint", "district", "taluk", "needed").agg(F.min(F.struct("turn", "village", "parts")).alias("b"), F.countDistinct("village").alias("_answers"), F.countDistinct("asked").alias("_asked"), F.max(F.coalesce("_twin", F.lit(False))).alias("_twin"), F.collect_set("label").alias("_labels"))
-    best = best.where((F.col("hint") != "village-pieces") | ((F.col("_asked") == F.col("needed")) & (F.col("_answers") == 1)))
-    settled = best.groupBy(key, "hint").agg(
-        F.count("*").alias("_n"), F.max("_twin").alias("_twin"),
-        F.min(F.struct("district", "taluk", F.col("b.village").alias("village"), F.col("b.parts").alias("parts"))).alias("a"), F.flatten(F.collect_list("_labels")).alias("_labels"),
-    )
-    settled = settled.where((F.col("_n") == 1) & ~(F.col("hint").isin("neighbour-taluk", "census-2011") & F.col("_twin")))
-    label = F.when(F.col("hint") == "taluk", F.coalesce(*[F.when(F.array_contains("_labels", x), x) for x in TALUK_HINTS])).otherwise(F.col("hint"))
-    answers = [stored(settled.select(key, "hint", label.alias("source"), F.col("a.district").alias("district"), F.col("a.taluk").alias("taluk"), F.col("a.village").alias("village"), F.col("a.parts").alias("parts")), "settled")]
+    answers = []
 
     def answer(df: DataFrame, hint: str) -> DataFrame:
         return df.select(key, F.lit(hint).alias("hint"), F.lit(hint).alias("source"), "district", "taluk", "village", (F.col("parts") if "parts" in df.columns else none).alias("parts"))
@@ -257,7 +226,53 @@ def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints) ->
         answers.append(narrowed(hints.panchayats.select("taluk", P.place_key(F.col("panchayat")).alias("_k"), F.lit("").alias("_body"), "village"), body("panchayat", 0).unionByName(body("village", 1)), "gram-panchayat"))
     if hints.hamlets is not None:
         answers.append(narrowed(hints.hamlets.select("taluk", P.place_key(F.col("hamlet")).alias("_k"), F.col("code").cast("string").alias("_body"), "village"), body("village", 0), "habitation"))
+    return answers
+
+
+def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints, again: bool) -> DataFrame:
+    """Rows with what hints place. What a hint says of a row changes only with learned tables, so that a round
+    ``again`` asks only those that go by them; to a row that is still open the others have said nothing."""
+    open_ = stored(rows.where(F.col("village").isNull() & F.col("parts").isNull() & F.col("village_status").isin(_OPEN)).drop("village").withColumnRenamed("said_village", "village"), "open")
+    v = register.where("key IS NOT NULL")
+    lone = v.groupBy("taluk", "district", "key").agg(F.count("*").alias("_n"), F.min("village").alias("village"))
+    ct = v.where(F.col("village").rlike(r"(?i)\(\s*ct\s*\)")).select("taluk", P.place_key(F.regexp_replace("village", r"(?i)\(\s*ct\s*\)", " ")).alias("_ct")).distinct()
+
+    # where a hint names a taluk, the ladder runs inside it, once for each distinct question
+    asks = _proposals(open_, key, register, hints, again)
+    towns = None
+    if hints.towns is not None and not again:
+        towns = stored(_towns(rows.where(F.col("village").isNull() & F.col("parts").isNull() & (F.col("village_status") != "outside-state")), key, hints.towns), "towns")
+        inside = open_.where("taluk IS NULL").select(key, "village").join(towns.where("only_taluk IS NOT NULL"), key)
+        asks = asks.unionByName(inside.select(key, F.lit("lgd-town").alias("hint"), F.lit("lgd-town").alias("label"), F.lit(0).alias("tier"), F.lit(0).alias("turn"), F.lit(1).alias("needed"), F.col("town_district").alias("district"), F.col("only_taluk").alias("taluk"), F.col("village").alias("asked")))
+    asks = stored(asks.where("asked IS NOT NULL"), "asks")
+    question = F.struct("district", "taluk", "asked")
+    distinct = asks.select(question.alias("_ask")).distinct()
+    none = F.lit(None).cast("string")
+    no = F.lit(False)
+    inside = distinct.select("_ask", *village_asked(F.col("_ask.asked")), no.alias("_outside"), "_ask.district", "_ask.taluk", none.alias("district_source"), no.alias("conflict"))
+    tried = resolved_villages(stored(inside, "inside"), register, "_ask")
+    tried = tried.where((F.col("taluk") == F.col("_ask.taluk")) & (F.col("district") == F.col("_ask.district")) & (F.col("village").isNotNull() | F.col("parts").isNotNull()))
+    tried = tried.select(F.col("_ask.district").alias("district"), F.col("_ask.taluk").alias("taluk"), F.col("_ask.asked").alias("asked"), "village", "parts")
+    # a census town of that name beside the village leaves the choice to a person
+    names = tried.select("district", "taluk", "asked", F.explode(F.array_compact(F.concat(F.array("asked", "village"), F.coalesce(F.split("parts", ","), F.array())))).alias("_name"))
+    twins = names.withColumn("_ct", P.place_key(F.regexp_replace("_name", r"(?i)\(\s*ct\s*\)", " "))).join(ct, ["taluk", "_ct"]).select("district", "taluk", "asked", F.lit(True).alias("_twin")).distinct()
+    found = asks.join(tried, ["district", "taluk", "asked"]).join(twins, ["district", "taluk", "asked"], "left")
+    # one answer a taluk: that of the first name tried there; only the first tier with answers
+    in_taluk = found.where("hint <> 'village-pieces' OR village IS NOT NULL")
+    whole = in_taluk.groupBy(key, "hint").agg(F.min("tier").alias("tier"))
+    in_taluk = in_taluk.join(whole, [key, "hint", "tier"])
+    best = in_taluk.groupBy(key, "hint", "district", "taluk", "needed").agg(F.min(F.struct("turn", "village", "parts")).alias("b"), F.countDistinct("village").alias("_answers"), F.countDistinct("asked").alias("_asked"), F.max(F.coalesce("_twin", F.lit(False))).alias("_twin"), F.collect_set("label").alias("_labels"))
+    best = best.where((F.col("hint") != "village-pieces") | ((F.col("_asked") == F.col("needed")) & (F.col("_answers") == 1)))
+    settled = best.groupBy(key, "hint").agg(
+        F.count("*").alias("_n"), F.max("_twin").alias("_twin"),
+        F.min(F.struct("district", "taluk", F.col("b.village").alias("village"), F.col("b.parts").alias("parts"))).alias("a"), F.flatten(F.collect_list("_labels")).alias("_labels"),
+    )
+    settled = settled.where((F.col("_n") == 1) & ~(F.col("hint").isin("neighbour-taluk", "census-2011") & F.col("_twin")))
+    label = F.when(F.col("hint") == "taluk", F.coalesce(*[F.when(F.array_contains("_labels", x), x) for x in TALUK_HINTS])).otherwise(F.col("hint"))
+    answers = [stored(settled.select(key, "hint", label.alias("source"), F.col("a.district").alias("district"), F.col("a.taluk").alias("taluk"), F.col("a.village").alias("village"), F.col("a.parts").alias("parts")), "settled")]
 
+    if not again:
+        answers += _by_name(open_, key, register, v, lone, ct, hints)
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("hint"))
     best = reduce(DataFrame.unionByName, answers).groupBy(key).agg(F.min_by(F.struct("source", "district", "taluk", "village", "parts"), rank).alias("_a"))
     out = rows.join(best, key, "left")
@@ -269,6 +284,8 @@ def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints) ->
         "village": F.coalesce("village", "_a.village"),
         "parts": F.coalesce("parts", "_a.parts"),
         "village_source": F.when(placed, F.col("_a.source")).otherwise(F.col("village_source")),
+        "town": F.when(~placed, F.col("town")),
+        "town_kind": F.when(~placed, F.col("town_kind")),
         "village_status": F.when(placed, F.when(F.col("_a.village").isNotNull(), "resolved").otherwise("one-of-parts")).otherwise(F.col("village_status")),
     }
     out = out.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns], (~placed | (F.col("_a.source") == "lgd-town")).alias("_townless"))
@@ -305,5 +322,5 @@ def hinted_places(resolved: DataFrame, notices: DataFrame, register: DataFrame,
             taught = learned(rows, notices, key, register)
             more = taught.neighbours if hints.neighbours is None else hints.neighbours.select("taluk", "other").union(taught.neighbours).distinct()
             now = replace(hints, offices=_with(hints.offices, taught.offices, "office"), pins=_with(hints.pins, taught.pins, "pin"), neighbours=more)
-        rows = stored(_one_round(rows, key, register, now), "hinted")
+        rows = stored(_one_round(rows, key, register, now, again=at > 0), "hinted")
     return rows.select(*resolved.columns, "town", "town_kind")

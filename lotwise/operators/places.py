@@ -70,6 +70,11 @@ def _same(a: str, b: Column) -> Column:
     return F.col(a).eqNullSafe(b)
 
 
+def village_asked(name: Column) -> list[Column]:
+    """A village's name as :func:`resolved_villages` reads it: the name, its key, numbers and part."""
+    return [name.alias("_v"), P.place_key(name).alias("_k"), P.sub_numbers(name).alias("_numbers"), P.part(name)[1].alias("_part")]
+
+
 def resolved_places(notices: DataFrame, register: DataFrame, key: str, other_states: list[str], other_districts: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
     """Where each notice lies: key, district, taluk, village, parts, district_source, village_source, village_status, conflict.
 
@@ -87,7 +92,6 @@ def resolved_places(notices: DataFrame, register: DataFrame, key: str, other_sta
     renamed = lambda c: given(c) if names is None else F.coalesce(F.try_element_at(names, plain(c)), given(c))
     rows = notices.select(key, plain("state").alias("_state"), plain("district").alias("_dname"), renamed("district").alias("_d"), renamed("taluk").alias("_t"), given("village").alias("_v"), renamed("registration").alias("_r"))
 
-    v = register.select("district", "taluk", "village", "spoken", P.place_key(F.col("village")).alias("key"))
     taluks = register.select("district", "taluk").distinct().withColumn("key", P.place_key(F.col("taluk"))).where("key IS NOT NULL")
     one_taluk = taluks.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("taluk", "district")).alias("answer")).where("n = 1").drop("n")
     one_district = register.select(F.col("district").alias("answer")).distinct().withColumn("key", P.place_key(F.col("answer"))).groupBy("key").agg(F.min("answer").alias("answer")).where("key IS NOT NULL")
@@ -113,13 +117,23 @@ def resolved_places(notices: DataFrame, register: DataFrame, key: str, other_sta
     hit = F.coalesce("_own", "_pair")
     sources = [(hit["district"], "taluk"), (F.col("_stated"), "district"), (F.when(F.col("_own").isNull(), F.col("_shared")), "compound-taluk-field"), (F.col("_from_taluk"), "taluk-field-names-a-district"), (F.col("_from_office"), "registration-district"), (F.col("_office.district"), "registration-district-names-a-taluk")]
     rows = rows.select(
-        key, "_v", P.place_key(F.col("_v")).alias("_k"), P.sub_numbers(F.col("_v")).alias("_numbers"), P.part(F.col("_v"))[1].alias("_part"),
+        key, *village_asked(F.col("_v")),
         (F.coalesce(F.col("_state").isin(other_states), F.lit(False)) | (F.col("_stated").isNull() & F.coalesce(F.col("_dname").isin(other_districts), F.lit(False)))).alias("_outside"),
         hit["taluk"].alias("taluk"), F.coalesce(*[c for c, _ in sources]).alias("district"), F.coalesce(*[F.when(c.isNotNull(), n) for c, n in sources]).alias("district_source"),
         F.coalesce(F.col("_stated") != hit["district"], F.lit(False)).alias("conflict"),
     )
-    rows = stored(rows, "placed")
+    return resolved_villages(stored(rows, "placed"), register, key)
+
 
+def resolved_villages(rows: DataFrame, register: DataFrame, key: str) -> DataFrame:
+    """The second half of the ladder: the village of rows whose taluk and district are settled or null.
+
+    ``rows`` has the key and what :func:`village_asked` gives, ``_outside``,
+    district, taluk, district_source and conflict, and is read several times, so
+    store it before.
+    """
+    v = register.select("district", "taluk", "village", "spoken", P.place_key(F.col("village")).alias("key"))
+    taluks = register.select("district", "taluk").distinct().withColumn("key", P.place_key(F.col("taluk"))).where("key IS NOT NULL")
     # villages by taluk, by part, by district and in the whole register
     keyed = v.where("key IS NOT NULL")
     in_taluk = keyed.groupBy("taluk", "district", "key").agg(F.count("*").alias("n"), F.min("village").alias("one")).withColumn("one", F.when(F.col("n") == 1, F.col("one")))
