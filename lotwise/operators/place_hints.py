@@ -250,9 +250,9 @@ def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints, aga
     none = F.lit(None).cast("string")
     no = F.lit(False)
     inside = distinct.select("_ask", *village_asked(F.col("_ask.asked")), no.alias("_outside"), "_ask.district", "_ask.taluk", none.alias("district_source"), no.alias("conflict"))
-    tried = resolved_villages(stored(inside, "inside"), register, "_ask")
+    tried = resolved_villages(stored(inside, "inside"), register, "_ask", anywhere=False)
     tried = tried.where((F.col("taluk") == F.col("_ask.taluk")) & (F.col("district") == F.col("_ask.district")) & (F.col("village").isNotNull() | F.col("parts").isNotNull()))
-    tried = tried.select(F.col("_ask.district").alias("district"), F.col("_ask.taluk").alias("taluk"), F.col("_ask.asked").alias("asked"), "village", "parts")
+    tried = stored(tried.select(F.col("_ask.district").alias("district"), F.col("_ask.taluk").alias("taluk"), F.col("_ask.asked").alias("asked"), "village", "parts"), "tried")  # read twice
     # a census town of that name beside the village leaves the choice to a person
     names = tried.select("district", "taluk", "asked", F.explode(F.array_compact(F.concat(F.array("asked", "village"), F.coalesce(F.split("parts", ","), F.array())))).alias("_name"))
     twins = names.withColumn("_ct", P.place_key(F.regexp_replace("_name", r"(?i)\(\s*ct\s*\)", " "))).join(ct, ["taluk", "_ct"]).select("district", "taluk", "asked", F.lit(True).alias("_twin")).distinct()

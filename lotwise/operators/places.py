@@ -125,12 +125,13 @@ def resolved_places(notices: DataFrame, register: DataFrame, key: str, other_sta
     return resolved_villages(stored(rows, "placed"), register, key)
 
 
-def resolved_villages(rows: DataFrame, register: DataFrame, key: str) -> DataFrame:
+def resolved_villages(rows: DataFrame, register: DataFrame, key: str, anywhere: bool = True) -> DataFrame:
     """The second half of the ladder: the village of rows whose taluk and district are settled or null.
 
     ``rows`` has the key and what :func:`village_asked` gives, ``_outside``,
     district, taluk, district_source and conflict, and is read several times, so
-    store it before.
+    store it before. Without ``anywhere`` no row lacks both, and the step that
+    looks in the whole register is left out.
     """
     v = register.select("district", "taluk", "village", "spoken", P.place_key(F.col("village")).alias("key"))
     taluks = register.select("district", "taluk").distinct().withColumn("key", P.place_key(F.col("taluk"))).where("key IS NOT NULL")
@@ -143,16 +144,20 @@ def resolved_villages(rows: DataFrame, register: DataFrame, key: str) -> DataFra
     split = keyed.withColumn("_whole", P.place_key(whole)).withColumn("_which", which).join(in_taluk.select("taluk", "district", "key", "n"), ["taluk", "district", "key"])
     split = split.where("_whole IS NOT NULL").groupBy("taluk", "district", F.col("_whole").alias("_k")).agg(F.countDistinct("_which").alias("_wholes"), F.max("n").alias("_most"), F.array_sort(F.collect_set("village")).alias("_parts")).where(F.col("_wholes").between(2, MOST_PARTS) & (F.col("_most") == 1)).drop("_wholes", "_most")
     wide = in_taluk.groupBy("district", "key").agg(F.count("*").alias("c"), F.min("taluk").alias("_wide_taluk"), F.min("one").alias("_wide")).where("c = 1 AND _wide IS NOT NULL").select("district", F.col("key").alias("_k"), "_wide_taluk", "_wide")
-    by_name = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("district").alias("_sd"), F.min("taluk").alias("_st"), F.min("village").alias("_sv"), F.collect_set("district").alias("ds"))
-    everywhere = by_name.select(F.lit("").alias("scope"), "key", F.col("ds").alias("answer"))
-    lone = by_name.where("c = 1").select(F.col("key").alias("_k"), "_sd", "_st", "_sv")
-    needed = rows.where("district IS NULL AND taluk IS NULL").select("_k").distinct().join(lone, "_k")
-    twins = close(needed.select(F.lit("").alias("scope"), F.col("_k").alias("k"), "_sd"), everywhere, SPELT).where((F.col("k") != F.col("key")) & F.exists("answer", lambda d: d != F.col("_sd"))).select(F.col("k").alias("_k")).distinct()
-    state = needed.join(twins, "_k", "left_anti").withColumnsRenamed({"_k": "_state_k"})
+    if anywhere:
+        by_name = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("district").alias("_sd"), F.min("taluk").alias("_st"), F.min("village").alias("_sv"), F.collect_set("district").alias("ds"))
+        everywhere = by_name.select(F.lit("").alias("scope"), "key", F.col("ds").alias("answer"))
+        lone = by_name.where("c = 1").select(F.col("key").alias("_k"), "_sd", "_st", "_sv")
+        needed = rows.where("district IS NULL AND taluk IS NULL").select("_k").distinct().join(lone, "_k")
+        twins = close(needed.select(F.lit("").alias("scope"), F.col("_k").alias("k"), "_sd"), everywhere, SPELT).where((F.col("k") != F.col("key")) & F.exists("answer", lambda d: d != F.col("_sd"))).select(F.col("k").alias("_k")).distinct()
+        state = needed.join(twins, "_k", "left_anti").withColumnsRenamed({"_k": "_state_k"})
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("_sd", "_st", "_sv")})
 
     rows = rows.join(in_taluk.select("taluk", "district", F.col("key").alias("_k"), F.col("n").alias("_copies"), F.col("one").alias("_exact")), ["taluk", "district", "_k"], "left")
     rows = rows.join(split, ["taluk", "district", "_k"], "left").join(wide, ["district", "_k"], "left")
-    rows = rows.join(state, _same("_k", F.col("_state_k")) & F.col("district").isNull() & F.col("_k").isNotNull(), "left").drop("_state_k")
+    if anywhere:
+        rows = rows.join(state, _same("_k", F.col("_state_k")) & F.col("district").isNull() & F.col("_k").isNotNull(), "left").drop("_state_k")
     rows = rows.join(taluks.select("district", F.col("key").alias("_k"), F.lit(True).alias("_is_taluk")).distinct(), ["district", "_k"], "left")
     rows = rows.join(keyed.select("taluk", "district", F.lit(True).alias("_has_villages")).distinct(), ["taluk", "district"], "left")
     open_ = rows.where("_copies IS NULL AND taluk IS NOT NULL AND _k IS NOT NULL").select(scope.alias("scope"), F.col("_k").alias("k"), F.col("_v").alias("village")).distinct()
