@@ -33,12 +33,21 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def areas(text: Column) -> Column:
-    """All areas that a description names, in square feet to one place, each once and sorted; empty for none."""
+    """All areas that a description names, in square feet to one place, each once and sorted; empty for none.
+
+    A half is rounded up on the exact decimal product, not on its nearest double.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
     unit = r"(square\s*(?:feet|foot|met(?:er|re)s?|yards?)|sq\.?\s*(?:ft|m|yd)|s?sft|ft2|m2|yd2|cents?|ares?|acres?|hectares?|grounds?)"
     figures, units = (F.regexp_extract_all(low, F.lit(rf"(\d[\d,]*\.?\d*)\s*{unit}"), F.lit(i)) for i in (1, 2))
-    feet = F.create_map(*[F.lit(x) for pair in SQUARE_FEET.items() for x in pair])
-    sizes = F.zip_with(figures, units, lambda n, u: F.round(F.replace(n, F.lit(","), F.lit("")).try_cast("double") * F.try_element_at(feet, F.regexp_replace(u, r"[\s.]", "")), 1))
+    feet = F.create_map(*[x for unit, size in SQUARE_FEET.items() for x in (F.lit(unit), F.lit(str(size)).cast("decimal(10,4)"))])
+
+    def size(n: Column, u: Column) -> Column:
+        digits, of = F.replace(n, F.lit(","), F.lit("")), F.try_element_at(feet, F.regexp_replace(u, r"[\s.]", ""))
+        # figures beyond 17 digits have no exact product in 38
+        return F.coalesce(F.round(digits.try_cast("decimal(27,10)") * of, 1).cast("double"), F.round(digits.try_cast("double") * of.cast("double"), 1))
+
+    sizes = F.zip_with(figures, units, size)
     return F.array_sort(F.array_distinct(F.filter(sizes, lambda s: s.isNotNull() & (s > 0))))
 
 

@@ -30,7 +30,7 @@ def description_overlaps(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", D.overlap(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name", F.lit("x"))).alias("overlap"))
 
 
-@query("SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct(list_filter([round(n * 435.6::DOUBLE, 1), n * 100.0::DOUBLE, round(n * 10.7639::DOUBLE, 1)], lambda x: x > 0))), lambda x: CAST(round(x * 10) AS BIGINT)), ',') AS tenths FROM (SELECT p_partkey, p_partkey::DOUBLE AS n FROM part)")
+@query("SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct(list_filter([n * 4356, n * 1000, (n * 107639 + 500) // 1000], lambda x: x > 0))), lambda x: x), ',') AS tenths FROM (SELECT p_partkey, p_partkey::BIGINT AS n FROM part)")
 def described_areas(spark, sf_dir):
     """All areas of a description, in tenths of a square foot."""
     n = F.col("p_partkey").cast("string")
