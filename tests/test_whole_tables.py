@@ -44,3 +44,8 @@ def test_described_areas_of_halves(spark, tmp_path):
 
 def test_guarded_query_is_whole(spark):
     same(spark, "guarded_query", "/root/testdata/sf0.1")
+
+
+def test_dossier_answers_of_equal_windows(spark, tmp_path):
+    said = spark.range(0, 300_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit("license and version, license; version").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(38).alias("n_chars"))
+    same(spark, "dossier_answers", changed(tmp_path, documents=said))
