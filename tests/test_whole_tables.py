@@ -49,3 +49,17 @@ def test_guarded_query_is_whole(spark):
 def test_dossier_answers_of_equal_windows(spark, tmp_path):
     said = spark.range(0, 300_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit("license and version, license; version").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(38).alias("n_chars"))
     same(spark, "dossier_answers", changed(tmp_path, documents=said))
+
+
+@pytest.mark.parametrize("n", [17, 18, 40])
+def test_notice_tables_of_many_lots(spark, tmp_path, n):
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    some = lines.limit(3 * n).withColumn("_i", F.monotonically_increasing_id())
+    many = some.withColumns({"l_orderkey": 1_000_000_000 + F.col("_i") % 3, "l_linenumber": F.col("_i").cast("int")}).drop("_i")
+    same(spark, "notice_table_grid", changed(tmp_path, lineitem=many.unionByName(lines.limit(300))))
+
+
+def test_lots_in_a_tie_have_one_order(spark, tmp_path):
+    tied = spark.read.parquet(f"{SMALL}/lineitem.parquet").limit(200)
+    twice = tied.withColumn("l_returnflag", F.lit("B")).unionByName(tied.withColumn("l_returnflag", F.lit("A")))
+    same(spark, "notice_table_grid", changed(tmp_path, lineitem=twice))
