@@ -63,3 +63,13 @@ def test_lots_in_a_tie_have_one_order(spark, tmp_path):
     tied = spark.read.parquet(f"{SMALL}/lineitem.parquet").limit(200)
     twice = tied.withColumn("l_returnflag", F.lit("B")).unionByName(tied.withColumn("l_returnflag", F.lit("A")))
     same(spark, "notice_table_grid", changed(tmp_path, lineitem=twice))
+
+
+def test_reauction_copies_are_rows_of_their_class(spark, tmp_path):
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    copies = part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 1_000_000)).unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 2_000_000))
+    sf_dir = changed(tmp_path, part=copies)
+    same(spark, "reauction_pairs", sf_dir)
+    once, thrice = (entry.queries()["reauction_pairs"](spark, d).groupBy((F.col("tier") == "copy").alias("copy")).count().rdd.collectAsMap() for d in ("/root/testdata/sf0.01", sf_dir))
+    # pairs stay, and each further copy adds one row
+    assert thrice[False] == once[False] and thrice[True] == once.get(True, 0) + 2 * part.count()
