@@ -78,3 +78,20 @@ def test_tokens_amounts_and_labels(spark):
     assert grounds == ["equal", "rounded", "rounded", "near", "loose"]
     pages = spark.createDataFrame([("<tr><td>A:</td><td>1 <i>x</i></td></tr><dl><dt>B</dt><dd></dd></dl><tr><td>only</td></tr>",), (None,), ("",)], "html string")
     assert [[tuple(p) for p in r[0]] for r in pages.select(R.label_values("html")).collect()] == [[("A", "1 x"), ("B", "")], [], []]
+
+
+def test_each_pair_of_texts_is_scored_once():
+    import pandas as pd
+
+    from lotwise.functions import similarity as S
+
+    calls = []
+    scored = S._scores(lambda x, y: calls.append((x, y)) or 50, pd.Series(["a", "a", None, "b"]), pd.Series(["x", "x", "x", "x"]))
+    assert calls == [("a", "x"), ("b", "x")] and scored.dropna().tolist() == [50, 50, 50]
+
+
+def test_reanchored_joins_the_lots_once(spark, sf_dir):
+    from lotwise.plans import registry
+
+    plan = registry.QUERIES["reanchored"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("ArrowEvalPython") <= 2
