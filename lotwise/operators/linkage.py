@@ -40,21 +40,30 @@ def lots_to_listings(listings: DataFrame, lots: DataFrame, tolerance: float = 0.
 
 
 def components(links: DataFrame, store, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id reachable over links, by rounds of least labels and label jumps.
+    """(id, component): the smallest id reachable over links, by rounds that contract the graph.
 
-    ``store`` writes a table and reads it back, so that each round is a plain
-    scan; the number of rounds grows with the logarithm of a component's width.
+    In a round each id goes to that of itself and its neighbours which comes first
+    in the round's own random order, and links between what is left go on, so that
+    a constant share of the ids is gone with each round and all rounds together
+    move a few times the links. ``store`` writes a table and reads it back, so that
+    each round is a plain scan.
     """
-    both = store(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u != v").distinct())
-    labels = store(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("lab")))
-    while True:
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("lab").alias("near"))
-        least = store(labels.join(near, "u").select("u", F.least("lab", "near").alias("low"), F.col("lab").alias("was")))
-        jump = least.select(F.col("u").alias("at"), F.col("low").alias("end"))
-        moved = store(least.join(jump, F.col("low") == F.col("at"), "left").select("u", F.least("low", F.coalesce("end", "low")).alias("lab"), "was"))
-        if moved.where("lab != was").isEmpty():
-            return moved.select(F.col("u").alias("id"), F.col("lab").alias("component"))
-        labels = moved.select("u", "lab")
+    some = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
+    edges = store(some.unionByName(some.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("id"))
+        steps.append(store(edges.groupBy("u").agg(F.min(ranked("v")).alias("near")).select("u", F.least(ranked("u"), "near")["id"].alias("to"))))
+        to = steps[-1]
+        moved = edges.join(to, "u").select("v", F.col("to").alias("_u")).join(to.withColumnRenamed("u", "v"), "v").select(F.col("_u").alias("u"), F.col("to").alias("v"))
+        edges = store(moved.where("u != v").distinct())
+    ends = steps.pop()
+    while steps:
+        # what a round left has its end from those after it
+        ends = steps.pop().join(ends.toDF("at", "end"), F.col("to") == F.col("at"), "left").select("u", F.coalesce("end", "to").alias("to"))
+        ends = store(ends)
+    least = ends.groupBy("to").agg(F.min("u").alias("component"))
+    return ends.join(least, "to").select(F.col("u").alias("id"), "component")
 
 
 def cluster_grades(members: DataFrame, links: DataFrame) -> DataFrame:
