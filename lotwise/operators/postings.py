@@ -1,11 +1,13 @@
 """An inverted index as stored tables: searches read postings and no text.
 
-``postings`` has a row for each term and bucket of documents: the documents
-that hold the term with the places where, sorted. A bucket is a range of
+``postings`` has a row for each term, bucket of documents and batch of texts: the
+documents that hold the term with the places where, sorted. A bucket is a range of
 BUCKET document keys, so that a term that every document holds is many rows, and
 the buckets in which all terms of a query occur are known before any places
-are read. ``lengths`` has the words of each document, ``terms`` the number of
-documents of each term.
+are read. Documents (their places in the bucket), ends of their places and
+places are stored as flat arrays, so that texts are dealt once and a search reads
+only what it asks for. ``lengths`` has the words of each document, ``terms`` the
+number of documents of each term.
 
 Files hold ranges of terms, sorted, so that Parquet's own statistics skip all
 but a query's. Every run adds a segment with the documents that aren't indexed
@@ -33,8 +35,8 @@ K1, B = 1.2, 0.75
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
-_POSTING = "array<struct<doc:bigint,places:array<int>>>"
-_SCHEMAS = {"postings": f"term string, bucket long, held {_POSTING}, segment int", "lengths": "doc long, words long, segment int", "terms": "term string, docs long, segment int"}
+_PACKED = "term string, bucket long, docs array<smallint>, ends array<int>, places array<int>"
+_SCHEMAS = {"postings": f"{_PACKED}, segment int", "lengths": "doc long, words long, segment int", "terms": "term string, docs long, segment int"}
 
 
 def tokens(text: str) -> list[str]:
@@ -43,7 +45,10 @@ def tokens(text: str) -> list[str]:
 
 
 def _fragments(texts: DataFrame) -> DataFrame:
-    """term, bucket and postings of the rows (doc, text) of each batch, and each document's number of words under the empty term."""
+    """term, bucket and postings of the rows (doc, text) of each batch, and each document's number of words as its place under the empty term."""
+
+    def lists(ends: np.ndarray, items: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(items))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,14 +79,18 @@ def _fragments(texts: DataFrame) -> DataFrame:
                 new_key = np.ones(len(posting), bool)
                 new_key[1:] = (term[posting][1:] != term[posting][:-1]) | (bucket[row[posting]][1:] != bucket[row[posting]][:-1])
                 key = np.flatnonzero(new_key)
-                places = pa.ListArray.from_arrays(pa.array(np.append(posting, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
-                items = pa.StructArray.from_arrays([pa.array(doc[row[posting]]), places], ["doc", "places"])
-                held = pa.ListArray.from_arrays(pa.array(np.append(key, len(posting)).astype(np.int32)), items)
-                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[posting[key]])).cast(pa.string()), pa.array(bucket[row[posting[key]]]), held], names=["term", "bucket", "held"])
-                counts = pa.StructArray.from_arrays([pa.array(doc), pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32)), pa.array(np.diff(begin).astype(np.int32)))], ["doc", "places"])
-                yield pa.RecordBatch.from_arrays([pa.array([""] * len(doc)), pa.array(bucket), pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32)), counts)], names=["term", "bucket", "held"])
+                # places count from the first document of their row
+                begun, stop = np.append(posting, len(row)), np.append(key, len(posting))
+                ends = begun[1:] - np.repeat(posting[key], np.diff(stop))
+                inner = (doc - bucket * BUCKET).astype(np.int16)
+                columns = [lists(stop, inner[row[posting]]), lists(stop, ends.astype(np.int32)), lists(begun[stop], place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[posting[key]])).cast(pa.string()), pa.array(bucket[row[posting[key]]]), *columns], names=names)
+                each = np.arange(len(doc) + 1)
+                columns = [lists(each, inner), lists(each, np.ones(len(doc), np.int32)), lists(each, np.diff(begin).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([""] * len(doc)), pa.array(bucket), *columns], names=names)
 
-    return texts.mapInArrow(index, f"term string, bucket long, held {_POSTING}")
+    names = ["term", "bucket", "docs", "ends", "places"]
+    return texts.mapInArrow(index, _PACKED)
 
 
 class TextIndex:
@@ -99,7 +108,15 @@ class TextIndex:
         return sorted(int(n.removeprefix("segment=")) for n in done if n.startswith("segment="))
 
     def read(self, name: str) -> DataFrame:
-        """The rows of ``postings``, ``lengths`` or ``terms`` of all whole segments."""
+        """The rows of ``postings``, ``lengths`` or ``terms`` of all whole segments; postings as held: (doc, places) of each document."""
+        if name != "postings":
+            return self.packed(name)
+        begin = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
+        held = F.transform("docs", lambda d, i: F.struct((F.col("bucket") * BUCKET + d).alias("doc"), F.slice("places", begin(i) + 1, F.get("ends", i) - begin(i)).alias("places")))
+        return self.packed(name).select("term", "bucket", held.alias("held"), "segment")
+
+    def packed(self, name: str) -> DataFrame:
+        """The rows as they are stored."""
         paths = [f"{self.path}/{name}/segment={s}" for s in self._segments()]
         if not paths:
             return self.spark.createDataFrame([], _SCHEMAS[name])
@@ -125,27 +142,37 @@ class TextIndex:
             found = stored(_fragments(new), "fragments")
         finally:
             self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
-        lengths = found.where("term = ''").select(F.inline("held")).select("doc", F.col("places")[0].cast("long").alias("words"))
+        lengths = found.where("term = ''").select((F.col("bucket") * BUCKET + F.col("docs")[0]).alias("doc"), F.col("places")[0].cast("long").alias("words"))
         lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={number}")
-        whole = found.where("term != ''").groupBy("term", "bucket").agg(F.array_sort(F.flatten(F.collect_list("held"))).alias("held"))
         at = f"{self.path}/postings/segment={number}"
-        whole.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.mode("overwrite").parquet(at)
-        written = self.spark.read.schema(f"term string, bucket long, held {_POSTING}").parquet(at)
-        counts = written.select("term", F.size("held").cast("long").alias("n")).groupBy("term").agg(F.sum("n").alias("docs"))
+        found.where("term != ''").repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.mode("overwrite").parquet(at)
+        written = self.spark.read.schema(_PACKED).parquet(at)
+        counts = written.select("term", F.size("docs").cast("long").alias("n")).groupBy("term").agg(F.sum("n").alias("docs"))
         counts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/segment={number}")
         return number
 
     def _of(self, name: str, words: list[str]) -> DataFrame:
-        return self.read(name).where(F.col("term").isin(words))
+        return self.packed(name).where(F.col("term").isin(words))
+
+    @staticmethod
+    def _docs(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", F.explode("docs").alias("inner")).select((F.col("bucket") * BUCKET + F.col("inner")).alias("doc"))
+
+    @staticmethod
+    def _hits(rows: DataFrame) -> DataFrame:
+        """term, doc and the number of places of each posting."""
+        each = rows.select("term", "bucket", "ends", F.posexplode("docs").alias("i", "inner"))
+        return each.select("term", (F.col("bucket") * BUCKET + F.col("inner")).alias("doc"), (F.get("ends", F.col("i")) - F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0))).alias("tf"))
 
     def any_of(self, query: str) -> DataFrame:
         """doc of every document that holds a word of the query."""
-        return self._of("postings", tokens(query)).select(F.inline("held")).select("doc").distinct()
+        return self._docs(self._of("postings", tokens(query))).distinct()
 
     def all_of(self, query: str) -> DataFrame:
         """doc of every document that holds all words of the query, and those in double quotes side by side in that order.
 
-        Buckets that lack a word are left out before places are read.
+        Buckets that lack a word are left out first; places are read of the words of
+        phrases, and dealt for documents that hold all words.
         """
         parts = [tokens(p) for p in query.split('"')]
         phrases = [p for p in parts[1::2] if p]
@@ -154,10 +181,15 @@ class TextIndex:
             return self.read("lengths").select("doc")
         found = self._of("postings", wanted)
         full = found.groupBy("bucket").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(wanted)).select("bucket")
-        rows = found.join(full, "bucket", "left_semi").select("term", F.inline("held"))
-        alone = [F.max(F.when(F.col("term") == w, F.col("places"))).alias(f"_{i}") for i, w in enumerate(wanted)]
-        each = rows.groupBy("doc").agg(*alone).where(reduce(lambda a, b: a & b, (F.col(f"_{i}").isNotNull() for i in range(len(wanted)))))
-        return each.where(reduce(lambda a, b: a & b, (self._beside([F.col(f"_{wanted.index(w)}") for w in p]) for p in phrases), F.lit(True))).select("doc")
+        near = found.join(F.broadcast(full), "bucket", "left_semi")  # a row for each BUCKET documents
+        # a term has one posting of a document
+        hold = self._docs(near).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc")
+        if not phrases:
+            return hold
+        rows = self.read("postings").where(F.col("term").isin(sorted({w for p in phrases for w in p}))).join(F.broadcast(full), "bucket", "left_semi")
+        rows = rows.select("term", F.inline("held")).join(hold, "doc", "left_semi")
+        each = rows.groupBy("doc").agg(*(F.max(F.when(F.col("term") == w, F.col("places"))).alias(f"_{i}") for i, w in enumerate(wanted)))
+        return each.where(reduce(lambda a, b: a & b, (self._beside([F.col(f"_{wanted.index(w)}") for w in p]) for p in phrases))).select("doc")
 
     @staticmethod
     def _beside(places: list[Column]) -> Column:
@@ -177,7 +209,7 @@ class TextIndex:
         lengths = self.read("lengths")
         stats = lengths.agg(F.count("*").alias("N"), F.avg("words").alias("avg_len"))
         counted = self._of("terms", words).agg(*(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("docs"))), F.lit(0)).alias(f"df{i}") for i, w in enumerate(words)))
-        hits = self._of("postings", words).select("term", F.inline("held")).select("term", "doc", F.size("places").alias("tf"))
+        hits = self._hits(self._of("postings", words))
         each = hits.groupBy("doc").agg(*(F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(words)))
         joined = each.join(lengths, "doc").crossJoin(F.broadcast(stats.crossJoin(counted)))  # one row of statistics
 

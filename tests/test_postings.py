@@ -83,3 +83,18 @@ def test_an_unfinished_segment_is_not_read(spark, rows, tmp_path):
 def test_empty_index(spark, tmp_path):
     found = P.TextIndex(spark, "file://" + str(tmp_path))
     assert found.all_of("a b").count() == found.any_of("a").count() == found.bm25(["a"]).count() == 0
+
+
+def test_places_are_read_for_phrases_only(index):
+    read = [f(q)._jdf.queryExecution().executedPlan().toString() for f, q in ((index.any_of, "license public"), (index.all_of, "license mit"), (index.all_of, '"version 2.0"'))]
+    assert ["places:array<int>" in plan for plan in read] == [False, False, True]
+    assert "places:array<int>" not in index.bm25(["license"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_of_postings_is_flat_and_whole(index, rows):
+    """The stored arrays say the same as the postings that are read."""
+    for r in index.packed("postings").collect():
+        assert len(r["docs"]) == len(r["ends"]) and r["ends"][-1] == len(r["places"]) and list(r["ends"]) == sorted(set(r["ends"]))
+    words = {r["doc"]: r["words"] for r in index.read("lengths").collect()}
+    held = index.read("postings").select("term", F.inline("held")).groupBy("doc").agg(F.sum(F.size("places")).alias("n"), F.max(F.array_max("places")).alias("last")).collect()
+    assert {r["doc"]: r["n"] for r in held} == {r["doc"]: r["last"] + 1 for r in held} == {d: n for d, n in words.items() if n}
