@@ -64,3 +64,9 @@ def test_rows_of_the_sql_are_among_them(spark):
     names, got = rows(registry.QUERIES["benchmark_rings"](spark, SMALL).toPandas())
     same, want = rows(views(SMALL).sql(registry.ORACLE_SQL["benchmark_rings"]).df())
     assert names == same and want and set(want) <= set(got)
+
+
+def test_lots_are_joined_once_for_all_rings(spark):
+    """Rings read the stored peers, not the tables that these come from."""
+    plan = registry.QUERIES["benchmark_rings"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "ring-subjects" in plan
