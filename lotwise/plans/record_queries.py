@@ -222,7 +222,9 @@ def stated_areas(spark, sf_dir):
     """Which figure in square feet a text states, and how."""
     n = F.col("p_size").cast("int").cast("string")
     texts = [F.concat(n, F.lit(" cents ("), n, F.lit("00 Sq. ft)")), F.concat(n, F.lit("00 sq.ft (each plot "), n, F.lit(" sq.ft)")), F.concat(n, F.lit(" cents and 7 sq.ft")), F.concat(n, F.lit(" Cents")), F.lit("land as in the deed")]
-    return table(spark, sf_dir, "part").select(Ar.stated_sqft(F.element_at(F.array(*texts), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("a")).select("a.how", "a.sqft").groupBy("how", "sqft").agg(F.count("*").alias("n"))
+    # equal texts are read once
+    each = table(spark, sf_dir, "part").select(F.element_at(F.array(*texts), (F.col("p_partkey") % 5 + 1).cast("int")).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    return each.select(Ar.stated_sqft(F.col("text")).alias("a"), "n").groupBy("a.how", "a.sqft").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT verdict, severity, count(*) AS n FROM (SELECT CASE WHEN f IS NULL THEN 'unknown' WHEN f = 1.005 THEN 'agree' WHEN f = 10 THEN 'magnitude_slip' ELSE 'disagree' END AS verdict, CASE WHEN f = 10 THEN 'critical' WHEN f = 2 THEN 'med' END AS severity FROM (SELECT CASE l_linenumber % 4 WHEN 0 THEN 1.005 WHEN 1 THEN 10 WHEN 2 THEN 2 END AS f FROM lineitem)) GROUP BY ALL")
