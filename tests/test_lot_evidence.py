@@ -49,3 +49,9 @@ def test_every_refused_pair_has_its_key(spark):
     rows = {r["lot"]: r["refused_by"] for r in E.evidence(told, spark.createDataFrame([(1, *lot) for lot in [*ALIKE, (4, 300.0, 30.0, None, None, None)]], LOT)).collect()}
     assert rows == {1: "borrower", 2: None, 3: "borrower", 4: "price"}
     assert E.explained(E.evidence(told.where("doc < 0"), spark.createDataFrame([], LOT))).count() == 0
+
+
+def test_pairs_are_not_sorted(spark):
+    told, sold = spark.createDataFrame([], LISTING), spark.createDataFrame([], LOT)
+    plan = E.evidence(told, sold)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1  # the claims, before listings meet lots
