@@ -55,3 +55,11 @@ def test_pairs_are_not_sorted(spark):
     told, sold = spark.createDataFrame([], LISTING), spark.createDataFrame([], LOT)
     plan = E.evidence(told, sold)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1  # the claims, before listings meet lots
+
+
+def test_explanations_without_pairs(spark):
+    claimed = [(*lot[:5], aid) for lot, aid in zip(ALIKE, ["a", "b", "b"], strict=True)]
+    told = [(1, "a", 100.0, None, None, None), (1, "b", 100.0, None, None, ["2a"]), (2, "c", 100.0, None, None, None), (2, "d", 555.0, None, None, None), (3, "e", 100.2, None, None, None), (3, "f", 100.0, None, None, None)]
+    listings, lots = spark.createDataFrame(told, LISTING), spark.createDataFrame([*[(1, *x) for x in claimed], *[(d, *x) for d in (2, 3) for x in APART]], LOT)
+    want = E.explained(E.evidence(listings, lots)).collect()
+    assert sorted(E.explanations(listings, lots).collect()) == sorted(want) and len(want) == 6
