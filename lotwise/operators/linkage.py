@@ -16,6 +16,31 @@ def block_pairs(rows: DataFrame, block: list[str], key: str, condition: Column |
     return a.join(b, on if condition is None else on & condition).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
+#: Members of a class that travel as one array, about.
+MEMBERS = 256
+
+
+def pairs_of_classes(similar: DataFrame, members: DataFrame, store) -> DataFrame:
+    """(a, b, and what ``similar`` says), a < b: all pairs of members of the classes of ``similar``.
+
+    ``similar``: class_a, class_b and more columns, a class with itself too;
+    ``members``: class, n (the class's members) and key. Members are dealt into
+    arrays of about ``MEMBERS``, and pairs of arrays into tasks by these, so that
+    no class's pairs are one task's. ``store`` writes a table and reads it back.
+    """
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / MEMBERS)).alias("part")
+    dealt = store(members.select("class", "key", part).groupBy("class", "part").agg(F.collect_list("key").alias("keys")))
+    side = lambda x: dealt.select(F.col("class").alias(f"class_{x}"), F.col("part").alias(f"part_{x}"))
+    keys = lambda x: dealt.select(F.col("class").alias(f"class_{x}"), F.col("part").alias(f"part_{x}"), F.col("keys").alias(f"keys_{x}"))
+    own = F.col("class_a") == F.col("class_b")
+    met = similar.join(side("a"), "class_a").join(side("b"), "class_b").where(~own | (F.col("part_a") <= F.col("part_b")))
+    met = met.join(keys("a"), ["class_a", "part_a"]).join(keys("b"), ["class_b", "part_b"])
+    once = F.when(own & (F.col("part_a") == F.col("part_b")), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
+    said = [c for c in similar.columns if c not in ("class_a", "class_b")]
+    each = met.withColumn("x", F.explode("keys_a")).withColumn("y", F.explode("keys_b")).where(once)
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *said)
+
+
 def assign(candidates: DataFrame, left: str, right: str) -> DataFrame:
     """Of candidates (left, right, reason), those where each side has one partner; others are reviews with a cause."""
     n_left, n_right = F.count("*").over(Window.partitionBy(left)), F.count("*").over(Window.partitionBy(right))
