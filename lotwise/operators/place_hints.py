@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import places as P
 from ..sources.scratch import stored
 from .analytics import majority
-from .places import _named, close, nearest, resolved_villages, village_asked
+from .places import _named, close, nearest, resolved_villages, village_keys, with_keys
 
 # Hints by the order in which they are believed.
 ORDER = ["village-pieces", "taluk", "district-sound", "district-fuzzy", "neighbour-taluk", "census-2011", "metro-unique", "gram-panchayat", "habitation", "lgd-town"]
@@ -106,12 +106,12 @@ def learned(placed: DataFrame, notices: DataFrame, key: str, register: DataFrame
     name one and lie in the other.
     """
     lie = placed.where("village IS NOT NULL").select(key, F.col("taluk").alias("_lies"))
-    said = notices.select(key, "taluk", "registration", "pin").join(lie, key)
+    said = with_keys(notices.select(key, "taluk", "registration", "pin"), {"registration": {"_office": office_key(F.col("_said"))}, "taluk": {"_k": P.place_key(F.col("_said"))}}).join(lie, key)
     taught = lambda value, name: majority(said.select(value.alias(name), F.col("_lies").alias("taluk")).where(F.col(name).isNotNull()), name, "taluk", LEARNED_FROM, LEARNED_SHARE).select(name, "taluk")
     names = register.groupBy(P.place_key(F.col("taluk")).alias("_k")).agg(F.min("taluk").alias("taluk"), F.countDistinct("taluk", "district").alias("_n")).where("_n = 1 AND _k IS NOT NULL")
-    moved = said.select(P.place_key(F.col("taluk")).alias("_k"), F.col("_lies").alias("other")).join(names, "_k").where("taluk <> other").groupBy("taluk", "other").count().where(F.col("count") >= LEARNED_FROM)
+    moved = said.select("_k", F.col("_lies").alias("other")).join(names, "_k").where("taluk <> other").groupBy("taluk", "other").count().where(F.col("count") >= LEARNED_FROM)
     both = moved.select("taluk", "other").union(moved.select("other", "taluk")).distinct()
-    return Hints(offices=taught(office_key(F.col("registration")), "office"), pins=taught(F.col("pin"), "pin"), neighbours=both)
+    return Hints(offices=taught(F.col("_office"), "office"), pins=taught(F.col("pin"), "pin"), neighbours=both)
 
 
 def _with(given: DataFrame | None, more: DataFrame, by: str) -> DataFrame:
@@ -138,12 +138,12 @@ def _proposals(open_: DataFrame, key: str, register: DataFrame, hints: Hints, ag
 
     unmatched = open_.where("village_status = 'unmatched' AND taluk IS NOT NULL")
     out = []
-    pieces = unmatched.withColumn("_pieces", village_pieces(F.col("village"))).withColumn("_needed", F.size("_pieces")).withColumn("_piece", F.explode("_pieces")).withColumns({"_in": F.col("district"), "_to": F.col("taluk")})
+    pieces = unmatched.withColumn("_needed", F.size("_pieces")).withColumn("_piece", F.explode("_pieces")).withColumns({"_in": F.col("district"), "_to": F.col("taluk")})
     if not again:
         out.append(rows(pieces, "village-pieces", "village-pieces", "_piece", needed=F.col("_needed")))
     if hints.offices is not None:
         offices = hints.offices.select(F.col("office").alias("_office"), F.col("taluk").alias("_to"))
-        out.append(rows(open_.withColumn("_office", office_key(F.col("registration"))).join(offices, "_office").join(where, "_to").where(fits), "taluk", "sro-taluk"))
+        out.append(rows(open_.join(offices, "_office").join(where, "_to").where(fits), "taluk", "sro-taluk"))
     if hints.pins is not None:
         out.append(rows(open_.join(hints.pins.select("pin", F.col("taluk").alias("_to")), "pin").join(where, "_to").where(fits), "taluk", "pin-taluk"))
     # the first name in the city's field that is a taluk of the known district
@@ -157,7 +157,7 @@ def _proposals(open_: DataFrame, key: str, register: DataFrame, hints: Hints, ag
         out.append(rows(unmatched.join(near, "taluk").join(where, "_to").where(fits), "neighbour-taluk", "neighbour-taluk"))
     if hints.lineage is not None and not again:
         known = hints.lineage.select("old", P.place_key(F.col("old")).alias("_old"), P.place_key(F.col("village")).alias("_moved"), F.col("taluk").alias("_to"), "now").join(where, "_to")
-        asked = open_.withColumn("_t", P.place_key(F.col("said_taluk"))).where("_t IS NOT NULL")
+        asked = open_.withColumn("_t", F.col("_taluk_key")).where("_t IS NOT NULL")
         whole = known.select("old", "_old", "_in").distinct()
         halves = whole.select("old", "_in", F.regexp_extract("_old", "^(.+)(nort|sout|east|west)$", 1).alias("_t")).where("_t <> ''")
         halves = halves.join(whole.select(F.col("_old").alias("_t")), "_t", "left_anti")
@@ -167,7 +167,7 @@ def _proposals(open_: DataFrame, key: str, register: DataFrame, hints: Hints, ag
         several = F.size(F.array_distinct(F.transform("_olds", lambda o: o["old"]))) > 1
         olds = olds.where(F.col("district").isNull() | ~several | (F.col("_o._in") == F.col("district"))).withColumn("old", F.col("_o.old")).drop("_olds", "_o", "_t").distinct()
         fits_now = F.col("district").isNull() | (F.col("district") == F.col("_in"))
-        moved = olds.withColumn("_moved", P.place_key(F.col("village"))).join(known.drop("_old"), ["old", "_moved"]).where(fits_now)
+        moved = olds.withColumn("_moved", F.col("_village_key")).join(known.drop("_old"), ["old", "_moved"]).where(fits_now)
         out += [rows(moved, "census-2011", "census-2011"), rows(moved.where("now IS NOT NULL"), "census-2011", "census-2011", "now", turn=1)]
         out.append(rows(olds.join(known.select("old", "_to", "_in").distinct(), "old").where(fits_now), "census-2011", "census-2011", tier=1))
     return reduce(DataFrame.unionByName, out)
@@ -191,12 +191,12 @@ def _by_name(open_: DataFrame, key: str, register: DataFrame, v: DataFrame, lone
         return df.select(key, F.lit(hint).alias("hint"), F.lit(hint).alias("source"), "district", "taluk", "village", (F.col("parts") if "parts" in df.columns else none).alias("parts"))
 
     # names by sound and by spelling in a district that doesn't hold them exactly
-    homeless = open_.where("village_status = 'no-parent-taluk' AND district IS NOT NULL").select(key, "district", F.col("village").alias("_v"), P.place_key(F.col("village")).alias("key"), P.village_shape(F.col("village")).alias("_shape"))
+    homeless = open_.where("village_status = 'no-parent-taluk' AND district IS NOT NULL").select(key, "district", F.col("_village_sound").alias("_s"), F.col("_village_key").alias("key"), F.col("_village_shape").alias("_shape"))
     homeless = stored(homeless.where("key IS NOT NULL").join(v.select("district", "key").distinct(), ["district", "key"], "left_anti"), "homeless")
     shape = P.village_shape(F.col("village"))
     alone = lone.where("_n = 1").select("taluk", "district", "key", F.lit(True).alias("_alone"))
     heard = v.select("district", F.col("sound").alias("_s"), F.col("shape").alias("_shape2"), "village", "taluk").where("_s IS NOT NULL").distinct()
-    by_sound = _once(homeless.withColumn("_s", P.sound_key(F.col("_v"))).join(heard, ["district", "_s"]).where(F.col("_shape").eqNullSafe(F.col("_shape2"))), [key, "district"], F.struct("village", "taluk"))
+    by_sound = _once(homeless.join(heard, ["district", "_s"]).where(F.col("_shape").eqNullSafe(F.col("_shape2"))), [key, "district"], F.struct("village", "taluk"))
     by_sound = by_sound.select(key, "district", "answer.*").withColumn("key", P.place_key(F.col("village"))).join(alone, ["taluk", "district", "key"])
     answers.append(answer(by_sound, "district-sound"))
     pool = v.groupBy(F.col("district").alias("scope"), "key").agg(F.array_sort(F.collect_set(F.struct("village", "taluk"))).alias("answer"))
@@ -209,7 +209,7 @@ def _by_name(open_: DataFrame, key: str, register: DataFrame, v: DataFrame, lone
         there = v.where(F.col("district").isin(*hints.metro))
         unique = _once(there, ["key"], F.struct("village", "taluk", "district")).select("key", "answer.*").where(F.col("taluk").isin(*hints.core)).join(alone, ["taluk", "district", "key"])
         unique = unique.join(ct.select("taluk", F.col("_ct").alias("key")), ["taluk", "key"], "left_anti").join(register.where(F.col("district").isin(*hints.metro)).select(P.place_key(F.col("taluk")).alias("key")).distinct(), "key", "left_anti")
-        asked = open_.where(F.col("district").isin(*hints.metro)).select(key, P.place_key(F.col("village")).alias("key")).join(unique, "key")
+        asked = open_.where(F.col("district").isin(*hints.metro)).select(key, F.col("_village_key").alias("key")).join(unique, "key")
         other = close(asked.select(F.lit("").alias("scope"), F.col("key").alias("k")).distinct(), there.select(F.lit("").alias("scope"), "key", F.col("key").alias("answer")).distinct(), METRO_TWIN).where("k <> key").select(F.col("k").alias("key")).distinct()
         answers.append(answer(asked.join(other, "key", "left_anti"), "metro-unique"))
 
@@ -221,7 +221,7 @@ def _by_name(open_: DataFrame, key: str, register: DataFrame, v: DataFrame, lone
         one = hit.groupBy(key, "_turn").agg(F.count("*").alias("_n"), F.min(F.struct("_to", "_in", "parts")).alias("a")).where("_n = 1").groupBy(key).agg(F.min_by("a", "_turn").alias("a"))
         return answer(one.select(key, F.col("a._in").alias("district"), F.col("a._to").alias("taluk"), none.alias("village"), "a.parts"), hint)
 
-    body = lambda c, turn: open_.where(~F.col(c).rlike(OTHER_BODIES)).select(key, "district", "taluk", P.place_key(F.col(c)).alias("_k"), F.lit(turn).alias("_turn"))
+    body = lambda c, turn: open_.where(~F.col(c).rlike(OTHER_BODIES)).select(key, "district", "taluk", F.col(f"_{c}_key").alias("_k"), F.lit(turn).alias("_turn"))
     if hints.panchayats is not None:
         answers.append(narrowed(hints.panchayats.select("taluk", P.place_key(F.col("panchayat")).alias("_k"), F.lit("").alias("_body"), "village"), body("panchayat", 0).unionByName(body("village", 1)), "gram-panchayat"))
     if hints.hamlets is not None:
@@ -249,7 +249,7 @@ def _one_round(rows: DataFrame, key: str, register: DataFrame, hints: Hints, aga
     distinct = asks.select(question.alias("_ask")).distinct()
     none = F.lit(None).cast("string")
     no = F.lit(False)
-    inside = distinct.select("_ask", *village_asked(F.col("_ask.asked")), no.alias("_outside"), "_ask.district", "_ask.taluk", none.alias("district_source"), no.alias("conflict"))
+    inside = with_keys(distinct.withColumn("_v", F.col("_ask.asked")), {"_v": village_keys(F.col("_said"))}).select("_ask", "_v", "_k", "_numbers", "_part", no.alias("_outside"), "_ask.district", "_ask.taluk", none.alias("district_source"), no.alias("conflict"))
     tried = resolved_villages(stored(inside, "inside"), register, "_ask", anywhere=False)
     tried = tried.where((F.col("taluk") == F.col("_ask.taluk")) & (F.col("district") == F.col("_ask.district")) & (F.col("village").isNotNull() | F.col("parts").isNotNull()))
     tried = stored(tried.select(F.col("_ask.district").alias("district"), F.col("_ask.taluk").alias("taluk"), F.col("_ask.asked").alias("asked"), "village", "parts"), "tried")  # read twice
@@ -315,7 +315,12 @@ def hinted_places(resolved: DataFrame, notices: DataFrame, register: DataFrame,
     none = F.lit(None).cast("string")
     name = F.col("village")
     register = stored(register.select("district", "taluk", "village", "spoken", P.place_key(name).alias("key"), P.sound_key(name).alias("sound"), P.village_shape(name).alias("shape")), "register")
-    rows = stored(resolved.join(said, key).withColumns({"town": none, "town_kind": none}), "hinted")
+    # keys of names are made once for each name, not for each row and hint
+    said_ = F.col("_said")
+    keys = {"said_village": {"_village_key": P.place_key(said_), "_village_sound": P.sound_key(said_), "_village_shape": P.village_shape(said_), "_pieces": village_pieces(said_)}}
+    keys |= {"said_taluk": {"_taluk_key": P.place_key(said_)}, "registration": {"_office": office_key(said_)}, "panchayat": {"_panchayat_key": P.place_key(said_)}}
+    rows = resolved.join(with_keys(said, keys), key)
+    rows = stored(rows.withColumns({"town": none, "town_kind": none}), "hinted")
     for at in range(rounds):
         now = hints
         if at:

@@ -7,6 +7,8 @@ loses none that is near enough, and a step answers only where it has one answer.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,16 +25,40 @@ MOST_PARTS = 4
 COMPOUND = r"[-/,&]| and "
 
 
+#: Letters that count as one where names are compared by their letters; each group's count, up to four, has four bits.
+_GROUPS = ["a", "eiy", "ou", "b", "d", "gkqcx", "l", "m", "n", "pf", "r", "sz", "t", "vw", "hj", "0123456789"]
+#: Parts that the names of one scope and length are dealt to.
+_FAN = 24
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for few rows that take long, which by their bytes alone would come to one task."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _letters(k: str) -> Column:
+    """A name's letters as 64 bits, so that two names differ in no more bits than letters are added to or taken from one to make the other."""
+    counts = [F.least(F.length(k) - F.length(F.translate(k, g, "")), F.lit(4)) for g in _GROUPS]
+    bits = [F.array(*[F.lit((1 << c) - 1 << 4 * i).cast("long") if (1 << c) - 1 << 4 * i < 1 << 63 else F.lit(((1 << c) - 1 << 4 * i) - (1 << 64)) for c in range(5)])[n] for i, n in enumerate(counts)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 def close(asked: DataFrame, pool: DataFrame, least: float) -> DataFrame:
     """Pairs of ``asked`` (scope, k) and ``pool`` (scope, key, answer) of one scope with a ratio of ``least`` or more, and their score.
 
-    A ratio r needs lengths within r : (200 - r), so names meet on scope and length.
+    A ratio r needs lengths within r : (200 - r), so names meet on scope and length,
+    dealt by the asked name; and letters that differ are at most (100 - r) % of both
+    lengths, so that only pairs with so few are scored.
     """
     narrow = least / (200 - least)
-    n = F.length("k")
+    n, both = F.length("k"), F.length("k") + F.length("key")
     lengths = F.sequence(F.ceil(n * narrow).cast("int"), F.floor(n / narrow).cast("int"))
-    pairs = asked.where(n > 0).withColumn("_n", F.explode(lengths)).join(pool.withColumn("_n", F.length("key")), ["scope", "_n"])
-    return pairs.withColumn("score", ratio("k", "key")).where(F.col("score") >= least).drop("_n")
+    names = asked.where(n > 0).withColumns({"_to": F.pmod(F.xxhash64("k"), F.lit(_FAN)).cast("int"), "_l": _letters("k")}).withColumn("_n", F.explode(lengths))
+    dealt = pool.withColumns({"_n": F.length("key"), "_m": _letters("key")}).withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(_FAN - 1))))
+    # a rounding error of the score's must not lose a pair
+    by = ["scope", "_n", "_to"]
+    pairs = names.repartition(_tasks(asked), *by).join(dealt.repartition(_tasks(asked), *by), by).where(100 * F.bit_count(F.col("_l").bitwiseXOR(F.col("_m"))) <= (100 - least) * both + 1e-6)
+    return pairs.withColumn("score", ratio("k", "key")).where(F.col("score") >= least).drop("_n", "_to", "_l", "_m")
 
 
 def nearest(asked: DataFrame, pool: DataFrame, floor: float = SPELT, lead: float = SPELT_LEAD) -> DataFrame:
@@ -46,9 +72,24 @@ def nearest(asked: DataFrame, pool: DataFrame, floor: float = SPELT, lead: float
     return found.where(fit).select("scope", "k", F.col("_best.answer").alias("near"))
 
 
+def once_each(rows: DataFrame, name: str, keys: dict[str, Column]) -> DataFrame:
+    """A row for each value of ``name`` with ``keys``, which speak of _said.
+
+    The keys take some dozen patterns; as an aggregate's result _said keeps
+    filters on them from being run on all rows before these are made distinct.
+    """
+    names = rows.where(F.col(name).isNotNull()).select(name).distinct().repartition(_tasks(rows), name)
+    return names.groupBy(name).agg(F.max(name).alias("_said")).select(name, *[c.alias(k) for k, c in keys.items()])
+
+
+def with_keys(rows: DataFrame, keys: dict[str, dict[str, Column]]) -> DataFrame:
+    """Rows with the keys of each name, made once for each value; null where it is null. ``rows`` are read once more for each name."""
+    return reduce(lambda out, name: out.join(once_each(rows, name, keys[name]), name, "left"), keys, rows)
+
+
 def _named(names: DataFrame, pool: DataFrame) -> DataFrame:
     """(raw, hit) of distinct ``names`` (raw): the answer of the equal key, else of the nearest one. ``pool`` has one answer a key."""
-    keyed = names.where("raw IS NOT NULL").distinct().select("raw", P.place_key(F.col("raw")).alias("k")).where("k IS NOT NULL")
+    keyed = once_each(names, "raw", {"k": P.place_key(F.col("_said"))}).where("k IS NOT NULL")
     exact = keyed.join(pool.withColumnRenamed("key", "k"), "k", "left")
     near = nearest(exact.where("answer IS NULL").select(F.lit("").alias("scope"), "k"), pool.withColumn("scope", F.lit("")))
     return exact.join(near.drop("scope"), "k", "left").select("raw", F.coalesce("answer", "near").alias("hit")).where("hit IS NOT NULL")
@@ -70,9 +111,9 @@ def _same(a: str, b: Column) -> Column:
     return F.col(a).eqNullSafe(b)
 
 
-def village_asked(name: Column) -> list[Column]:
-    """A village's name as :func:`resolved_villages` reads it: the name, its key, numbers and part."""
-    return [name.alias("_v"), P.place_key(name).alias("_k"), P.sub_numbers(name).alias("_numbers"), P.part(name)[1].alias("_part")]
+def village_keys(name: Column) -> dict[str, Column]:
+    """What :func:`resolved_villages` reads of a village's name: its key, numbers and part."""
+    return {"_k": P.place_key(name), "_numbers": P.sub_numbers(name), "_part": P.part(name)[1]}
 
 
 def resolved_places(notices: DataFrame, register: DataFrame, key: str, other_states: list[str], other_districts: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
@@ -92,6 +133,8 @@ def resolved_places(notices: DataFrame, register: DataFrame, key: str, other_sta
     renamed = lambda c: given(c) if names is None else F.coalesce(F.try_element_at(names, plain(c)), given(c))
     rows = notices.select(key, plain("state").alias("_state"), plain("district").alias("_dname"), renamed("district").alias("_d"), renamed("taluk").alias("_t"), given("village").alias("_v"), renamed("registration").alias("_r"))
 
+    villages = once_each(rows, "_v", village_keys(F.col("_said")))
+
     taluks = register.select("district", "taluk").distinct().withColumn("key", P.place_key(F.col("taluk"))).where("key IS NOT NULL")
     one_taluk = taluks.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("taluk", "district")).alias("answer")).where("n = 1").drop("n")
     one_district = register.select(F.col("district").alias("answer")).distinct().withColumn("key", P.place_key(F.col("answer"))).groupBy("key").agg(F.min("answer").alias("answer")).where("key IS NOT NULL")
@@ -117,18 +160,18 @@ def resolved_places(notices: DataFrame, register: DataFrame, key: str, other_sta
     hit = F.coalesce("_own", "_pair")
     sources = [(hit["district"], "taluk"), (F.col("_stated"), "district"), (F.when(F.col("_own").isNull(), F.col("_shared")), "compound-taluk-field"), (F.col("_from_taluk"), "taluk-field-names-a-district"), (F.col("_from_office"), "registration-district"), (F.col("_office.district"), "registration-district-names-a-taluk")]
     rows = rows.select(
-        key, *village_asked(F.col("_v")),
+        key, "_v",
         (F.coalesce(F.col("_state").isin(other_states), F.lit(False)) | (F.col("_stated").isNull() & F.coalesce(F.col("_dname").isin(other_districts), F.lit(False)))).alias("_outside"),
         hit["taluk"].alias("taluk"), F.coalesce(*[c for c, _ in sources]).alias("district"), F.coalesce(*[F.when(c.isNotNull(), n) for c, n in sources]).alias("district_source"),
         F.coalesce(F.col("_stated") != hit["district"], F.lit(False)).alias("conflict"),
     )
-    return resolved_villages(stored(rows, "placed"), register, key)
+    return resolved_villages(stored(rows.join(villages, "_v", "left"), "placed"), register, key)
 
 
 def resolved_villages(rows: DataFrame, register: DataFrame, key: str, anywhere: bool = True) -> DataFrame:
     """The second half of the ladder: the village of rows whose taluk and district are settled or null.
 
-    ``rows`` has the key and what :func:`village_asked` gives, ``_outside``,
+    ``rows`` has the key, the name as ``_v`` and what :func:`village_keys` gives, ``_outside``,
     district, taluk, district_source and conflict, and is read several times, so
     store it before. Without ``anywhere`` no row lacks both, and the step that
     looks in the whole register is left out.
