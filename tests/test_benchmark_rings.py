@@ -70,3 +70,9 @@ def test_lots_are_joined_once_for_all_rings(spark):
     """Rings read the stored peers, not the tables that these come from."""
     plan = registry.QUERIES["benchmark_rings"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan and "ring-subjects" in plan
+
+
+def test_subjects_are_read_once_for_all_rings(spark):
+    """Rings are told for kinds of subjects; the subjects themselves meet them in one join."""
+    plan = registry.QUERIES["benchmark_rings"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ring-subjects") == 1
