@@ -95,3 +95,11 @@ def test_reanchored_joins_the_lots_once(spark, sf_dir):
 
     plan = registry.QUERIES["reanchored"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and plan.count("ArrowEvalPython") <= 2
+
+
+def test_details_are_gathered_once(spark):
+    entities = spark.createDataFrame([(1, c, lot, None, None, None, a, b) for c, lot, a, b in [("full_description", 1, 0, 90), ("extent", 1, 5, 9), ("location", 1, 95, 99), ("extent", 2, 10, 20), ("location", 2, 200, 210), ("extent", None, 10, 20)]], ENTITY)
+    got = R.described(entities)
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 1, 0, False), (1, 2, 1, 1, True), (1, None, 1, 0, True)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("Initial Plan")].count("partial_collect_set") == 1
